@@ -39,6 +39,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.id_checksums(token_files.read_token_files(spark, path))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring_dedup
+
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -46,6 +52,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    return suffix_dedup.remove_later_copies(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -58,6 +70,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc, op3_token_files, op6_quality_rules, op9_packing, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc, op3_token_files, op5_substring_dedup, op6_quality_rules, op7_suffix_dedup, op9_packing, op10_secret_scan)}
 
 ORACLE: dict[str, str] = oracle.SQL
