@@ -99,8 +99,12 @@ def byte_values(data: np.ndarray) -> np.ndarray:
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and stop of each run of non-space bytes, and the offsets of documents among them."""
-    inside = ~_SPACE[data]
-    n = len(data)
+    return runs(~_SPACE[data], offsets)
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``words``, for runs of true elements."""
+    n = len(inside)
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
