@@ -86,11 +86,12 @@ def marked_intervals(documents: DataFrame, path: str, anchors: Anchors, payload:
                 )
 
     first_doc = texts.groupBy(F.col("node").alias("of")).agg(F.min(F.struct("doc_id"))["doc_id"].alias("least")) if later_only else None
-    chosen = texts.join(wanted.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).drop("of")
+    # these tables grow with the input: merge joins at every size, never a broadcast
+    chosen = texts.join(wanted.withColumnRenamed("node", "of").hint("merge"), F.col("node") == F.col("of")).drop("of")
     if later_only:  # of equal texts only the first can hold a first occurrence
         least = materialize(first_doc, f"{path}/least")
         wanted_least = wanted.join(least, wanted["node"] == least["of"]).select("of", "wanted", "least")
-        chosen = texts.join(wanted_least, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least")))
+        chosen = texts.join(wanted_least.hint("merge"), (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least")))
     dealt = chosen.select("doc_id", "node", "text", "wanted").mapInArrow(deal, "name long, block int, blocks int, doc_id long, node binary, first int, n int, windows binary")
 
     def settle(batches):
@@ -173,7 +174,7 @@ def with_spans(documents: DataFrame, spans: DataFrame, path: str) -> DataFrame:
     groups = texts.groupBy(F.col("node").alias("g")).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id"))["doc_id"].alias("least")).where("copies > 1")
     facts = spans.withColumnRenamed("node", "g").join(groups, "g", "full")
     facts = materialize(facts, f"{path}/facts")
-    out = texts.join(facts, F.col("node") == F.col("g"), "left")
+    out = texts.join(facts.hint("merge"), F.col("node") == F.col("g"), "left")
     return out.select("doc_id", "text", "spans", F.coalesce("copies", F.lit(1)).alias("copies"), F.col("doc_id").eqNullSafe(F.col("least")).alias("is_first"))
 
 
