@@ -107,3 +107,15 @@ def judge(documents: DataFrame, rules=RULES) -> DataFrame:
     """``documents`` with the statistics and ``kept``."""
     df = base_statistics(documents)
     return df.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def keep_good(documents: DataFrame, rules=RULES) -> DataFrame:
+    """The rows of ``documents`` that are kept, all columns as they were.
+
+    The row number in the predicate keeps the optimizer from moving it below the projections, which
+    would copy the statistics into each other's lambdas.
+    """
+    names = documents.columns
+    judged = judge(documents.select(F.col("text"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("__row")), rules)
+    judged = judged.withColumn("__place", F.monotonically_increasing_id())
+    return judged.where((F.col("__place") >= 0) & F.col("kept")).select("__row.*")
