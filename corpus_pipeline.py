@@ -17,7 +17,7 @@ from loomline.llm.shared import materialize, shared_dir, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the threshold table rejects go."""
-    return quality.judge(docs).where("kept").select(docs.columns)
+    return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
