@@ -46,31 +46,31 @@ def ambiguous(ext: Column, text: Column) -> Column:
     )
 
 
-def interpreter(text: Column) -> Column:
-    """The key of the interpreter that a whole first line names, or null where none is named."""
-    line = F.regexp_replace(F.when(text.contains("\n"), F.substring_index(text, "\n", 1)), f"^{JAVA_SPACES}+", "")
-    named = F.when(line.rlike(SHEBANG_ENV), F.regexp_extract(line, SHEBANG_ENV, 2)).when(line.rlike(SHEBANG_PATH), F.regexp_extract(line, SHEBANG_PATH, 1))
-    out = named
-    for name, key in INTERPRETERS.items():
-        out = F.when(named == name, F.lit(key)).otherwise(out)
-    return out
-
-
-def file_key(path: Column, content: Column) -> Column:
-    """The key of a file, '' for none.  An interpreter decides even if its key is unknown."""
-    base = base_name(path)
-    ext = extension(base)
-    text = content.cast("string")
-    named = None
-    for name, key in EXACT_NAMES.items():
-        named = F.when(base == name, key) if named is None else named.when(base == name, key)
-    for name, key in LOWER_NAMES.items():
-        named = named.when(F.lower(base) == name, key)
-    return F.when(ext.isin("m", "v", "fs", "r", "ts", "mo"), ambiguous(ext, text)).otherwise(F.coalesce(named, interpreter(text), ext))
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    """The entry of a small fixed table, null where there is none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
+def with_key(files: DataFrame) -> DataFrame:
+    """Adds ``key``: the key of each file, '' for none, from its path and content.
+
+    An interpreter decides even if its key is unknown.  Steps are columns of their own, so that no
+    expression is written out twice.
+    """
+    text = F.col("content").cast("string")
+    first_line = F.when(text.startswith("#!") | text.rlike(rf"\A{JAVA_SPACES}+#!"), F.when(text.contains("\n"), F.substring_index(text, "\n", 1)))
+    df = files.withColumn("__base", base_name(F.col("path")))
+    df = df.withColumns({"__ext": extension(F.col("__base")), "__line": F.regexp_replace(first_line, f"^{JAVA_SPACES}+", "")})
+    line = F.col("__line")
+    df = df.withColumn("__named", F.when(line.rlike(SHEBANG_ENV), F.regexp_extract(line, SHEBANG_ENV, 2)).when(line.rlike(SHEBANG_PATH), F.regexp_extract(line, SHEBANG_PATH, 1)))
+    ext, interpreter = F.col("__ext"), F.coalesce(_lookup(INTERPRETERS, F.col("__named")), F.col("__named"))
+    named = F.coalesce(_lookup(EXACT_NAMES, F.col("__base")), _lookup(LOWER_NAMES, F.lower("__base")), interpreter, ext)
+    df = df.withColumn("key", F.when(ext.isin("m", "v", "fs", "r", "ts", "mo"), ambiguous(ext, text)).otherwise(named))
+    return df.drop("__base", "__ext", "__line", "__named")
 
 
 def with_language(files: DataFrame, keys: dict[str, str]) -> DataFrame:
     """Inner join with the extension map, which has one row for each key of the registry."""
     spark = files.sparkSession
     table = spark.createDataFrame(sorted(keys.items()), "key string, language string")
-    return files.withColumn("key", file_key(F.col("path"), F.col("content"))).join(F.broadcast(table), "key").drop("key")
+    return with_key(files).join(F.broadcast(table), "key").drop("key")

@@ -1,7 +1,6 @@
 """SQL surface: the table function scan_lines and the functions count_lines and detect_language."""
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -23,8 +22,6 @@ class ScanLines:
 
 
 def register(spark: SparkSession) -> None:
-    import pandas as pd
-
     @F.pandas_udf("code long, comment long, blank long")
     def count_lines(content: pd.Series, language: pd.Series) -> pd.DataFrame:
         known = builtin()
