@@ -33,7 +33,6 @@ RULES = (
     ("dup_line_ratio", None, 0.5),
 )
 
-_NO_WORDS = F.array().cast("array<string>")
 
 
 def words_of(text: Column) -> Column:
@@ -59,16 +58,29 @@ def covered(places: Column, width: int) -> Column:
     return F.aggregate(places, start, step, lambda s: s["n"])
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once.  Wherever the optimizer moves the expression
+    (below a filter, into a lambda), it carries its own binding."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def n_repeat_words(words: Column) -> Column:
+    """Hashes of the words once, then of each window's three, sorted with their places."""
+
+    def windows(h: Column) -> Column:
+        one = lambda x, i: F.struct(F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)).alias("h"), i.alias("i"))
+        return F.array_sort(F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - 2, F.lit(0))), one))
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return let(hashes, lambda h: let(windows(h), lambda s: covered(repeated_window_words(s), 3).cast("long")))
+
+
 def base_statistics(documents: DataFrame) -> DataFrame:
     """``documents`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed
     and the ratios that RULES use."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = documents.withColumn("__text", text).withColumn("__words", words_of(F.col("__text")))
     df = df.withColumn("__lines", F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    # hashes of the words once, then of each window's three
-    df = df.withColumn("__h", F.transform("__words", lambda w: F.xxhash64(w)))
-    window = lambda x, i: F.struct(F.xxhash64(x, F.get("__h", i + 1), F.get("__h", i + 2)).alias("h"), i.alias("i"))
-    df = df.withColumn("__windows", F.array_sort(F.transform(F.expr("slice(__h, 1, greatest(size(__h) - 2, 0))"), window)))
     n = F.size("__words").cast("long")
     df = df.withColumns(
         {
@@ -76,7 +88,7 @@ def base_statistics(documents: DataFrame) -> DataFrame:
             "word_chars": F.length(F.regexp_replace("__text", r"[\x20\x09-\x0D]+", "")).cast("long"),
             "n_symbols": F.length(F.regexp_replace("__text", r"[^#*$%&|<>]+", "")).cast("long"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "n_repeat_words": covered(repeated_window_words(F.col("__windows")), 3).cast("long"),
+            "n_repeat_words": n_repeat_words(F.col("__words")),
         }
     )
     at_least_one = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
@@ -89,7 +101,7 @@ def base_statistics(documents: DataFrame) -> DataFrame:
             "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.size("__lines"), F.lit(1)).cast("double"),
         }
     )
-    return df.drop("__text", "__words", "__lines", "__h", "__windows")
+    return df.drop("__text", "__words", "__lines")
 
 
 def verdict(rules=RULES) -> Column:
