@@ -36,7 +36,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{shared_dir(spark)}/tokens"
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
-    return token_files.id_checksums(token_files.read_token_files(spark, path))
+    return token_files.id_checksums(spark, path)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

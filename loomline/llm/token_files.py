@@ -81,17 +81,29 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, end_id: i
     rows.mapInArrow(encode, "doc_id long, part int, part_start long, n_tokens long, ids array<int>").write.options(**ORC_OPTIONS).orc(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids.  The parts' sizes, one row for each file, give the starts."""
-    rows = spark.read.orc(path)
-    sizes = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+def part_starts(tokens: DataFrame) -> DataFrame:
+    """The ids before each part: one row for each file that was written."""
+    sizes = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("part", before.alias("part_before"))
-    return rows.join(starts, "part").select("doc_id", (F.col("part_before") + F.col("part_start")).alias("start"), "n_tokens", "ids")
+    return sizes.select("part", before.alias("part_before"))
+
+
+def with_starts(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Replaces part and part_start by ``start``, the ids of all documents before."""
+    rows = rows.join(part_starts(tokens), "part").withColumn("start", F.col("part_before") + F.col("part_start"))
+    return rows.select("doc_id", "start", *[c for c in rows.columns if c not in ("doc_id", "start", "part", "part_start", "part_before")])
+
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids; filters on doc_id reach the stripes."""
+    tokens = spark.read.orc(path)
+    return with_starts(tokens, tokens)
 
 
-def id_checksums(tokens: DataFrame) -> DataFrame:
-    """Replaces ``ids`` by the CRC-32 of the ids as little-endian unsigned 32-bit integers."""
+def id_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32, the CRC-32 of the ids as little-endian unsigned 32-bit
+    integers.  The ids are summed where they are read; only the sums are dealt."""
+    names = ["doc_id", "part", "part_start", "n_tokens"]
 
     def sums(batches):
         for batch in batches:
@@ -99,6 +111,8 @@ def id_checksums(tokens: DataFrame) -> DataFrame:
             off = np.asarray(lists.offsets).astype(np.int64)
             raw = memoryview(np.ascontiguousarray(np.asarray(lists.values), dtype="<u4")).cast("B")
             crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(crc, pa.int64())], names=[*names, "ids_crc32"])
 
-    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(sums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tokens = spark.read.orc(path)
+    rows = tokens.select(*names, "ids").mapInArrow(sums, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
+    return with_starts(rows, tokens)
