@@ -16,10 +16,14 @@ def test_run(spark, tmp_path):
     import random
 
     rng = random.Random(9)
-    texts = [cases.prose(rng, 120) for _ in range(6)]
-    texts += [texts[0] + " tail", "too short", cases.prose(rng, 60) + " password = hunter2222 " + cases.prose(rng, 20), None]
+
+    def prose(n):
+        return "the " + cases.prose(rng, n // 2) + " of and " + cases.prose(rng, n - n // 2)
+
+    texts = [prose(120) for _ in range(6)]
+    texts += [texts[0] + " tail", "too short", prose(60) + " password = hunter2222 " + cases.prose(rng, 20), None]
     leak = "the quick stone under early winter road is quiet and tall with green light of the morning paper"
-    texts.append(cases.prose(rng, 80) + " " + leak + ". " + cases.prose(rng, 10))
+    texts.append(prose(80) + " " + leak + ". " + cases.prose(rng, 10))
     docs = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(docs, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
