@@ -34,6 +34,9 @@ ORC_OPTIONS = {
 }
 
 
+SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
+
+
 def with_end(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Appends ``end_id`` to each document's ids."""
     n = len(at) - 1
@@ -78,7 +81,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, end_id: i
 
     rows = only(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(encode, "doc_id long, part int, part_start long, n_tokens long, ids array<int>").write.options(**ORC_OPTIONS).orc(path)
+    rows.mapInArrow(encode, SCHEMA).write.options(**ORC_OPTIONS).orc(path)
 
 
 def part_starts(tokens: DataFrame) -> DataFrame:
@@ -96,7 +99,7 @@ def with_starts(rows: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids; filters on doc_id reach the stripes."""
-    tokens = spark.read.orc(path)
+    tokens = spark.read.schema(SCHEMA).orc(path)
     return with_starts(tokens, tokens)
 
 
@@ -113,6 +116,6 @@ def id_checksums(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(crc, pa.int64())], names=[*names, "ids_crc32"])
 
-    tokens = spark.read.orc(path)
+    tokens = spark.read.schema(SCHEMA).orc(path)
     rows = tokens.select(*names, "ids").mapInArrow(sums, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
     return with_starts(rows, tokens)
