@@ -240,7 +240,8 @@ def jaccard_classes(documents: DataFrame, threshold: float = THRESHOLD, size: in
                         names=["gkey", "band", "i", "j", "own", "home", "node", "copies", "sig", "shingles"],
                     )
 
-    dealt = documents.join(work, documents["doc_id"] == work["doc"]).select("text", "node", "copies", "places").mapInArrow(deal, "gkey long, band int, i int, j int, own int, home long, node long, copies long, sig binary, shingles binary")
+    # both sides grow with the input: a merge join at every size, never a broadcast
+    dealt = documents.join(work.hint("merge"), documents["doc_id"] == work["doc"]).select("text", "node", "copies", "places").mapInArrow(deal, "gkey long, band int, i int, j int, own int, home long, node long, copies long, sig binary, shingles binary")
     keys = ["gkey", "band", "i", "j"]
 
     def compare(batches):
