@@ -7,8 +7,16 @@ if the placeholders' values map one to one: the same value of the item always st
 value of the text and no two for the same one, as in a question with new parameters.  An item is
 found in a text if its windows on one diagonal cover at least ``COVERAGE`` of the item's.
 
+Edited and partial passages have windows of ``EDIT_WINDOW`` tokens, a name of several words being
+one token.  Those of up to ``SHIFT`` + 1 neighbouring diagonals are put together (inserted, dropped
+and changed words), values mapping one to one over all of them; the item is found if the tokens they
+cover hold ``LEAST_LITERALS`` literals and are half of the item's (rounded down, less the first token,
+whose type depends on what stands before it), or hold ``RUN`` literals.  Items under eight tokens are matched whole only; of eight to ten tokens a changed word
+in the middle can leave too little.
+
 A name is a capitalised token that does not open a sentence or line; a unit is a token of ``UNITS``
-after a number.  Windows in which fewer than five of eight tokens are literal are not used.
+after a number.  Windows in which fewer than five of eight tokens are literal are compared by their
+values, not by placeholders, in edited passages; whole ones don't use them.
 
 Benchmark windows are broadcast only where their number is below ``BROADCAST_WINDOWS``, counted
 first; beyond it the join shuffles.  Defined results: null or empty texts and items match nothing;
@@ -24,10 +32,19 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize, shared_dir
+
 WINDOW = 8
 LITERAL = 5
 COVERAGE = 0.5
 BROADCAST_WINDOWS = 1_000_000
+#: edited passages: short windows, their least literals, diagonals put together, and the matched
+#: literals that any find needs and that are enough whatever the item's length
+EDIT_WINDOW = 5
+EDIT_LITERAL = 3
+SHIFT = 4
+LEAST_LITERALS = 7
+RUN = 13
 
 # Fixed word list: units that follow a number
 UNITS = "% $ € £ ° km m cm mm mi ft in kg g mg lb oz l ml s sec min h hr hour hours day days week weeks month months year years mph kmh usd eur dollar dollars euro euros cent cents percent degrees meters metres miles feet inches grams litres liters minutes seconds".split()
@@ -61,64 +78,122 @@ def canonical(tokens: str) -> Column:
 
 
 def with_tokens(df: DataFrame) -> DataFrame:
-    """Adds __tokens and __hashes.  Each step is a column of its own and read more than once by the
-    next, so the optimizer doesn't move it into a lambda, which would evaluate it for each element."""
-    df = df.withColumn("__raw", raw_tokens(F.col("text"))).withColumn("__tokens", canonical("__raw")).drop("__raw")
-    return df.withColumn("__hashes", F.transform("__tokens", lambda x: F.xxhash64(x["typed"])))
+    """Adds __tokens.  Each step is a column of its own and read more than once by the next, so the
+    optimizer doesn't move it into a lambda, which would evaluate it for each element."""
+    return df.withColumn("__raw", raw_tokens(F.col("text"))).withColumn("__tokens", canonical("__raw")).drop("__raw")
+
+
+def joined_names(tokens: str) -> Column:
+    """The tokens with each run of names as its first: names of other lengths shift nothing."""
+    second = lambda x, i: (x["typed"] == NAME) & (i > 0) & (F.get(F.col(tokens), i - 1)["typed"] == NAME)
+    return F.filter(tokens, lambda x, i: ~F.coalesce(second(x, i), F.lit(False)))
 
 
-def windows(tokens: Column, hashes: Column, size: int, literal: int) -> Column:
-    """An array of (place, h, slots) of the usable windows; slots: values of the placeholders."""
+def with_hashes(df: DataFrame, tokens: str, name: str) -> DataFrame:
+    """Adds arrays along ``tokens``: hashes of types and of values, and the values of placeholders."""
     slot = lambda x: x["typed"].isin(NUM, NAME, UNIT)
+    return df.withColumns(
+        {
+            f"__{name}_hashes": F.transform(tokens, lambda x: F.xxhash64(x["typed"])),
+            f"__{name}_values": F.transform(tokens, lambda x: F.xxhash64(x["value"])),
+            f"__{name}_slots": F.transform(tokens, lambda x: F.when(slot(x), x["value"]).otherwise("")),
+        }
+    )
 
-    def one(i: Column) -> Column:
-        slots = F.transform(F.filter(F.slice(tokens, i + 1, size), slot), lambda x: x["value"])
-        return F.struct(i.alias("place"), F.xxhash64(F.lit(size), F.slice(hashes, i + 1, size)).alias("h"), slots.alias("slots"))
 
-    n = F.least(F.size(tokens), F.size(hashes))
-    places = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(places, one), lambda w: F.size(w["slots"]) <= size - literal)
+def windows(name: str, size: int, literal: int) -> Column:
+    """An array of (place, h, slots, rich); slots: values of the placeholders.  A window with fewer
+    than ``literal`` literals is not rich: its hash is that of the values themselves."""
+    hashes, values, slots = (F.col(f"__{name}_{x}") for x in ("hashes", "values", "slots"))
 
+    def one(i: Column) -> Column:
+        return F.struct(i.alias("place"), F.array_remove(F.slice(slots, i + 1, size), F.lit("")).alias("slots"))
 
-def all_windows(df: DataFrame, sizes: list[int]) -> DataFrame:
-    """``df`` (with ``text``) exploded to place, h and slots."""
-    df = with_tokens(df)
-    parts = [windows(F.col("__tokens"), F.col("__hashes"), s, -(-LITERAL * s // WINDOW)) for s in sizes]
+    def keyed(w: Column) -> Column:
+        rich = F.size(w["slots"]) <= size - literal
+        part = lambda x: F.slice(x, w["place"] + 1, size)
+        h = F.when(rich, F.xxhash64(F.lit(name), F.lit(size), part(hashes))).otherwise(F.xxhash64(F.lit(name), F.lit(-size), part(values)))
+        return F.struct(w["place"].alias("place"), h.alias("h"), w["slots"].alias("slots"), rich.alias("rich"))
+
+    n = F.least(F.size(hashes), F.size(values), F.size(slots))
+    places = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.transform(places, one), keyed)
+
+
+def all_windows(df: DataFrame, sizes: list[int], edited: bool) -> DataFrame:
+    """``df`` (with ``text``) exploded to place, h, slots and rich: windows of ``sizes`` and, if
+    ``edited``, of ``EDIT_WINDOW`` over joined names."""
+    keep = [c for c in df.columns if c != "text"]
+    df = with_hashes(with_tokens(df), "__tokens", "whole")
+    parts = [windows("whole", s, -(-LITERAL * s // WINDOW)) for s in sizes]
+    if edited:
+        df = with_hashes(df.withColumn("__joined", joined_names("__tokens")), "__joined", "edit")
+        parts.append(windows("edit", EDIT_WINDOW, EDIT_LITERAL))
     found = F.concat(*parts) if len(parts) > 1 else parts[0]
-    keep = [c for c in df.columns if c not in ("text", "__tokens", "__hashes")]
     return df.select(*keep, F.inline(found))
 
 
-def find_items(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """doc_id, text_key (hash of the text), item_id, n_windows, coverage, n_slots: items found."""
+def one_to_one(pairs: str) -> Column:
+    return (F.size(F.array_distinct(F.transform(pairs, lambda x: x["a"]))) == F.size(pairs)) & (F.size(F.array_distinct(F.transform(pairs, lambda x: x["b"]))) == F.size(pairs))
+
+
+def find_items(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, broadcast_windows: int = BROADCAST_WINDOWS, edited: bool = True) -> DataFrame:
+    """doc_id, text_key (hash of the text), item_id, n_windows, coverage, n_slots: items found.
+
+    ``edited`` false: whole windows on one diagonal only."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    items = with_tokens(items).withColumn("own", F.least(F.size("__tokens"), F.lit(WINDOW))).drop("__tokens", "__hashes")
+    items = with_tokens(items).withColumn("own", F.least(F.size("__tokens"), F.lit(WINDOW))).drop("__tokens")
     short = [r[0] for r in items.where((F.col("own") > 0) & (F.col("own") < WINDOW)).select("own").distinct().collect()]  # at most WINDOW - 1 rows
     sizes = [WINDOW, *sorted(short)]
     items = items.withColumn("item_key", F.xxhash64("item_id", "text")).dropDuplicates(["item_id", "item_key"])
     # an item has windows of full size, or its whole text as its one window
-    wanted = [all_windows(items.where(F.col("own") == s), [s]) for s in sizes]
-    wanted = functools.reduce(DataFrame.unionByName, wanted)
-    wanted = wanted.select("item_id", "item_key", F.col("place").alias("item_place"), "h", F.col("slots").alias("item_slots"))
-    totals = wanted.groupBy("item_key").agg(F.countDistinct("item_place").alias("total"))
-    wanted = wanted.join(totals, "item_key")
+    whole = [all_windows(items.where(F.col("own") == s), [s], False) for s in sizes]
+    whole = functools.reduce(DataFrame.unionByName, whole)
+    totals = whole.groupBy("item_key").agg(F.max("rich").alias("has_rich"), F.countDistinct(F.when(F.col("rich"), F.col("place"))).alias("n_rich"), F.countDistinct("place").alias("n"))
+    whole = whole.join(totals, "item_key").where("rich").withColumn("total", F.when(F.col("has_rich"), F.col("n_rich")).otherwise(F.col("n")))
+    fields = ["item_id", "item_key", F.col("place").alias("item_place"), "h", F.col("slots").alias("item_slots"), "total"]
+    wanted = whole.select(*fields)
+    if edited:  # total 0 marks them
+        wanted = wanted.unionByName(all_windows(items.where(F.col("own") == WINDOW), [], True).withColumn("total", F.lit(0).cast("long")).select(*fields))
     n = wanted.count()
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     docs = docs.withColumn("text_key", F.xxhash64("text"))
     side = F.broadcast(wanted) if n <= broadcast_windows else wanted
-    hits = all_windows(docs, sizes).join(side, "h")
+    hits = all_windows(docs, sizes, edited).join(side, "h")
     pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x["item_slots"].alias("a"), x["slots"].alias("b")))
     grouped = (
         hits.withColumn("pairs", pairs)
         .groupBy("doc_id", "text_key", "item_id", "item_key", "total", (F.col("place") - F.col("item_place")).alias("diagonal"))
-        .agg(F.countDistinct("item_place").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+        .agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     )
-    one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"]))) == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda x: x["b"]))) == F.size("pairs"))
-    good = grouped.where(one_to_one & (F.col("n_windows") >= coverage * F.col("total")))
-    best = good.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("n_windows", (F.col("n_windows") / F.col("total")).alias("coverage"), F.size("pairs").alias("n_slots"))).alias("best"))
+    if edited:  # read twice
+        grouped = materialize(grouped, f"{shared_dir(documents.sparkSession)}/diagonals")
+    n_windows = F.size("places").cast("long")
+    good = grouped.where((F.col("total") > 0) & one_to_one("pairs") & (n_windows >= coverage * F.col("total")))
+    good = good.select("doc_id", "text_key", "item_id", F.lit(1).alias("whole"), n_windows.alias("n_windows"), (n_windows / F.col("total")).alias("coverage"), F.size("pairs").alias("n_slots"))
+    if edited:
+        good = good.unionByName(edited_passages(grouped.where("total = 0"), items, coverage))
+    best = good.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("whole", "n_windows", "coverage", "n_slots")).alias("best"))
     return best.select("doc_id", "text_key", "item_id", "best.n_windows", "best.coverage", F.col("best.n_slots").cast("long").alias("n_slots"))
 
 
+def edited_passages(diagonals: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
+    """Items found by short windows of up to ``SHIFT`` + 1 neighbouring diagonals together."""
+    key = ["doc_id", "text_key", "item_id", "item_key"]
+    facts = with_tokens(items).select("item_key", joined_names("__tokens").alias("__joined"))
+    facts = facts.select(F.col("item_key").alias("of"), F.size("__joined").alias("size"), F.transform("__joined", lambda x: ~x["typed"].isin(NUM, NAME, UNIT)).alias("literal"))
+    near = [F.struct((F.col("diagonal") - k).alias("lo"), F.lit(w).alias("w")) for w in range(SHIFT + 1) for k in range(w + 1)]
+    spread = diagonals.withColumn("span", F.explode(F.array(*near)))
+    spread = spread.groupBy(*key, "span").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    spread = spread.where((F.size("places") > 1) & one_to_one("pairs")).join(facts, F.col("item_key") == F.col("of"))
+    covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + EDIT_WINDOW - 1))))
+    spread = spread.withColumn("covered", covered)
+    literals = F.size(F.filter("covered", lambda p: F.get(F.col("literal"), p)))
+    enough = F.size("covered") + 1 >= F.floor(coverage * F.col("size"))  # the first token can be a name in one of the two only
+    found = spread.withColumn("literals", literals).where((F.col("literals") >= LEAST_LITERALS) & (enough | (F.col("literals") >= RUN)))
+    return found.select("doc_id", "text_key", "item_id", F.lit(0).alias("whole"), F.size("places").cast("long").alias("n_windows"), (F.size("covered") / F.col("size")).alias("coverage"), F.size("pairs").alias("n_slots"))
+
+
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``documents`` whose text holds no item, all columns."""
     bad = find_items(documents, benchmark, **options).select(F.col("text_key").alias("__bad")).distinct()

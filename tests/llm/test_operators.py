@@ -211,6 +211,24 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.find_items(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_of_edited_passages(spark):
+    item = "In 2021 Anna Berg sold 30 red apples to the old baker for 12 dollars each day and Anna kept 5 apples."
+    plain = "stone river light tall green walking quiet morning paper house under letter winter early road"
+    b = spark.createDataFrame([(1, item), (2, plain)], "item_id long, text string")
+    w = plain.split()
+    texts = [" ".join(w[:p] + ["zzz"] + w[p:]) for p in range(1, 15)] + [" ".join(w[:p] + ["zzz"] + w[p + 1 :]) for p in range(15)] + [" ".join(w[:p] + w[p + 1 :]) for p in range(15)]
+    texts += [" ".join(w[:7]), " ".join(w[7:]), "So it was. " + " ".join(w[8:])]
+    found = [(k, 2) for k in range(len(texts))]
+    shifted = ["Hm. In 1999 Otto sold 77 red apples to the old baker for 3 dollars each day and Otto kept 9 apples.", "In 2021 Anna Berg sold 30 red apples to the old baker for 12 dollars each", "sold 30 very red apples to the old and tired baker for 12 dollars each day and Anna kept 5"]
+    found += [(100 + k, 1) for k in range(len(shifted))]
+    clean = ["In 1999 Otto Klein sold 77 red apples to the old baker for 3 dollars each day and Klein kept 9 apples.", "stone river light tall green", "letter winter early road under house paper morning quiet walking green tall light river stone"]
+    rows_ = [*enumerate(texts), *((100 + k, t) for k, t in enumerate(shifted)), *((200 + k, t) for k, t in enumerate(clean))]
+    d = spark.createDataFrame(rows_, "doc_id long, text string")
+    assert rows(decontaminate.find_items(d, b), "doc_id", "item_id") == sorted(found, key=str)
+    assert rows(decontaminate.find_items(d, b, broadcast_windows=0), "doc_id", "item_id") == sorted(found, key=str)
+    assert sorted(r.doc_id for r in decontaminate.remove_contaminated(d, b).collect()) == [200, 201, 202]
+
+
 def test_license_scan(spark, docs, empty):
     texts = [(k, f"é before {t} after") for k, (_, t) in enumerate(license_scan.TEMPLATES)]
     long = next(k for k, (_, t) in enumerate(license_scan.TEMPLATES) if len(t) > 300)
