@@ -16,7 +16,7 @@ in the middle can leave too little.
 
 A name is a capitalised token that does not open a sentence or line; a unit is a token of ``UNITS``
 after a number.  Windows in which fewer than five of eight tokens are literal are compared by their
-values, not by placeholders, in edited passages; whole ones don't use them.
+values, not by placeholders; on one diagonal they count only for items that have no other windows.
 
 Benchmark windows are broadcast only where their number is below ``BROADCAST_WINDOWS``, counted
 first; beyond it the join shuffles.  Defined results: null or empty texts and items match nothing;
@@ -149,8 +149,9 @@ def find_items(documents: DataFrame, benchmark: DataFrame, coverage: float = COV
     # an item has windows of full size, or its whole text as its one window
     whole = [all_windows(items.where(F.col("own") == s), [s], False) for s in sizes]
     whole = functools.reduce(DataFrame.unionByName, whole)
+    # windows poor in literals count where the item has no others
     totals = whole.groupBy("item_key").agg(F.max("rich").alias("has_rich"), F.countDistinct(F.when(F.col("rich"), F.col("place"))).alias("n_rich"), F.countDistinct("place").alias("n"))
-    whole = whole.join(totals, "item_key").where("rich").withColumn("total", F.when(F.col("has_rich"), F.col("n_rich")).otherwise(F.col("n")))
+    whole = whole.join(totals, "item_key").where("rich = has_rich").withColumn("total", F.when(F.col("has_rich"), F.col("n_rich")).otherwise(F.col("n")))
     fields = ["item_id", "item_key", F.col("place").alias("item_place"), "h", F.col("slots").alias("item_slots"), "total"]
     wanted = whole.select(*fields)
     if edited:  # total 0 marks them

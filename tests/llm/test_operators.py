@@ -229,6 +229,16 @@ def test_decontamination_of_edited_passages(spark):
     assert sorted(r.doc_id for r in decontaminate.remove_contaminated(d, b).collect()) == [200, 201, 202]
 
 
+def test_decontamination_of_items_poor_in_literals(spark):
+    items = ["Solve: 3x + 5 = 20", "What is 12 + 7 * 3 - 4?", "Compute 17 * 23 + 4 / 2 - 9 * 11 + 6", "List the numbers: 2, 3, 5, 7, 11, 13, 17 and 19 in order", "Anna Berta Carl Dora Emil Fritz Gustav Hans Ida Jonas", "7"]
+    b = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    others = ["What is 12 + 7 * 3 - 5?", "Compute 18 * 23 + 4 / 2 - 9 * 12 + 6", "Anna Carl Berta Dora Fritz Emil Gustav Ida Hans Jonas", "8"]
+    d = spark.createDataFrame([*((k, f"Now. {t}\nEnd") for k, t in enumerate(items)), *((50 + k, t) for k, t in enumerate(others))], "doc_id long, text string")
+    got = rows(decontaminate.find_items(d, b).where("item_id <> 5"), "doc_id", "item_id")
+    assert got == [(k, k) for k in range(5)]
+    assert {r.doc_id for r in decontaminate.find_items(d, b).where("item_id = 5").collect()} >= {5} and 53 not in {r.doc_id for r in decontaminate.find_items(d, b).collect()}
+
+
 def test_license_scan(spark, docs, empty):
     texts = [(k, f"é before {t} after") for k, (_, t) in enumerate(license_scan.TEMPLATES)]
     long = next(k for k, (_, t) in enumerate(license_scan.TEMPLATES) if len(t) > 300)
