@@ -166,7 +166,7 @@ def jaccard_classes(documents: DataFrame, threshold: float = THRESHOLD, size: in
     documents linked, copies included), n_text_links (other texts linked)."""
     spark = documents.sparkSession
     path = shared_dir(spark)
-    documents = only(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    documents = only(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     steps = least_matches(threshold, tolerance)
 
     def sketch(batches):
@@ -181,18 +181,20 @@ def jaccard_classes(documents: DataFrame, threshold: float = THRESHOLD, size: in
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(i, j - i),
+                        batch.column("key").slice(i, j - i),
                         pa.array(nodes, mask=n == 0),
                         pa.array(n.astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.searchsorted(some, np.arange(j - i + 1)).astype(np.int32) * BANDS), pa.array(bands.reshape(-1))),
                     ],
-                    names=["doc_id", "node", "n", "bands"],
+                    names=["doc_id", "key", "node", "n", "bands"],
                 )
 
-    drawn = materialize(documents.mapInArrow(sketch, "doc_id long, node long, n int, bands array<long>"), f"{path}/drawn")
-    texts = drawn.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    drawn = materialize(documents.mapInArrow(sketch, "doc_id long, key long, node long, n int, bands array<long>"), f"{path}/drawn")
+    texts = drawn.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    texts = texts.select("node", F.col("least.doc_id").alias("doc"), F.col("least.key").alias("key"), "copies", "n", "bands")
     texts = materialize(texts, f"{path}/texts")
 
-    buckets = texts.where("doc is not null").select("node", F.posexplode("bands").alias("band", "value"))
+    buckets = texts.select("node", F.posexplode("bands").alias("band", "value"))
     shared = buckets.groupBy("value").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("least")).where("k > 1").select("value", "least")
     held = materialize(buckets.join(shared, "value"), f"{path}/held")  # (value, node, band, least)
     home = held.groupBy("node").agg(F.min("least").alias("home"))
@@ -200,13 +202,13 @@ def jaccard_classes(documents: DataFrame, threshold: float = THRESHOLD, size: in
         least = held.join(home, "node").groupBy("value").agg(F.min("home").alias("to"))
         home = materialize(held.join(least, "value").groupBy("node").agg(F.min("to").alias("home")), f"{path}/home{k}")
     apart = held.join(home, "node").groupBy("value").agg(F.min("home").alias("x"), F.max("home").alias("y")).where("x <> y").select("value")
-    facts = texts.select("node", "doc", "copies", "n")
+    facts = texts.select("node", "doc", "key", "copies", "n")
     tasks = home.select(F.col("home").alias("gkey"), F.lit(-1).alias("band"), "node", "home").unionByName(held.join(apart, "value").join(home, "node").select(F.col("value").alias("gkey"), "band", "node", "home"))
     tasks = tasks.join(facts, "node")
     blocks = tasks.groupBy("gkey", "band").agg(F.ceil(F.sum("n") / block).cast("int").alias("g"), F.count(F.lit(1)).alias("k")).where("k > 1").select("gkey", "band", "g")
     tasks = tasks.join(blocks, ["gkey", "band"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("g")).cast("int"))
     places = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct("gkey", "band", F.least("own", x).alias("i"), F.greatest("own", x).alias("j"), "own", "home"))
-    work = tasks.groupBy("node", "doc", "copies").agg(F.flatten(F.collect_list(places)).alias("places"))
+    work = tasks.groupBy("node", "doc", "key", "copies").agg(F.flatten(F.collect_list(places)).alias("places"))
     work = materialize(work, f"{path}/work")
 
     def deal(batches):
@@ -241,7 +243,10 @@ def jaccard_classes(documents: DataFrame, threshold: float = THRESHOLD, size: in
                     )
 
     # both sides grow with the input: a merge join at every size, never a broadcast
-    dealt = documents.join(work.hint("merge"), documents["doc_id"] == work["doc"]).select("text", "node", "copies", "places").mapInArrow(deal, "gkey long, band int, i int, j int, own int, home long, node long, copies long, sig binary, shingles binary")
+    # rows without an id are found by their text, copies of one text once
+    held_by = documents.where("doc_id is not null").unionByName(documents.where("doc_id is null").dropDuplicates(["text"]))
+    work = work.withColumnRenamed("key", "of")
+    dealt = held_by.join(work.hint("merge"), (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("doc"))).select("text", "node", "copies", "places").mapInArrow(deal, "gkey long, band int, i int, j int, own int, home long, node long, copies long, sig binary, shingles binary")
     keys = ["gkey", "band", "i", "j"]
 
     def compare(batches):

@@ -46,6 +46,18 @@ def test_ngram_join(spark, docs, empty):
     assert ngram_join.jaccard_classes(empty).count() == 0
 
 
+def test_ngram_join_without_ids(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    near = [text, text + " a", text + " b", "z " + text, text, text + " a"]
+    numbered = [(10 + k, t) for k, t in enumerate(near)]
+    want = sorted((x[2:] for x in brute.jaccard_classes(numbered)))
+    for ids in ([None] * 6, [None, None, None, 4, None, 4], [None, 3, 3, None, None, None]):
+        df = spark.createDataFrame(list(zip(ids, near, strict=True)), "doc_id long, text string").repartition(3)
+        got = ngram_join.jaccard_classes(df).collect()
+        assert sorted((r.n_links, r.n_text_links) for r in got) == want
+        assert {r.class_id for r in got} == {min((i for i in ids if i is not None), default=None)}
+
+
 def test_posterior_table():
     least = ngram_join.least_matches()
     assert least == sorted(least) and least[-1] < ngram_join.THRESHOLD * 128 and least[0] <= 1
