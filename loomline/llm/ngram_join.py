@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, only, shared_dir
+from .shared import materialize, shared_dir
 from .textarrays import binary_array, doc_chunks, mix, prefix_sums, ranges, span_hash, utf8, whole_groups, word_hashes, words
 
 SHINGLE = 5
@@ -164,9 +164,16 @@ def compare_group(node: np.ndarray, weight: np.ndarray, home: np.ndarray, side:
 def jaccard_classes(documents: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, tolerance: float = TOLERANCE, block: int = BLOCK_SHINGLES) -> DataFrame:
     """One row for each document: doc_id, class_id (least doc_id of its component), n_links (other
     documents linked, copies included), n_text_links (other texts linked)."""
+    return _classes(documents, threshold, size, tolerance, block).select("doc_id", "class_id", "n_links", "n_text_links")
+
+
+def _classes(documents: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, tolerance: float = TOLERANCE, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """``jaccard_classes`` with each row's node, the root of its class and ``row``, the column __row
+    of ``documents`` if it has one."""
     spark = documents.sparkSession
     path = shared_dir(spark)
-    documents = only(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+    row = F.col("__row") if "__row" in documents.columns else F.lit(None).cast("long")
+    documents = documents.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     steps = least_matches(threshold, tolerance)
 
     def sketch(batches):
@@ -182,14 +189,15 @@ def jaccard_classes(documents: DataFrame, threshold: float = THRESHOLD, size: in
                     [
                         batch.column("doc_id").slice(i, j - i),
                         batch.column("key").slice(i, j - i),
+                        batch.column("row").slice(i, j - i),
                         pa.array(nodes, mask=n == 0),
                         pa.array(n.astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.searchsorted(some, np.arange(j - i + 1)).astype(np.int32) * BANDS), pa.array(bands.reshape(-1))),
                     ],
-                    names=["doc_id", "key", "node", "n", "bands"],
+                    names=["doc_id", "key", "row", "node", "n", "bands"],
                 )
 
-    drawn = materialize(documents.mapInArrow(sketch, "doc_id long, key long, node long, n int, bands array<long>"), f"{path}/drawn")
+    drawn = materialize(documents.mapInArrow(sketch, "doc_id long, key long, row long, node long, n int, bands array<long>"), f"{path}/drawn")
     texts = drawn.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     texts = texts.select("node", F.col("least.doc_id").alias("doc"), F.col("least.key").alias("key"), "copies", "n", "bands")
     texts = materialize(texts, f"{path}/texts")
@@ -272,17 +280,23 @@ def jaccard_classes(documents: DataFrame, threshold: float = THRESHOLD, size: in
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), f"{path}/components")
     nodes = texts.select("node", "doc", "copies").join(totals, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = nodes.groupBy("root").agg(F.min("doc").alias("class_id"))
-    nodes = nodes.join(classes, "root").select("node", "class_id", "links", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n"))
+    nodes = nodes.join(classes, "root").select("node", "root", "class_id", "links", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n"))
     nodes = nodes.withColumnRenamed("node", "of")
-    out = drawn.select("doc_id", "node").join(nodes, F.col("node") == F.col("of"), "left")
-    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("links", F.lit(0)).cast("long").alias("n_text_links"))
+    out = drawn.select("doc_id", "key", "row", "node").join(nodes, F.col("node") == F.col("of"), "left")
+    return out.select("row", "key", "node", "root", "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("links", F.lit(0)).cast("long").alias("n_text_links"))
 
 
 def keep_one_of_each_class(documents: DataFrame, **options) -> DataFrame:
-    """The rows of ``documents`` whose doc_id is the least of its class, all columns.
+    """Exactly one row of each class, all columns: of the least doc_id (null only where the class has
+    no other), then the least hash of the text.  A row without words is a class of its own and stays.
 
-    Rows without an id can't be told apart and stay; rows that repeat an id share its fate.
+    Rows that repeat an id, or have none, are told apart by a number of the row.
     """
-    classes = jaccard_classes(documents, **options)
-    gone = classes.groupBy(F.col("doc_id").alias("__doc")).agg(F.min(F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True))).alias("__first")).where(~F.col("__first")).select("__doc")
-    return documents.join(gone, documents["doc_id"].cast("long") == gone["__doc"], "left_anti")
+    spark = documents.sparkSession
+    path = shared_dir(spark)
+    columns = documents.columns
+    numbered = materialize(documents.withColumn("__row", F.monotonically_increasing_id()), f"{path}/rows")
+    classes = _classes(numbered.select(F.col("__row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), **options)
+    first = classes.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "row"))["row"].alias("__first"))
+    stay = first.select("__first").unionByName(classes.where("root is null").select(F.col("row").alias("__first")))
+    return numbered.join(stay, numbered["__row"] == stay["__first"], "left_semi").select(*[F.col(f"`{c}`") for c in columns])

@@ -58,6 +58,20 @@ def test_ngram_join_without_ids(spark):
         assert {r.class_id for r in got} == {min((i for i in ids if i is not None), default=None)}
 
 
+def test_one_row_of_each_class(spark):
+    numbered = list(enumerate(t for _, t in ROWS))
+    class_of = {k: c for k, c, *_ in brute.jaccard_classes(numbered)}
+    for ids in ([d for d, _ in ROWS], [None] * len(ROWS), [7 if k % 3 else k for k in range(len(ROWS))]):
+        df = spark.createDataFrame([(d, t, k) for (k, t), d in zip(numbered, ids, strict=True)], "doc_id long, text string, k long").repartition(3)
+        kept = ngram_join.keep_one_of_each_class(df)
+        assert kept.columns == df.columns
+        kept = [r.k for r in kept.collect()]
+        assert sorted(class_of[k] for k in kept) == sorted(set(class_of.values()))
+        for k in kept:  # the least id of its class, null only where there is no other
+            known = [ids[x] for x in class_of if class_of[x] == class_of[k] and ids[x] is not None]
+            assert ids[k] == min(known, default=None)
+
+
 def test_posterior_table():
     least = ngram_join.least_matches()
     assert least == sorted(least) and least[-1] < ngram_join.THRESHOLD * 128 and least[0] <= 1
