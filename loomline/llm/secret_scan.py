@@ -3,7 +3,8 @@
 Base patterns give assignments, access keys and hexadecimal runs.  The method adds ``entropy``
 spans: for each candidate string of at least ``window`` key characters a window slides over it, with
 the Shannon entropy of its characters kept up to date from counts (one character leaves, one
-enters).  Each character class (hexadecimal, letters and digits, base64) has its own threshold.
+enters).  Each character class (hexadecimal, letters and digits, base64) has its own threshold, which holds for
+the whole candidate and for each run of a narrower class in it.
 Allow-listed candidates are left alone: words without digits, repeated characters, ids with dashes
 of a known form, numbers, paths.
 
@@ -34,6 +35,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUNS = (re.compile(r"[A-Za-z0-9]{20,}"), re.compile(r"[0-9A-Fa-f]{20,}"))
 ALLOWED = (
     re.compile(r"[A-Za-z_/=+-]*"),  # no digit
     re.compile(r"[0-9_/=+-]*"),  # no letter
@@ -88,6 +90,24 @@ def allowed(s: str) -> bool:
     return any(p.fullmatch(s) for p in ALLOWED)
 
 
+def candidate_runs(s: str, rule: EntropyRule) -> list[tuple[int, int]]:
+    """Runs of a candidate by the class of the whole, and of each run of letters and digits and of
+    hexadecimal characters in it by its own: a key after ``sig=`` is judged as the key alone."""
+    parts = {(0, len(s))} | {m.span() for p in RUNS for m in p.finditer(s)}
+    found = []
+    for a, b in parts:
+        part = s[a:b]
+        if not allowed(part):
+            found += [(a + x, a + y) for x, y in entropy_runs(part, rule.window, getattr(rule, character_class(part)))]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def find_spans(text: str, rule: EntropyRule = EntropyRule()) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind."""
     out = []
@@ -99,9 +119,7 @@ def find_spans(text: str, rule: EntropyRule = EntropyRule()) -> list[tuple[str,
     for m in CANDIDATE.finditer(text):
         s = m[0]
         out += [("hex", m.start() + h.start(), m.start() + h.end()) for h in HEX.finditer(s)]
-        if not allowed(s):
-            least = getattr(rule, character_class(s))
-            out += [("entropy", m.start() + a, m.start() + b) for a, b in entropy_runs(s, rule.window, least)]
+        out += [("entropy", m.start() + a, m.start() + b) for a, b in candidate_runs(s, rule)]
     out.sort(key=lambda x: (x[1], KINDS.index(x[0])))
     return out
 

@@ -204,6 +204,21 @@ def test_secrets(spark, docs, empty):
     assert masked[1].startswith("é [SECRET]") and masked[5] is None and masked[8] == SECRETS[7][1]
 
 
+def test_glued_keys_are_judged_as_alone():
+    import random
+
+    rng = random.Random(4)
+    for alphabet, n in (("0123456789ABCDEF", 32), ("0123456789abcdef", 40), ("0123456789abcdef", 20), ("abcdefghijklmnopqrstuvwxyz0123456789", 24)):
+        for _ in range(200):
+            key = "".join(rng.choice(alphabet) for _ in range(n))
+            alone = {x for k, a, b in secret_scan.find_spans(key) if k == "entropy" for x in range(a, b)}
+            for before, after in (("sig=", ""), ("x/", ""), ("id=", "/a/b"), ("k_", "-z")):
+                glued = {x - len(before) for k, a, b in secret_scan.find_spans(before + key + after) if k == "entropy" for x in range(a, b)}
+                assert alone <= glued
+    assert not secret_scan.find_spans("id=12345678901234567890123 see/some/long-path/of-words/and-more2")
+    assert "0F1E2D3C" not in secret_scan.redact("sig=0F1E2D3C4B5A69780F1E2D3C4B5A6978")
+
+
 def test_entropy_runs_by_recount():
     import math
     import random
