@@ -1,22 +1,29 @@
 """Benchmark decontamination (operator 4): template canonicalisation, native functions only.
 
-Texts become token sequences in which numbers, names and units are typed placeholders; windows of
-eight tokens are hash-joined with those of the benchmark items.  The windows of one text and one
-item on one diagonal (place in the text less place in the item) are put together; they count only
-if the placeholders' values map one to one: the same value of the item always stands for the same
-value of the text and no two for the same one, as in a question with new parameters.  An item is
-found in a text if its windows on one diagonal cover at least ``COVERAGE`` of the item's.
-
-Edited and partial passages have windows of ``EDIT_WINDOW`` tokens, a name of several words being
-one token.  Those of up to ``SHIFT`` + 1 neighbouring diagonals are put together (inserted, dropped
-and changed words), values mapping one to one over all of them; the item is found if the tokens they
-cover hold ``LEAST_LITERALS`` literals and are half of the item's (rounded down, less the first token,
-whose type depends on what stands before it), or hold ``RUN`` literals.  Items under eight tokens are matched whole only; of eight to ten tokens a changed word
-in the middle can leave too little.
-
-A name is a capitalised token that does not open a sentence or line; a unit is a token of ``UNITS``
-after a number.  Windows in which fewer than five of eight tokens are literal are compared by their
-values, not by placeholders; on one diagonal they count only for items that have no other windows.
+A text becomes one canonical string: lower-case tokens parted by single blanks, in which numbers,
+names and units are typed placeholders with their value, ``#12``, ``@anna``, ``~km``.  Windows of
+``WINDOW`` tokens are hash-joined with those of the benchmark items; in a window with at least
+``LITERAL`` literal tokens the placeholders stand for any value, in others the values must be equal,
+so an item poor in literals has windows too.
+
+The windows of one text and one item on up to ``SHIFT`` + 1 neighbouring diagonals (place in the text
+less place in the item: inserted, dropped and changed words) are put together.  They count only if
+the placeholders' values map one to one: the same value of the item always stands for the same value
+of the text and no two for the same one, as in a question with new parameters.  The item is found if
+the tokens they cover
+
+* hold ``LEAST_LITERALS`` literals and are half of the item's (rounded down, less the first token, whose
+  type depends on what stands before it), or hold ``RUN`` literals; or
+* for items that have no more than ``LEAST_LITERALS`` literals, are all of the item's but for the
+  first, and five of eight are literal or all values are equal.
+
+A name is a run of capitalised tokens that does not open a sentence or line, known by its first: a
+name of two words shifts nothing where one of one word stood.  A unit is a token of ``UNITS`` after a
+number.
+
+Everything per token is done by regular expressions over whole strings, and per window by expressions
+over exploded rows; texts are exploded ``CHUNK`` tokens at a time, so a row never holds all windows of
+a long text.  Slots are read from the few windows that match.
 
 Benchmark windows are broadcast only where their number is below ``BROADCAST_WINDOWS``, counted
 first; beyond it the join shuffles.  Defined results: null or empty texts and items match nothing;
@@ -28,174 +35,125 @@ either side gives no rows.
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize, shared_dir
 
-WINDOW = 8
-LITERAL = 5
+WINDOW = 5
+LITERAL = 3
 COVERAGE = 0.5
 BROADCAST_WINDOWS = 1_000_000
-#: edited passages: short windows, their least literals, diagonals put together, and the matched
-#: literals that any find needs and that are enough whatever the item's length
-EDIT_WINDOW = 5
-EDIT_LITERAL = 3
+#: neighbouring diagonals put together, and the matched literals that any find of a longer item
+#: needs and that are enough whatever the item's length
 SHIFT = 4
 LEAST_LITERALS = 7
 RUN = 13
+#: tokens that are exploded at a time
+CHUNK = 256
 
 # Fixed word list: units that follow a number
 UNITS = "% $ € £ ° km m cm mm mi ft in kg g mg lb oz l ml s sec min h hr hour hours day days week weeks month months year years mph kmh usd eur dollar dollars euro euros cent cents percent degrees meters metres miles feet inches grams litres liters minutes seconds".split()
 TOKEN = r"(\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+|[%$€£°]|[.!?:\n])"
-STOPS = (".", "!", "?", ":", "\n")
-NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
+#: first characters of placeholders; no token holds them
+NUM, NAME, UNIT = "#", "@", "~"
+SLOT = f"[{NUM}{NAME}{UNIT}]"
 
+_UNIT = r"(?<=\p{N} )(?i:" + "|".join(re.escape(u) for u in UNITS) + ")(?= )"
+_CAPITAL = r"\p{Lu}\p{Ll}[^ ]*+"
+_NAMES = rf"(?<=[^ .!?:\n] )({_CAPITAL})(?: {_CAPITAL})*+"
 
-def raw_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(TOKEN), F.lit(1))
 
+def canonical(text: Column) -> Column:
+    """The canonical string, a blank before the first token and after each."""
+    s = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(TOKEN), F.lit(1)), " "), F.lit(" "))
+    s = F.regexp_replace(s, _UNIT, f"{UNIT}$0")
+    s = F.regexp_replace(s, _NAMES, f"{NAME}$1")
+    s = F.lower(F.regexp_replace(s, r"(?<= )(?=\p{N})", NUM))
+    return F.regexp_replace(s, r"(?<= )[.!?:\n] ", "")
 
-def canonical(tokens: str) -> Column:
-    """An array of (typed, value) from the column of raw tokens: lower-case tokens, and placeholders
-    with the value they stand for."""
 
-    def typed(t: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(F.col(tokens), i - 1))
-        unit = F.lower(t).isin(UNITS) & before.rlike(r"^\p{N}")
-        name = t.rlike(r"^\p{Lu}\p{Ll}") & before.isNotNull() & ~before.isin(*STOPS)
-        return (
-            F.when(t.isin(*STOPS), F.lit(None).cast("string"))
-            .when(t.rlike(r"^\p{N}"), F.lit(NUM))
-            .when(unit, F.lit(UNIT))
-            .when(name, F.lit(NAME))
-            .otherwise(F.lower(t))
-        )
+def exploded(df: DataFrame, size: int) -> DataFrame:
+    """``df`` (with the canonical string ``__s``) exploded to place and w, the windows of ``size`` tokens."""
+    keep = [c for c in df.columns if c != "__s"]
+    chunks = F.regexp_extract_all("__s", F.lit(rf"(?=((?:[^ ]++ ){{1,{CHUNK + size - 1}}}+))(?:[^ ]++ ){{1,{CHUNK}}}+"), F.lit(1))
+    df = df.select(*keep, F.posexplode(chunks).alias("__c", "__chunk"))
+    tokens = " ".join(["[^ ]++"] * size)
+    found = F.regexp_extract_all("__chunk", F.lit(rf"(?=({tokens}) )[^ ]++ "), F.lit(1))
+    df = df.select(*keep, "__c", F.posexplode(found).alias("__p", "w"))
+    return df.select(*keep, (F.col("__c") * CHUNK + F.col("__p")).alias("place"), "w")
 
-    marked = F.transform(tokens, lambda t, i: F.struct(typed(t, i).alias("typed"), F.lower(t).alias("value")))
-    return F.filter(marked, lambda x: x["typed"].isNotNull())
 
+def template(w: Column, size: int) -> Column:
+    """What a window is compared by: its types, or its values where literals are few."""
+    slots = size - -(-LITERAL * size // WINDOW)  # the most that a template has
+    typed = F.regexp_replace(w, f"({SLOT})[^ ]+", "$1")
+    poor = w.rlike(".*".join([SLOT] * (slots + 1)))
+    return F.when(~w.rlike(SLOT), w).when(poor, F.concat(F.lit("="), w)).otherwise(typed)
 
-def with_tokens(df: DataFrame) -> DataFrame:
-    """Adds __tokens.  Each step is a column of its own and read more than once by the next, so the
-    optimizer doesn't move it into a lambda, which would evaluate it for each element."""
-    return df.withColumn("__raw", raw_tokens(F.col("text"))).withColumn("__tokens", canonical("__raw")).drop("__raw")
 
+def windows(df: DataFrame, sizes: list[int]) -> DataFrame:
+    """``df`` (with ``__s``) exploded to place, w, form and its hash h."""
+    parts = [exploded(df, s).withColumn("form", template(F.col("w"), s)) for s in sizes]
+    return functools.reduce(DataFrame.unionByName, parts).withColumn("h", F.xxhash64("form"))
 
-def joined_names(tokens: str) -> Column:
-    """The tokens with each run of names as its first: names of other lengths shift nothing."""
-    second = lambda x, i: (x["typed"] == NAME) & (i > 0) & (F.get(F.col(tokens), i - 1)["typed"] == NAME)
-    return F.filter(tokens, lambda x, i: ~F.coalesce(second(x, i), F.lit(False)))
 
-
-def with_hashes(df: DataFrame, tokens: str, name: str) -> DataFrame:
-    """Adds arrays along ``tokens``: hashes of types and of values, and the values of placeholders."""
-    slot = lambda x: x["typed"].isin(NUM, NAME, UNIT)
-    return df.withColumns(
-        {
-            f"__{name}_hashes": F.transform(tokens, lambda x: F.xxhash64(x["typed"])),
-            f"__{name}_values": F.transform(tokens, lambda x: F.xxhash64(x["value"])),
-            f"__{name}_slots": F.transform(tokens, lambda x: F.when(slot(x), x["value"]).otherwise("")),
-        }
-    )
-
-
-def windows(name: str, size: int, literal: int) -> Column:
-    """An array of (place, h, slots, rich); slots: values of the placeholders.  A window with fewer
-    than ``literal`` literals is not rich: its hash is that of the values themselves."""
-    hashes, values, slots = (F.col(f"__{name}_{x}") for x in ("hashes", "values", "slots"))
-
-    def one(i: Column) -> Column:
-        return F.struct(i.alias("place"), F.array_remove(F.slice(slots, i + 1, size), F.lit("")).alias("slots"))
-
-    def keyed(w: Column) -> Column:
-        rich = F.size(w["slots"]) <= size - literal
-        part = lambda x: F.slice(x, w["place"] + 1, size)
-        h = F.when(rich, F.xxhash64(F.lit(name), F.lit(size), part(hashes))).otherwise(F.xxhash64(F.lit(name), F.lit(-size), part(values)))
-        return F.struct(w["place"].alias("place"), h.alias("h"), w["slots"].alias("slots"), rich.alias("rich"))
-
-    n = F.least(F.size(hashes), F.size(values), F.size(slots))
-    places = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.transform(places, one), keyed)
-
-
-def all_windows(df: DataFrame, sizes: list[int], edited: bool) -> DataFrame:
-    """``df`` (with ``text``) exploded to place, h, slots and rich: windows of ``sizes`` and, if
-    ``edited``, of ``EDIT_WINDOW`` over joined names."""
-    keep = [c for c in df.columns if c != "text"]
-    df = with_hashes(with_tokens(df), "__tokens", "whole")
-    parts = [windows("whole", s, -(-LITERAL * s // WINDOW)) for s in sizes]
-    if edited:
-        df = with_hashes(df.withColumn("__joined", joined_names("__tokens")), "__joined", "edit")
-        parts.append(windows("edit", EDIT_WINDOW, EDIT_LITERAL))
-    found = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return df.select(*keep, F.inline(found))
+def slots(w: Column) -> Column:
+    return F.regexp_extract_all(w, F.lit(f"{SLOT}([^ ]+)"), F.lit(1))
 
 
 def one_to_one(pairs: str) -> Column:
     return (F.size(F.array_distinct(F.transform(pairs, lambda x: x["a"]))) == F.size(pairs)) & (F.size(F.array_distinct(F.transform(pairs, lambda x: x["b"]))) == F.size(pairs))
 
 
-def find_items(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, broadcast_windows: int = BROADCAST_WINDOWS, edited: bool = True) -> DataFrame:
-    """doc_id, text_key (hash of the text), item_id, n_windows, coverage, n_slots: items found.
-
-    ``edited`` false: whole windows on one diagonal only."""
+def find_items(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """doc_id, text_key (hash of the text), item_id, n_windows, coverage, n_slots: items found."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    items = with_tokens(items).withColumn("own", F.least(F.size("__tokens"), F.lit(WINDOW))).drop("__tokens")
-    short = [r[0] for r in items.where((F.col("own") > 0) & (F.col("own") < WINDOW)).select("own").distinct().collect()]  # at most WINDOW - 1 rows
-    sizes = [WINDOW, *sorted(short)]
     items = items.withColumn("item_key", F.xxhash64("item_id", "text")).dropDuplicates(["item_id", "item_key"])
-    # an item has windows of full size, or its whole text as its one window
-    whole = [all_windows(items.where(F.col("own") == s), [s], False) for s in sizes]
-    whole = functools.reduce(DataFrame.unionByName, whole)
-    # windows poor in literals count where the item has no others
-    totals = whole.groupBy("item_key").agg(F.max("rich").alias("has_rich"), F.countDistinct(F.when(F.col("rich"), F.col("place"))).alias("n_rich"), F.countDistinct("place").alias("n"))
-    whole = whole.join(totals, "item_key").where("rich = has_rich").withColumn("total", F.when(F.col("has_rich"), F.col("n_rich")).otherwise(F.col("n")))
-    fields = ["item_id", "item_key", F.col("place").alias("item_place"), "h", F.col("slots").alias("item_slots"), "total"]
-    wanted = whole.select(*fields)
-    if edited:  # total 0 marks them
-        wanted = wanted.unionByName(all_windows(items.where(F.col("own") == WINDOW), [], True).withColumn("total", F.lit(0).cast("long")).select(*fields))
+    items = items.withColumn("__s", canonical(F.col("text"))).withColumn("tokens", F.filter(F.split("__s", " "), lambda x: x != "")).where("size(tokens) > 0")
+    items = items.select("item_id", "item_key", "__s", F.size("tokens").alias("size"), F.least(F.size("tokens"), F.lit(WINDOW)).alias("own"), F.transform("tokens", lambda x: ~x.rlike(SLOT)).alias("literal"))
+    items = materialize(items, f"{shared_dir(documents.sparkSession)}/items")
+    sizes = sorted({WINDOW, *(r[0] for r in items.select("own").distinct().collect())})  # at most WINDOW rows
+    wanted = [windows(items.where(F.col("own") == s).select("item_id", "item_key", "__s"), [s]) for s in sizes]
+    wanted = functools.reduce(DataFrame.unionByName, wanted)
+    wanted = wanted.select("item_id", "item_key", F.col("place").alias("item_place"), F.col("w").alias("item_w"), F.col("form").alias("item_form"), F.col("h").alias("item_h"))
     n = wanted.count()
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    docs = docs.withColumn("text_key", F.xxhash64("text"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), canonical(F.col("text")).alias("__s"))
     side = F.broadcast(wanted) if n <= broadcast_windows else wanted
-    hits = all_windows(docs, sizes, edited).join(side, "h")
-    pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x["item_slots"].alias("a"), x["slots"].alias("b")))
-    grouped = (
+    hits = windows(docs, sizes).join(side, (F.col("h") == F.col("item_h")) & (F.col("form") == F.col("item_form")))
+    pairs = F.transform(F.arrays_zip(slots(F.col("item_w")).alias("a"), slots(F.col("w")).alias("b")), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
+    key = ["doc_id", "text_key", "item_id", "item_key"]
+    diagonals = (
         hits.withColumn("pairs", pairs)
-        .groupBy("doc_id", "text_key", "item_id", "item_key", "total", (F.col("place") - F.col("item_place")).alias("diagonal"))
+        .groupBy(*key, (F.col("place") - F.col("item_place")).alias("diagonal"))
         .agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     )
-    if edited:  # read twice
-        grouped = materialize(grouped, f"{shared_dir(documents.sparkSession)}/diagonals")
-    n_windows = F.size("places").cast("long")
-    good = grouped.where((F.col("total") > 0) & one_to_one("pairs") & (n_windows >= coverage * F.col("total")))
-    good = good.select("doc_id", "text_key", "item_id", F.lit(1).alias("whole"), n_windows.alias("n_windows"), (n_windows / F.col("total")).alias("coverage"), F.size("pairs").alias("n_slots"))
-    if edited:
-        good = good.unionByName(edited_passages(grouped.where("total = 0"), items, coverage))
-    best = good.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("whole", "n_windows", "coverage", "n_slots")).alias("best"))
-    return best.select("doc_id", "text_key", "item_id", "best.n_windows", "best.coverage", F.col("best.n_slots").cast("long").alias("n_slots"))
-
-
-def edited_passages(diagonals: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
-    """Items found by short windows of up to ``SHIFT`` + 1 neighbouring diagonals together."""
-    key = ["doc_id", "text_key", "item_id", "item_key"]
-    facts = with_tokens(items).select("item_key", joined_names("__tokens").alias("__joined"))
-    facts = facts.select(F.col("item_key").alias("of"), F.size("__joined").alias("size"), F.transform("__joined", lambda x: ~x["typed"].isin(NUM, NAME, UNIT)).alias("literal"))
     near = [F.struct((F.col("diagonal") - k).alias("lo"), F.lit(w).alias("w")) for w in range(SHIFT + 1) for k in range(w + 1)]
     spread = diagonals.withColumn("span", F.explode(F.array(*near)))
     spread = spread.groupBy(*key, "span").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    spread = spread.where((F.size("places") > 1) & one_to_one("pairs")).join(facts, F.col("item_key") == F.col("of"))
-    covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + EDIT_WINDOW - 1))))
-    spread = spread.withColumn("covered", covered)
-    literals = F.size(F.filter("covered", lambda p: F.get(F.col("literal"), p)))
-    enough = F.size("covered") + 1 >= F.floor(coverage * F.col("size"))  # the first token can be a name in one of the two only
-    found = spread.withColumn("literals", literals).where((F.col("literals") >= LEAST_LITERALS) & (enough | (F.col("literals") >= RUN)))
-    return found.select("doc_id", "text_key", "item_id", F.lit(0).alias("whole"), F.size("places").cast("long").alias("n_windows"), (F.size("covered") / F.col("size")).alias("coverage"), F.size("pairs").alias("n_slots"))
-
-
-def remove_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``documents`` whose text holds no item, all columns."""
+    facts = items.select(F.col("item_key").alias("of"), "size", "own", "literal")
+    facts = F.broadcast(facts) if n <= broadcast_windows else facts  # an item has a window at least
+    spread = spread.where(one_to_one("pairs")).join(facts, F.col("item_key") == F.col("of"))
+    spread = spread.withColumn("covered", F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("own") - 1)))))
+    spread = spread.withColumn("literals", F.size(F.filter("covered", lambda p: F.get(F.col("literal"), p))))
+    n_literals, n_covered = F.size(F.filter("literal", lambda x: x)), F.size("covered")
+    enough = (F.col("literals") >= LEAST_LITERALS) & ((n_covered + 1 >= F.floor(coverage * F.col("size"))) | (F.col("literals") >= RUN))
+    whole = (F.size(F.array_union("covered", F.array(F.lit(0)))) == F.col("size")) & ((8 * F.col("literals") >= 5 * n_covered) | F.forall("pairs", lambda x: x["a"] == x["b"]))
+    found = spread.where(F.when(n_literals > LEAST_LITERALS, enough).otherwise(whole))
+    found = found.select(*key[:3], F.size("places").cast("long").alias("n_windows"), (n_covered / F.col("size")).alias("coverage"), F.size("pairs").cast("long").alias("n_slots"))
+    best = found.groupBy(*key[:3]).agg(F.max(F.struct("n_windows", "coverage", "n_slots")).alias("best"))
+    return best.select(*key[:3], "best.*")
+
+
+def remove_contaminated(documents: DataFrame, benchmark: DataFrame, broadcast_texts: int = BROADCAST_WINDOWS, **options) -> DataFrame:
+    """The rows of ``documents`` whose text holds no item, all columns.
+
+    The texts found are broadcast, eight bytes each, only where they are at most ``broadcast_texts``.
+    """
     bad = find_items(documents, benchmark, **options).select(F.col("text_key").alias("__bad")).distinct()
-    return documents.join(bad, F.xxhash64(F.col("text").cast("string")) == F.col("__bad"), "left_anti")
+    bad = materialize(bad, f"{shared_dir(documents.sparkSession)}/found")
+    side = F.broadcast(bad) if bad.count() <= broadcast_texts else bad
+    return documents.join(side, F.xxhash64(F.col("text").cast("string")) == F.col("__bad"), "left_anti")

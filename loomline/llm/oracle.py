@@ -44,35 +44,43 @@ src AS (
   UNION ALL SELECT 1, item_id, text FROM benchmark WHERE text IS NOT NULL
 ), raw AS (
   SELECT DISTINCT kind, id, text, regexp_extract_all(text, '(\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+|[%$€£°]|[.!?:\n])', 1) AS t FROM src
-), typed AS (
-  SELECT kind, id, text, list_filter(list_transform(t, lambda x, i: struct_pack(
-    typed := CASE WHEN list_contains(stops, x) THEN NULL
-      WHEN regexp_matches(x, '^\p{N}') THEN '<num>'
-      WHEN list_contains(units, lower(x)) AND i > 1 AND regexp_matches(t[i - 1], '^\p{N}') THEN '<unit>'
-      WHEN regexp_matches(x, '^\p{Lu}\p{Ll}') AND i > 1 AND NOT list_contains(stops, t[i - 1]) THEN '<name>'
-      ELSE lower(x) END, value := lower(x))), lambda x: x.typed IS NOT NULL) AS t FROM raw, lists
-), sizes AS (
-  SELECT DISTINCT least(len(t), 8) AS s FROM typed WHERE kind = 1 AND len(t) > 0 UNION SELECT 8
-), win AS (
-  SELECT kind, id, md5(text) AS text, s, unnest(list_transform(range(0, len(t) - s + 1), lambda p: struct_pack(place := p, w := t[p + 1:p + s]))) AS u
-  FROM typed, sizes WHERE len(t) >= s AND (kind = 0 OR s = least(len(t), 8))
+), marked AS (
+  SELECT kind, id, md5(text) AS text, list_filter(list_transform(t, lambda x, i:
+    CASE WHEN list_contains(stops, x) THEN NULL
+      WHEN regexp_matches(x, '^\p{N}') THEN '#' || lower(x)
+      WHEN list_contains(units, lower(x)) AND i > 1 AND regexp_matches(t[i - 1], '^\p{N}') THEN '~' || lower(x)
+      WHEN regexp_matches(x, '^\p{Lu}\p{Ll}') AND i > 1 AND NOT list_contains(stops, t[i - 1]) THEN '@' || lower(x)
+      ELSE lower(x) END), lambda x: x IS NOT NULL) AS t FROM raw, lists
+), tokens AS (
+  SELECT kind, id, text, list_filter(t, lambda x, i: NOT (x[1] = '@' AND i > 1 AND coalesce(t[i - 1][1] = '@', false))) AS t FROM marked
+), sizes AS (SELECT DISTINCT least(len(t), 5) AS s FROM tokens WHERE kind = 1 AND len(t) > 0 UNION SELECT 5),
+win AS (
+  SELECT kind, id, text, s, unnest(list_transform(range(0, len(t) - s + 1), lambda p: struct_pack(place := p, w := t[p + 1:p + s]))) AS u
+  FROM tokens, sizes WHERE len(t) >= s AND (kind = 0 OR s = least(len(t), 5))
 ), parts AS (
-  SELECT kind, id, text, s, u.place AS place, u.w AS w FROM win
+  SELECT kind, id, text, s, u.place AS place, u.w AS w, list_filter(u.w, lambda x: x[1] IN ('#', '@', '~')) AS slots FROM win
 ), keyed AS (
-  SELECT kind, id, text, place, s || ' ' || array_to_string(list_transform(w, lambda x: x.typed), ' ') AS h,
-    list_transform(list_filter(w, lambda x: x.typed IN ('<num>', '<name>', '<unit>')), lambda x: x.value) AS slots, s FROM parts
-), ok AS (SELECT * FROM keyed WHERE len(slots) <= s - CAST(ceil(5 * s / 8.0) AS INT)),
-items AS (SELECT *, count(*) OVER (PARTITION BY id, text) AS total FROM ok WHERE kind = 1),
-hits AS (
-  SELECT d.id AS doc_id, d.text AS dt, i.id AS item_id, i.text AS it, i.total, d.place - i.place AS diagonal, i.place AS ip,
-    list_zip(i.slots, d.slots) AS pairs
-  FROM ok d JOIN items i ON d.kind = 0 AND d.h = i.h
-), grouped AS (
-  SELECT doc_id, dt, item_id, it, total, diagonal, count(DISTINCT ip) AS n, list_distinct(flatten(list(pairs))) AS pairs FROM hits GROUP BY ALL
-), good AS (
-  SELECT *, n / total AS coverage FROM grouped WHERE n >= 0.5 * total
-    AND len(list_distinct(list_transform(pairs, lambda x: x[1]))) = len(pairs) AND len(list_distinct(list_transform(pairs, lambda x: x[2]))) = len(pairs)
-), best AS (SELECT doc_id, dt, item_id, max(struct_pack(n := n, c := coverage, s := len(pairs))) AS b FROM good GROUP BY ALL)
+  SELECT kind, id, text, place, s, CASE WHEN len(slots) > s - CAST(ceil(3 * s / 5.0) AS INT) THEN '=' || array_to_string(w, ' ')
+    ELSE array_to_string(list_transform(w, lambda x: CASE WHEN x[1] IN ('#', '@', '~') THEN x[1] ELSE x END), ' ') END AS form,
+    list_transform(slots, lambda x: x[2:]) AS slots FROM parts
+), hits AS (
+  SELECT d.id AS doc_id, d.text AS dt, i.id AS item_id, i.text AS it, i.s AS s, d.place - i.place AS diagonal, i.place AS ip, list_zip(i.slots, d.slots) AS pairs
+  FROM keyed d JOIN keyed i ON d.kind = 0 AND i.kind = 1 AND d.form = i.form
+), spans AS (
+  SELECT doc_id, dt, item_id, it, s, diagonal - k AS lo, w, list_distinct(list(ip)) AS places, list_distinct(flatten(list(pairs))) AS pairs
+  FROM hits, range(5) a(w), range(5) b(k) WHERE k <= w GROUP BY ALL
+), facts AS (
+  SELECT id AS item_id, text AS it, len(t) AS size, list_transform(t, lambda x: x[1] NOT IN ('#', '@', '~')) AS literal FROM tokens WHERE kind = 1
+), covered AS (
+  SELECT *, list_distinct(flatten(list_transform(places, lambda p: range(p, p + s)))) AS c FROM spans JOIN facts USING (item_id, it)
+  WHERE len(list_distinct(list_transform(pairs, lambda x: x[1]))) = len(pairs) AND len(list_distinct(list_transform(pairs, lambda x: x[2]))) = len(pairs)
+), measured AS (SELECT *, len(c) AS n, len(list_filter(c, lambda p: literal[p + 1])) AS literals FROM covered),
+best AS (
+  SELECT doc_id, dt, item_id, max(struct_pack(n := len(places), c := n / size, s := len(pairs))) AS b FROM measured
+  WHERE CASE WHEN len(list_filter(literal, lambda x: x)) > 7 THEN literals >= 7 AND (n + 1 >= floor(0.5 * size) OR literals >= 13)
+    ELSE n + CAST(NOT list_contains(c, 0) AS INT) = size AND (8 * literals >= 5 * n OR len(list_filter(pairs, lambda x: x[1] <> x[2])) = 0) END
+  GROUP BY ALL
+)
 SELECT doc_id, item_id, CAST(b.n AS BIGINT) AS n_windows, CAST(b.c AS DOUBLE) AS coverage, CAST(b.s AS BIGINT) AS n_slots FROM best
 """
 

@@ -244,7 +244,8 @@ def test_decontamination(spark, docs, empty):
     ]
     d = spark.createDataFrame([(*x, "p", 1) for x in texts], "doc_id long, text string, place string, total long")
     got = rows(decontaminate.find_items(d, b), "doc_id", "item_id", "coverage")
-    assert got == sorted([(1, 1, 1.0), (3, 2, 1.0), (6, 1, 1.0), (None, 1, 1.0)], key=str)
+    # tokens covered: the first two stand in windows poor in literals only, which need equal values
+    assert got == sorted([(1, 1, 19 / 21), (3, 2, 1.0), (6, 1, 1.0), (None, 1, 1.0)], key=str)
     assert rows(decontaminate.find_items(d, b, broadcast_windows=0), "doc_id", "item_id", "coverage") == got
     left = decontaminate.remove_contaminated(d, b)
     assert left.columns == d.columns and sorted(r.doc_id for r in left.collect()) == [2, 4, 5, 7]
@@ -252,6 +253,54 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.find_items(d, b.limit(0)).count() == 0
 
 
+def test_names_of_other_lengths(spark):
+    item = "At noon Otto gave 14 green pears to his sister Ida, who sold 9 of them at the market for 3 euros each before Otto came home."
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    changed = [item.replace("Otto", a).replace("Ida", c).replace("14", "88").replace("9", "61") for a, c in (("Mary Ann", "Eve"), ("Max Klein", "Tom Ford"), ("Jo", "Tom van Ford"), ("Mary Ann Lee Smith", "Max Klein"))]
+    changed.append(item.replace("Otto", "Tom Ford", 1).replace("Otto", "Max Klein").replace("9", "14"))  # two for one, one for two
+    d = spark.createDataFrame([(k, f"So it went. {t} The end.") for k, t in enumerate(changed)], "doc_id long, text string")
+    assert {r.doc_id for r in decontaminate.find_items(d, b).collect()} == {0, 1, 2, 3}
+
+
+def test_canonical_strings(spark):
+    """Against the definition token by token, chunks and windows included."""
+    import random
+    import re
+
+    import regex
+
+    def plain(text):
+        out, before = [], None
+        for t in regex.findall(decontaminate.TOKEN, text):
+            low = t.lower()
+            if t in ".!?:\n":
+                kind = ""
+            elif regex.match(r"\p{N}", t):
+                kind = "#" + low
+            elif low in decontaminate.UNITS and before and regex.match(r"\p{N}", before):
+                kind = "~" + low
+            elif regex.match(r"\p{Lu}\p{Ll}", t) and before and before not in ".!?:\n":
+                kind = "@" + low
+            else:
+                kind = low
+            if kind and not (kind[0] == "@" and out and out[-1][0] == "@"):
+                out.append(kind)
+            before = t
+        return out
+
+    rng = random.Random(8)
+    parts = ["Anna", "Berg", "Él", "sold", "the", "12", "3.5", "1,000", "km", "KM", "%", "€", "in", "In", ".", "!", "\n", ":", ",", "-", "x2y", "½", "ÑU", "a"]
+    texts = [rng.choice(["", " "]).join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.choice([0, 1, 4, 6, 40, 255, 256, 257, 260, 1500]))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").select("k", decontaminate.canonical(decontaminate.F.col("text")).alias("__s"))
+    got = {r.k: r["__s"].split() for r in df.collect()}
+    assert got == {k: plain(t) for k, t in enumerate(texts)}
+    for size in (5, 2):
+        found = {(r.k, r.place, r.w) for r in decontaminate.exploded(df, size).collect()}
+        assert found == {(k, p, " ".join(t[p : p + size])) for k, t in got.items() for p in range(len(t) - size + 1)}
+        assert decontaminate.exploded(df, size).count() == len(found)
+    assert not re.search(decontaminate.SLOT, "".join(c for t in texts for c in regex.findall(decontaminate.TOKEN, t)))
+
+
 def test_decontamination_of_edited_passages(spark):
     item = "In 2021 Anna Berg sold 30 red apples to the old baker for 12 dollars each day and Anna kept 5 apples."
     plain = "stone river light tall green walking quiet morning paper house under letter winter early road"
