@@ -29,7 +29,7 @@ def line_records(content: bytes, language: Language) -> Iterator[tuple[str, bool
             if not text:
                 yield "B", plain.in_comment, text, raw
                 continue
-            first = plain.first and not plain.open and not text.startswith(b"#!")
+            first = plain.first and not plain.waiting and not text.startswith(b"#!")
             kind = "C" if plain.is_code(text) else "M"
             yield kind, plain.in_comment, text.removeprefix(_BOM) if first else text, raw
         return

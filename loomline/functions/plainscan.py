@@ -10,64 +10,93 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from .bytesets import has_ink
+from .bytesets import INK
 from .languages import Language
 
 _BOM = b"\xef\xbb\xbf"
 
 
-@lru_cache(maxsize=256)
-def _markers(language: Language):
-    blocks = [(a.encode(), b.encode()) for a, b in language.blocks]
-    return [x.encode() for x in language.lines], blocks, [re.compile(p.encode()) for p in language.patterns]
+class Markers:
+    """The expressions of one language."""
+
+    def __init__(self, language: Language):
+        self.lines = tuple(x.encode() for x in language.lines)
+        self.patterns = [re.compile(p.encode()) for p in language.patterns]
+        self.pairs = [(a.encode(), b.encode()) for a, b in language.blocks]
+        self.openers = tuple(a for a, _ in self.pairs if a)
+        every = {x for pair in self.pairs for x in pair}
+        #: any marker, and any that isn't empty
+        self.any = re.compile(b"|".join(map(re.escape, sorted(every))) if every else rb"(?!)")
+        self.real = re.compile(b"|".join(map(re.escape, sorted(every - {b""}))) if every - {b""} else rb"(?!)")
+        self._turns: dict[tuple[int, bytes | None], re.Pattern] = {}
 
+    def turn(self, pair: int, innermost: bytes | None) -> re.Pattern:
+        """What a pair reacts to while ``innermost`` is the closer that is waited for."""
+        key = pair, innermost
+        if key not in self._turns:
+            opener, closer = self.pairs[pair]
+            reacts = [b"(?P<open>" + re.escape(opener) + b")"] if innermost is None or opener != closer else []
+            reacts += [b"(?P<close>" + re.escape(innermost) + b")"] if innermost is not None else []
+            self._turns[key] = re.compile(b"|".join(reacts))
+        return self._turns[key]
 
-def _is_space_at(line: bytes, pos: int) -> bool:
-    """Whether the character that starts at byte ``pos`` is white space; a byte within one isn't."""
-    b = line[pos]
-    size = 1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
-    return not has_ink(line[pos : pos + size])
+
+@lru_cache(maxsize=256)
+def _markers(language: Language) -> Markers:
+    return Markers(language)
 
 
 class PlainScanner:
     def __init__(self, language: Language):
-        self.lines, self.blocks, self.patterns = _markers(language)
-        self.open: list[bytes] = []  # closers
+        self.m = _markers(language)
+        self.waiting: list[bytes] = []  # closers, the innermost last
         self.first = True
 
     @property
     def in_comment(self) -> bool:
-        return bool(self.open)
+        return bool(self.waiting)
 
     def is_code(self, line: bytes) -> bool:
         """``line``: trimmed and not empty."""
+        m = self.m
         if self.first and line.startswith(b"#!"):
             self.first = False
             return True
-        if not self.open:
+        if not self.waiting:
             if self.first:
                 line = line.removeprefix(_BOM)
-            commented = any(p.search(line) for p in self.patterns) if self.patterns else line.startswith(tuple(self.lines)) if self.lines else False
-            if commented and not any(a and line.startswith(a) for a, _ in self.blocks):
+            commented = any(p.search(line) for p in m.patterns) if m.patterns else line.startswith(m.lines)
+            if commented and not line.startswith(m.openers):
                 return False
-            if not self.blocks or not any(x and x in line for pair in self.blocks for x in pair):
+            if not m.real.search(line):
                 return True
-        if len(self.blocks) == 1 and not self.blocks[0][0]:
+        if len(m.pairs) == 1 and not m.pairs[0][0]:
             return True
-        return self._sweep(line)
-
-    def _sweep(self, line: bytes) -> bool:
-        seen = [False] * len(self.blocks)
-        pos, end = 0, len(line)
-        while pos < end:
-            for k, (begin, close) in enumerate(self.blocks):
-                if line.startswith(begin, pos) and pos + len(begin) <= end and (begin != close or not self.open):
-                    self.open.append(close)
-                    pos += len(begin)
-                elif self.open:
-                    if pos + len(self.open[-1]) <= end and line.startswith(self.open[-1], pos):
-                        pos += len(self.open.pop())
-                elif pos < end and not _is_space_at(line, pos):
-                    seen[k] = True
-            pos += 1
-        return all(seen)
+        return len(self._with_code(line)) == len(m.pairs)
+
+    def _with_code(self, line: bytes) -> set[int]:
+        """The pairs that see code on the line, stepping from marker to marker."""
+        seen: set[int] = set()
+        pos = 0
+        while pos < len(line):
+            stop = self.m.any.search(line, pos)
+            upto = stop.start() if stop else len(line)
+            if not self.waiting and (ink := INK.search(line, pos)) and ink.start() < upto:
+                seen.update(range(len(self.m.pairs)))
+            pos = self._at_marker(line, upto, seen) + 1 if stop else upto  # the byte after a marker isn't looked at
+        return seen
+
+    def _at_marker(self, line: bytes, pos: int, seen: set[int]) -> int:
+        """Each pair has its turn, where the one before left off; where the last leaves off."""
+        for pair, (_, closer) in enumerate(self.m.pairs):
+            found = self.m.turn(pair, self.waiting[-1] if self.waiting else None).match(line, pos)
+            if found is None:
+                if not self.waiting and INK.match(line, pos):
+                    seen.add(pair)
+                continue
+            if found.lastgroup == "open":
+                self.waiting.append(closer)
+            else:
+                self.waiting.pop()
+            pos = found.end()
+        return pos
