@@ -13,10 +13,11 @@ import os
 
 import numpy as np
 
-from .textarrays import byte_values, prefix_sums, ranges, span_hash
+from .textarrays import CHUNK_BYTES, byte_sums, ranges, span_hash
 
 #: pieces kept for each worker; beyond that the memory starts anew
 CACHE_PIECES = 2_000_000
+CACHE_BYTES = 64 << 20
 #: pieces that go to the library as one text
 TOGETHER = 50
 
@@ -62,7 +63,8 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes Arrow batches; one for each worker process and vocabulary file.
 
-    Pieces are known by a 64-bit hash.  At most ``CACHE_PIECES`` are kept, in flat arrays.
+    Pieces are looked up by a hash and taken only if all their bytes equal those that are kept;
+    others are encoded on their own.  At most ``CACHE_PIECES`` are kept, in flat arrays.
     """
 
     _made: dict[str, Encoder] = {}
@@ -90,6 +92,10 @@ class Encoder:
         self.count = np.zeros(0, np.int32)
         self.ids = np.zeros(1 << 16, np.int32)
         self.used = 0
+        self.text = np.zeros(1 << 16, np.uint8)
+        self.text_start = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.text_used = 0
 
     def _library_ids(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces data[start:start+size], and how many each has."""
@@ -116,33 +122,69 @@ class Encoder:
 
     def _learn(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         flat, counts = self._library_ids(data, start, size)
-        if self.used + len(flat) > len(self.ids):
-            self.ids = np.resize(self.ids, max(2 * len(self.ids), self.used + len(flat)))
-        self.ids[self.used : self.used + len(flat)] = flat
-        begin = self.used + np.cumsum(counts) - counts
-        self.used += len(flat)
+        begin, self.ids, self.used = _append(self.ids, self.used, flat, counts)
+        text, self.text, self.text_used = _append(self.text, self.text_used, data[ranges(start, size)], size)
         where = np.searchsorted(self.keys, keys)
         self.keys, self.start, self.count = np.insert(self.keys, where, keys), np.insert(self.start, where, begin), np.insert(self.count, where, counts)
+        self.text_start, self.size = np.insert(self.text_start, where, text), np.insert(self.size, where, size)
+
+    def _others(self, slots: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Pieces whose bytes are not those kept under their hash."""
+        same = self.size[slots] == size
+        rows = np.flatnonzero(same)
+        for lo in range(0, len(rows), 1 << 17):
+            part = rows[lo : lo + (1 << 17)]
+            differ = data[ranges(begin[part], size[part])] != self.text[ranges(self.text_start[slots[part]], size[part])]
+            if differ.any():
+                same[part[np.unique(np.searchsorted(np.cumsum(size[part]), np.flatnonzero(differ), "right"))]] = False
+        return np.flatnonzero(~same)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents one after another (int32) and where each document's ids begin."""
         if len(data) == 0:
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         begin = piece_starts(data, offsets)
-        bounds = np.append(begin, len(data))
-        keys, first, which = np.unique(span_hash(prefix_sums(byte_values(data)), begin, bounds[1:]), return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > CACHE_PIECES:
+        size = np.diff(np.append(begin, len(data)))
+        ids, counts = [], []
+        i = 0
+        while i < len(begin):  # some pieces of a long text at a time
+            j = max(i + 1, int(np.searchsorted(begin, begin[i] + CHUNK_BYTES, "right")) - 1) if begin[-1] - begin[i] > CHUNK_BYTES else len(begin)
+            stop = begin[j - 1] + size[j - 1]
+            for to, x in zip((ids, counts), self._encode_pieces(data[begin[i] : stop], begin[i:j] - begin[i], size[i:j]), strict=True):
+                to.append(x)
+            i = j
+        ends = np.append(0, np.cumsum(np.concatenate(counts)))
+        return np.concatenate(ids), ends[np.searchsorted(begin, offsets)]
+
+    def _encode_pieces(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has."""
+        keys, first, which = np.unique(piece_hashes(data, begin, begin + size), return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > CACHE_PIECES or self.text_used > CACHE_BYTES:
             self._forget()
         at = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), bool)
         inside = at < len(self.keys)
         new[inside] = self.keys[at[inside]] != keys[inside]
         if new.any():
-            self._learn(keys[new], data, begin[first[new]], bounds[first[new] + 1] - begin[first[new]])
+            self._learn(keys[new], data, begin[first[new]], size[first[new]])
             at = np.searchsorted(self.keys, keys)
         slots = at[which]
-        count = self.count[slots].astype(np.int64)
-        ids = self.ids[ranges(self.start[slots], count)]
-        ends = np.zeros(len(count) + 1, np.int64)
-        np.cumsum(count, out=ends[1:])
-        return ids, ends[np.searchsorted(begin, offsets)]
+        source, start, count = self.ids, self.start[slots], self.count[slots].astype(np.int64)
+        others = self._others(slots, data, begin, size)
+        if len(others):
+            flat, counts = self._library_ids(data, begin[others], size[others])
+            source = np.concatenate([self.ids[: self.used], flat])
+            start[others], count[others] = self.used + np.cumsum(counts) - counts, counts
+        return source[ranges(start, count)], count
+
+
+def piece_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    return span_hash(byte_sums(data), start, stop)
+
+
+def _append(held: np.ndarray, used: int, more: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Where each part of ``more`` begins in the grown array, that array, and how much of it is used."""
+    if used + len(more) > len(held):
+        held = np.resize(held, max(2 * len(held), used + len(more)))
+    held[used : used + len(more)] = more
+    return used + np.cumsum(counts) - counts, held, used + len(more)

@@ -5,35 +5,52 @@ equal anchors.  The phases, each cut by a written table:
 
 1. a map finds anchors; consecutive windows with one anchor are one row (name, node, first, count);
 2. names seen at more than one place of different texts stay, grouped for each text again;
-3. the texts that still have candidates emit their windows for these names, dealt and sorted by
-   name; a task sees whole groups and marks repeated windows;
+3. one row of each text that still has candidates emits its windows for these names, dealt in buckets
+   and sorted; a task sees whole groups of a name and marks repeated windows;
 4. the marked intervals meet the texts, which are cut and digested.
 
 Equal texts are one node: the anchors of copies fall together in map-side sums before anything is
-dealt.  A name with more than ``HOT`` occurrences is dealt in blocks; windows that a block can't
-settle are summed by window hash, one row for each block, so no group must fit a task.
+dealt, and only one copy emits windows.  A name with more than ``HOT`` occurrences is dealt in blocks;
+windows that a block can't settle are summed over all blocks, one row for each block, so no group must
+fit a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, only, remove, shared_dir
-from .textarrays import binary_array, doc_chunks, mix, utf8, whole_groups
+from .shared import join_counted, materialize, only, remove, shared_dir
+from .textarrays import binary_array, doc_chunks, utf8, whole_groups
 
 HOT = 20_000
+BUCKET_ROWS = 100_000
 
-#: anchors(data, offsets) -> doc index, first window, number of windows, name
-Anchors = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-#: payload(data, offsets, doc, first, count) -> bytes and their offsets
-Payload = Callable[..., tuple[np.ndarray, np.ndarray]]
-#: hashes(payload bytes, offsets, counts) -> a hash for each window
-Hashes = Callable[..., np.ndarray]
+
+@dataclass(frozen=True)
+class Rules:
+    """What tells one operator from the other."""
+
+    #: (data, offsets) -> doc index, first window, a number that tells how many windows, name
+    anchors: Callable
+    #: (data, offsets, doc, first, that number) -> bytes and their offsets
+    payload: Callable
+    #: (table of whole groups) -> batches of SETTLED
+    settle: Callable
+    #: table of names with their counts -> function of (name, block, blocks) giving buckets, their number
+    buckets: Callable
+    #: the first occurrence, by (doc_id, node, place), is not marked
+    later_only: bool
+    hot: int = HOT
+
+
+DEALT = "bucket int, name long, block int, blocks int, doc_id long, node binary, first int, n int, windows binary"
+SETTLED = "node binary, start int, stop int, open binary, doc_id long, multi boolean"
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -49,61 +66,68 @@ def _chunks(batches: Iterator[pa.RecordBatch]):
             yield batch, i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
-def marked_intervals(documents: DataFrame, path: str, anchors: Anchors, payload: Payload, hashes: Hashes, width: int, later_only: bool, hot: int = HOT) -> DataFrame:
-    """node and spans: the intervals [start, stop) of each text that repeated windows cover.
+def candidates(found: DataFrame, path: str, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Names seen at two places or more, with their numbers of blocks; and the rows of ``found`` that
+    have one, with blocks and their own block."""
+    place = F.xxhash64("node", "first")
+    names = found.groupBy("name").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y")
+    names = materialize(names.select("name", "k", F.ceil(F.col("k") / hot).cast("int").alias("blocks")), f"{path}/names")
+    rows = join_counted(found, names, ["name"])
+    return names, rows.withColumn("block", F.pmod(F.xxhash64("node", "first", F.lit(3)), F.col("blocks")).cast("int"))
+
 
-    ``later_only``: the first occurrence, by (doc_id, node, place), is not marked.
-    """
+def marked_intervals(documents: DataFrame, path: str, rules: Rules) -> DataFrame:
+    """node and spans: the intervals [start, stop) of each text that repeated windows cover."""
+    spark = documents.sparkSession
     texts = keyed(documents)
 
     def find(batches):
         for batch, i, j, data, off in _chunks(batches):
-            doc, first, count, name = anchors(data, off)
+            doc, first, count, name = rules.anchors(data, off)
             if len(doc):
                 yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(i + doc)), pa.array(name.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], names=["node", "name", "first", "n"])
 
     found = materialize(texts.select("text", "node").mapInArrow(find, "node binary, name long, first int, n int"), f"{path}/anchors")
-    place = F.xxhash64("node", "first")
-    names = found.groupBy("name").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y").select("name", F.ceil(F.col("k") / hot).cast("int").alias("blocks"))
-    wanted = found.join(names, "name").groupBy("node").agg(F.collect_set(F.struct("name", "first", "n", "blocks")).alias("wanted"))
+    names, rows = candidates(found, path, rules.hot)
+    wanted = rows.groupBy("node").agg(F.collect_set(F.struct("name", "first", "n", "blocks", "block")).alias("wanted"))
     wanted = materialize(wanted, f"{path}/wanted")
-    remove(documents.sparkSession, f"{path}/anchors")
+    remove(spark, f"{path}/anchors")
+    bucket_of, n_buckets = rules.buckets(names)
+    remove(spark, f"{path}/names")
 
     def deal(batches):
         for batch, i, j, data, off in _chunks(batches):
             lists = batch.column("wanted").slice(i, j - i)
             doc = np.repeat(np.arange(j - i), np.diff(np.asarray(lists.offsets)))
             flat = lists.flatten()
-            name, first, n, blocks = (flat.field(c).to_numpy(zero_copy_only=False) for c in range(4))
-            nodes = batch.column("node")
+            name, first, n, blocks, block = (flat.field(c).to_numpy(zero_copy_only=False) for c in range(5))
+            bucket = bucket_of(name.view(np.uint64), block, blocks).astype(np.int32)
             for lo in range(0, len(doc), 4096):
                 part = slice(lo, lo + 4096)
-                raw, at = payload(data, off, doc[part], first[part].astype(np.int64), n[part].astype(np.int64))
+                raw, at = rules.payload(data, off, doc[part], first[part].astype(np.int64), n[part].astype(np.int64))
                 rows = pa.array(i + doc[part])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name[part]), pa.array(((doc[part] + first[part] * 31) % np.maximum(blocks[part], 1)).astype(np.int32)), pa.array(blocks[part]), batch.column("doc_id").take(rows), nodes.take(rows), pa.array(first[part]), pa.array(n[part]), binary_array(raw, at)],
-                    names=["name", "block", "blocks", "doc_id", "node", "first", "n", "windows"],
+                    [pa.array(bucket[part]), pa.array(name[part]), pa.array(block[part]), pa.array(blocks[part]), batch.column("doc_id").take(rows), batch.column("node").take(rows), pa.array(first[part]), pa.array(n[part]), binary_array(raw, at)],
+                    names=["bucket", "name", "block", "blocks", "doc_id", "node", "first", "n", "windows"],
                 )
 
-    first_doc = texts.groupBy(F.col("node").alias("of")).agg(F.min(F.struct("doc_id"))["doc_id"].alias("least")) if later_only else None
-    # these tables grow with the input: merge joins at every size, never a broadcast
-    chosen = texts.join(wanted.withColumnRenamed("node", "of").hint("merge"), F.col("node") == F.col("of")).drop("of")
-    if later_only:  # of equal texts only the first can hold a first occurrence
-        least = materialize(first_doc, f"{path}/least")
-        wanted_least = wanted.join(least, wanted["node"] == least["of"]).select("of", "wanted", "least")
-        chosen = texts.join(wanted_least.hint("merge"), (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least")))
-    dealt = chosen.select("doc_id", "node", "text", "wanted").mapInArrow(deal, "name long, block int, blocks int, doc_id long, node binary, first int, n int, windows binary")
+    # of equal texts one row emits windows, that of the least doc_id; rows equal in both emit the same
+    # windows, which fall together again.  These tables grow with the input: merge joins at every size
+    least = materialize(texts.groupBy(F.col("node").alias("of")).agg(F.min(F.struct("doc_id"))["doc_id"].alias("least")), f"{path}/least")
+    wanted = wanted.join(least, F.col("node") == F.col("of")).select("of", "wanted", "least")
+    chosen = texts.join(wanted.hint("merge"), (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    dealt = chosen.select("doc_id", "node", "text", "wanted").mapInArrow(deal, DEALT)
 
     def settle(batches):
         for t in whole_groups(batches, "name", "block"):
-            yield from settled(t, hashes, width, later_only)
+            yield from rules.settle(t)
 
-    order = ["name", "block", *(["doc_id", "node", "first"] if later_only else [])]
-    done = dealt.repartition("name", "block").sortWithinPartitions(*order).mapInArrow(settle, "node binary, start int, stop int, open long, doc_id long, multi boolean")
+    done = dealt.repartitionById(n_buckets, "bucket").sortWithinPartitions("bucket", "name", "block").mapInArrow(settle, SETTLED)
     done = materialize(done, f"{path}/settled")
+    remove(spark, f"{path}/wanted")
     spans = done.where("open is null").select("node", "start", "stop")
     waiting = done.where("open is not null")
-    if later_only:
+    if rules.later_only:
         best = waiting.groupBy("open").agg(F.min(F.struct("doc_id", "node", "start")).alias("best"))
         late = waiting.join(best, "open").where(F.struct("doc_id", "node", "start") != F.col("best"))
     else:
@@ -113,59 +137,69 @@ def marked_intervals(documents: DataFrame, path: str, anchors: Anchors, payload:
     return materialize(spans.groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), f"{path}/spans")
 
 
-def settled(t: pa.Table, hashes: Hashes, width: int, later_only: bool) -> Iterator[pa.RecordBatch]:
-    """Marks windows within whole groups.  Rows of split names leave what only all blocks together
-    can settle open: one row for each window hash that the block has."""
-    raw, at = t.column("windows").combine_chunks(), None
-    if isinstance(raw, pa.ChunkedArray):
-        raw = raw.chunk(0)
-    at = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
-    data = np.frombuffer(raw.buffers()[2], np.uint8)[at[0] : at[-1]] if raw.buffers()[2] is not None else np.zeros(0, np.uint8)
-    at = at - at[0]
-    n = t.column("n").to_numpy().astype(np.int64)
-    first = t.column("first").to_numpy().astype(np.int64)
-    blocks = t.column("blocks").to_numpy()
-    row = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
-    names = t.column("name").to_numpy().view(np.uint64)
-    h = hashes(data, at, n)
-    with np.errstate(over="ignore"):
-        key = h ^ (names[row] * np.uint64(0x9E3779B97F4A7C15))
-        held = key ^ mix(t.column("block").to_numpy()[row].astype(np.uint64))  # blocks settle apart
-    _, where, which, counts = np.unique(held, return_index=True, return_inverse=True, return_counts=True)
-    nodes = t.column("node").combine_chunks()
-    if isinstance(nodes, pa.ChunkedArray):
-        nodes = nodes.chunk(0)
-    if later_only:  # rows are in order: the first of a key is its least place
-        lead = where[which]
-        same_row = (row == row[lead]) & (place == place[lead])
-        code = nodes.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        again = (code[row] == code[row[lead]]) & (place == place[lead])
-        covered = ~(same_row | again)
-    else:
-        covered = counts[which] > 1
-    step = np.flatnonzero(covered)
-    if len(step):  # neighbouring windows of one row make one interval
-        new = np.ones(len(step), bool)
-        new[1:] = (np.diff(step) != 1) | (row[step[1:]] != row[step[:-1]])
-        begin = step[new]
-        end = step[np.append(np.flatnonzero(new)[1:] - 1, len(step) - 1)]
-        yield _rows(nodes, row[begin], place[begin], place[end] + width)
-    split = np.flatnonzero(blocks[row[where]] > 1)
-    if len(split):
-        lead = where[split]
-        yield _rows(nodes, row[lead], place[lead], place[lead] + width, open=key[lead].view(np.int64), doc=t.column("doc_id").combine_chunks(), multi=counts[split] > 1)
-
-
-def _rows(nodes, row, start, stop, open=None, doc=None, multi=None) -> pa.RecordBatch:
-    take = pa.array(row)
-    none = pa.nulls(len(row), pa.int64())
-    if isinstance(doc, pa.ChunkedArray):
-        doc = doc.chunk(0)
-    return pa.RecordBatch.from_arrays(
-        [nodes.take(take), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), none if open is None else pa.array(open), none if doc is None else doc.take(take), pa.array(np.zeros(len(row), bool) if multi is None else multi)],
-        names=["node", "start", "stop", "open", "doc_id", "multi"],
-    )
+@dataclass
+class Groups:
+    """The rows of one table of whole groups as arrays, in order of (doc_id, node, first), null doc_ids
+    first; rows that repeat one of these (equal texts of one doc_id) are left out."""
+
+    name: np.ndarray
+    block: np.ndarray
+    blocks: np.ndarray
+    doc_id: pa.Array
+    node: pa.Array
+    first: np.ndarray
+    n: np.ndarray
+    data: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, t: pa.Table) -> Groups:
+        flat = {c: t.column(c).combine_chunks() for c in ("doc_id", "node", "windows")}
+        flat = {c: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for c, x in flat.items()}
+        data, at = _binary(flat["windows"])
+        raw, _ = _binary(flat["node"])
+        node = np.ascontiguousarray(raw).view(">u8").reshape(-1, 2).astype(np.uint64)
+        first, name, block = (t.column(c).to_numpy() for c in ("first", "name", "block"))
+        known = flat["doc_id"].is_valid().to_numpy(zero_copy_only=False)
+        doc = flat["doc_id"].fill_null(0).to_numpy()
+        order = np.lexsort((block, name, first, node[:, 1], node[:, 0], doc, known))
+        keys = (known, doc, node[:, 0], node[:, 1], first, name, block)
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0) if len(order) > 1 else new[1:]
+        order = order[new]
+        take = pa.array(order)
+        n = t.column("n").to_numpy()[order].astype(np.int64)
+        return cls(name[order].view(np.uint64), block[order], t.column("blocks").to_numpy()[order], flat["doc_id"].take(take), flat["node"].take(take), first[order].astype(np.int64), n, data, at[:-1][order], np.diff(at)[order])
+
+    def batch(self, row: np.ndarray, start: np.ndarray, stop: np.ndarray, open: pa.Array | None = None, multi: np.ndarray | None = None) -> pa.RecordBatch:
+        take, n = pa.array(row), len(row)
+        return pa.RecordBatch.from_arrays(
+            [self.node.take(take), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.nulls(n, pa.binary()) if open is None else open, pa.nulls(n, pa.int64()) if open is None else self.doc_id.take(take), pa.array(np.zeros(n, bool) if multi is None else multi)],
+            names=["node", "start", "stop", "open", "doc_id", "multi"],
+        )
+
+
+def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    at = offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    held = column.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[at[0] : at[-1]] if held is not None else np.zeros(0, np.uint8)
+    return data, at - at[0]
+
+
+def runs_of(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run of neighbouring places of one row; sorted by row, then place."""
+    new = np.ones(len(row), bool)
+    new[1:] = (np.diff(place) != 1) | (row[1:] != row[:-1])
+    head = np.flatnonzero(new)
+    return head, np.append(head[1:], len(row)) - 1
+
+
+def number_of_buckets(names: DataFrame) -> int:
+    """So many that a bucket holds about ``BUCKET_ROWS`` rows at any size of the input."""
+    rows = names.agg(F.sum("k")).first()[0] or 0
+    return max(1, -(-rows // BUCKET_ROWS))
 
 
 def with_spans(documents: DataFrame, spans: DataFrame, path: str) -> DataFrame:

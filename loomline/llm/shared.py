@@ -14,13 +14,15 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder path below the checkpoint folder that driver and executors share.
 
     The session's ``spark.checkpoint.dir`` decides; only where neither it nor a checkpoint folder of
-    the context is set (tests, a laptop) a temporary folder is made and set.
+    the context is set and the master is local (tests, a laptop) a temporary folder is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isDefined():
             base = got.get()
+        elif not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="loomline-")
             spark.sparkContext.setCheckpointDir(base)
@@ -51,6 +53,26 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: keys with more rows are looked up in a broadcast table, as long as there are not too many such keys
+FREQUENT = 1_000
+MOST_FREQUENT = 1_000_000
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], k: str = "k") -> DataFrame:
+    """``rows`` inner joined with ``keys``, a written table with one row for each key and, in ``k``, the
+    number of rows that have it.
+
+    A merge join would deal all rows of a frequent key to one task.  There are at most one in
+    ``FREQUENT`` rows such keys; they are counted, and broadcast while they are ``MOST_FREQUENT`` at most.
+    Beyond that the merge join takes all, and Spark splits its skewed partitions.
+    """
+    frequent = keys.where(F.col(k) > FREQUENT)
+    if frequent.count() > MOST_FREQUENT:
+        return rows.join(keys.hint("merge"), on)
+    rare = rows.join(F.broadcast(frequent.select(*on)), on, "left_anti").join(keys.where(F.col(k) <= FREQUENT).hint("merge"), on)
+    return rare.unionByName(rows.join(F.broadcast(frequent), on))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,8 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import marked_intervals, new_path, union_mask, with_spans
-from .textarrays import mix, prefix_sums, ranges, span_hash, utf8, word_hashes, words
+from .repeats import HOT, Groups, Rules, marked_intervals, new_path, number_of_buckets, runs_of, union_mask, with_spans
+from .textarrays import binary_array, mix, prefix_sums, ranges, span_hash, utf8, word_hashes, words
 
 WINDOW = 35
 ROUNDS = 4
@@ -103,22 +103,23 @@ def word_anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, ro
         return none, none, none, np.zeros(0, np.uint64)
     s = parse(hashed, at, rounds)
     sums = prefix_sums(hashed)
-    bits = np.uint64(len(s.name).bit_length())
-    mask = (np.uint64(1) << bits) - np.uint64(1)
     size = np.minimum(s.stop - s.start, 63)
-    key = ((63 - size).astype(np.uint64) << np.uint64(58)) | (mix(s.name) >> np.uint64(6) & ~mask) | np.arange(len(s.name), dtype=np.uint64)
+    key = ((63 - size).astype(np.uint64) << np.uint64(58)) | (mix(s.name) >> np.uint64(6))
     lo = np.searchsorted(s.left, p, "left")
     hi = np.searchsorted(s.right, p + window, "right")
     count = hi - lo
     best = np.full(len(p), -1, np.int64)
-    level, tables = 0, key
+    level, least, where = 0, key, np.arange(len(key))  # the first least key of 2**level symbols
     while True:
         this = np.flatnonzero((count >= 1 << level) & (count < 2 << level))
         if len(this):
-            best[this] = (np.minimum(tables[lo[this]], tables[hi[this] - (1 << level)]) & mask).astype(np.int64)
+            a, b = lo[this], hi[this] - (1 << level)
+            best[this] = np.where(least[a] <= least[b], where[a], where[b])
         if not (count >= 2 << level).any():
             break
-        tables = np.minimum(tables[: len(tables) - (1 << level)], tables[1 << level :])
+        half = 1 << level
+        where = np.where(least[:-half] <= least[half:], where[:-half], where[half:])
+        least = np.minimum(least[:-half], least[half:])
         level += 1
     owner = np.repeat(np.arange(len(n)), n)
     new = np.ones(len(p), bool)
@@ -139,22 +140,42 @@ def word_payload(data, offsets, doc, first, count, window: int = WINDOW):
     return span_hash(sums, p, p + window).view(np.uint8), 8 * np.append(0, np.cumsum(count))
 
 
-def word_window_hashes(data, at, count):
-    return np.frombuffer(data.tobytes(), np.uint64)
+def hash_buckets(names: DataFrame):
+    """Names of symbols have no order: they are dealt by their hash."""
+    n = number_of_buckets(names)
+    return (lambda name, block, blocks: mix(name + block.astype(np.uint64)) % np.uint64(n)), n
 
 
-def remove_repeats(documents: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, hot: int | None = None) -> DataFrame:
-    """doc_id, kept_text (kept words joined by one blank), n_words, n_removed, kept_sha256."""
-    path = new_path(documents)
-    options = {} if hot is None else {"hot": hot}
-
-    def anchors(data, offsets):
-        return word_anchors(data, offsets, window, rounds)
+def settle_windows(t: pa.Table, window: int):
+    """Marks windows that stand at two places; of split names each window once more, for all blocks."""
+    g = Groups.of(t)
+    row = np.repeat(np.arange(len(g.n)), g.n)
+    place = ranges(g.first, g.n)
+    h = g.data[ranges(g.start, g.size)].view(np.uint64)
+    _, lead, which, counts = np.unique(h ^ mix(g.name)[row], return_index=True, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(counts[which] > 1)
+    if len(again):
+        head, tail = runs_of(row[again], place[again])
+        yield g.batch(row[again[head]], place[again[head]], place[again[tail]] + window)
+    split = np.flatnonzero(g.blocks[row[lead]] > 1)
+    if len(split):
+        at = lead[split]
+        both = np.stack([h[at], g.name[row[at]]], 1)
+        yield g.batch(row[at], place[at], place[at] + window, binary_array(both.view(np.uint8).reshape(-1), 16 * np.arange(len(at) + 1)), counts[split] > 1)
 
-    def payload(data, offsets, doc, first, count):
-        return word_payload(data, offsets, doc, first, count, window)
 
-    spans = marked_intervals(documents, path, anchors, payload, word_window_hashes, window, False, **options)
+def remove_repeats(documents: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, hot: int = HOT) -> DataFrame:
+    """doc_id, kept_text (kept words joined by one blank), n_words, n_removed, kept_sha256."""
+    path = new_path(documents)
+    rules = Rules(
+        anchors=lambda data, offsets: word_anchors(data, offsets, window, rounds),
+        payload=lambda data, offsets, doc, first, count: word_payload(data, offsets, doc, first, count, window),
+        settle=lambda t: settle_windows(t, window),
+        buckets=hash_buckets,
+        later_only=False,
+        hot=hot,
+    )
+    spans = marked_intervals(documents, path, rules)
 
     def cut(batches):
         for batch in batches:

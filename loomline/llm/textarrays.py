@@ -54,47 +54,93 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_P = 0x9E3779B97F4A7C15 | 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: the field of the sequence hashes: residues modulo a Mersenne prime, two lanes of them
+_PRIME = (1 << 31) - 1
+_M, _31 = U64(_PRIME), U64(31)
+_BASES = (0x2545F491, 0x5851F42D)
+_powers: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A smaller number with the same residue; 64 bits become 34, twice 32."""
+    high = x >> _31
+    x &= _M
+    x += high
+    return x
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    x = _fold(_fold(x))
+    x[x >= _M] -= _M
+    return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i < n."""
+def powers(n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """P**i and P**-i in the field for i < n, for each lane."""
     have = _powers.get(0)
-    if have is None or len(have[0]) < n:
+    if have is None or len(have[0][0]) < n:
         size = max(n, CHUNK_BYTES + 4096)
-        up, down = np.empty(size, U64), np.empty(size, U64)
-        up[0] = down[0] = 1
-        inverse = pow(_P, -1, 1 << 64)
-        done = 1
-        while done < size:  # doubling
-            k = min(done, size - done)
-            up[done : done + k] = up[:k] * U64(pow(_P, done, 1 << 64))
-            down[done : done + k] = down[:k] * U64(pow(inverse, done, 1 << 64))
-            done += k
-        if size > CHUNK_BYTES + 4096:
-            return up, down  # a very long document: not kept
-        _powers[0] = have = (up, down)
+        have = ([], [])
+        for base in _BASES:
+            for to, p in zip(have, (base, pow(base, -1, _PRIME)), strict=True):
+                x = np.empty(size, U64)
+                x[0], done = 1, 1
+                while done < size:  # doubling
+                    k = min(done, size - done)
+                    x[done : done + k] = _residue(x[:k] * U64(pow(p, done, _PRIME)))
+                    done += k
+                to.append(x)
+        if size == CHUNK_BYTES + 4096:  # those of a very long document are not kept
+            _powers[0] = have
     return have
 
 
+Sums = list[np.ndarray]
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
+_BYTE_LANES = [_BYTE & _M, (_BYTE >> _31) & _M]
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """S with S[j]-S[i] = sum of values[k]*P**k for i <= k < j, modulo 2**64."""
-    out = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * powers(len(values) + 1)[0][: len(values)], out=out[1:])
+def _sums(lanes) -> Sums:
+    out = []
+    for k, x in enumerate(lanes):
+        x *= powers(len(x) + 1)[0][k][: len(x)]
+        s = np.zeros(len(x) + 1, U64)
+        np.cumsum(_fold(x), out=s[1:])
+        out.append(s)
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+def prefix_sums(values: np.ndarray) -> Sums:
+    """Sums whose differences give, in each lane, values[k] * P**k over any span: a polynomial over a
+    field, so that no structure of a text (as of one that doubles itself) makes two texts meet; the
+    chance that two spans of n values meet is (n / 2**31)**2 at most for a random base, and 2**-62 for
+    values that don't depend on it.
+    """
+    return _sums([values & _M, (values >> _31) & _M])
+
+
+def byte_sums(data: np.ndarray) -> Sums:
+    return _sums([lane[data] for lane in _BYTE_LANES])
+
+
+def _joined(lanes, size) -> np.ndarray:
+    low, high = lanes
+    return mix((low | high << _31) + size * U64(0x9E3779B97F4A7C15))
+
+
+def span_hash(sums: Sums, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """A hash of values[start:stop] that does not depend on where they stand."""
-    return mix((sums[stop] - sums[start]) * powers(len(sums))[1][start] + (stop - start).astype(U64))
+    down = powers(len(sums[0]))[1]
+    lanes = [_residue(_fold(_fold(s[stop] - s[start])) * d[start]) for s, d in zip(sums, down, strict=True)]
+    return _joined(lanes, (stop - start).astype(U64))
 
 
-def byte_values(data: np.ndarray) -> np.ndarray:
-    return _BYTE[data]
+def window_hashes(sums: Sums, width: int) -> np.ndarray:
+    """``span_hash`` of each place's next ``width`` values."""
+    n = max(len(sums[0]) - width, 0)
+    down = powers(len(sums[0]))[1]
+    lanes = [_residue(_fold(_fold(s[width:] - s[:n])) * d[:n]) for s, d in zip(sums, down, strict=True)]
+    return _joined(lanes, U64(width))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +164,15 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_sums(byte_values(data)), start, stop)
+    """Hashes of words, some of a long text at a time."""
+    out = np.empty(len(start), U64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(stop, start[i] + CHUNK_BYTES, "right")))
+        base = start[i]
+        out[i:j] = span_hash(byte_sums(data[base : stop[j - 1]]), start[i:j] - base, stop[i:j] - base)
+        i = j
+    return out
 
 
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
