@@ -1,7 +1,13 @@
 """License scans (operator 8): MinHash bands over overlapping windows, then exact containment.
 
 Tokens are runs of ASCII letters and digits (case folded) and bytes beyond ASCII; a template is the
-set of its five-token shingles.  Windows of two kinds retrieve templates:
+set S of its five-token shingles, of which it has W places.  A match is a stretch of the text: it opens
+at a shingle of S, ``CONTAINMENT`` of S or more stand in the next W / ``CONTAINMENT`` places (an edited
+copy may be longer), and it ends with the last of these places that brings one for the first time.
+Matches of a template are found from left to right and share no shingle, so copies that stand side by
+side are matches of their own, and scattered pieces of a template are none.
+
+Windows of two kinds retrieve templates:
 
 * long templates (24 shingles or more): windows of 16 shingles, every 8.  All windows of a template,
   at every place, are in the index under 16 bands of 2 MinHash values.  A copy of 24 shingles holds
@@ -10,31 +16,33 @@ set of its five-token shingles.  Windows of two kinds retrieve templates:
 * short templates: windows of one shingle, at every place.  All bands of a one-element set agree or
   none does, so the band is the shingle.
 
-Each window found asks for its surroundings, one template length to both sides; surroundings of one
-template that overlap are merged.  A match is a region that holds at least ``CONTAINMENT`` of the
-template's distinct shingles, counted exactly.  Texts are scanned whole, in one narrow map: templates
-are a parameter that travels with the task, bounded by ``MOST_TEMPLATE_TOKENS``.
+Each window found asks for its surroundings, one match length to both sides; surroundings of one
+template that overlap are searched together, exactly as defined.  Texts are scanned whole, in one narrow
+map.  Templates are a parameter that travels with the task; more than ``TEMPLATE_TOKENS`` tokens of them
+are scanned for in several passes.
 
 Defined results: a null or empty text matches nothing; templates of fewer than five tokens are one
-shingle of all their tokens, which only a text of just these tokens has; rows that repeat a doc_id are scanned each on its own; extra
-columns are ignored.
+shingle of all their tokens, which only a text of just these tokens has; templates without tokens
+match nothing; rows that repeat a doc_id are scanned each on its own; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import only
-from .textarrays import byte_values, doc_chunks, mix, prefix_sums, ranges, runs, span_hash, utf8
+from .textarrays import doc_chunks, mix, prefix_sums, ranges, runs, span_hash, utf8, word_hashes
 
 SHINGLE = 5
 CONTAINMENT = 0.8
 WIDE, STRIDE, LONG = 16, 8, 24
 BANDS, ROWS = 16, 2
-MOST_TEMPLATE_TOKENS = 1_000_000
+TEMPLATE_TOKENS = 1_000_000
 
 # Fixed texts: public notices of common licenses
 TEMPLATES = (
@@ -71,7 +79,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray):
     A document of one to four tokens has one shingle, all its tokens.
     """
     start, stop, at = runs(_TOKEN[data], offsets)
-    hashed = span_hash(prefix_sums(byte_values(_FOLD[data])), start, stop)
+    hashed = word_hashes(_FOLD[data], start, stop)
     sums = prefix_sums(hashed)
     n = np.diff(at)
     count = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
@@ -101,14 +109,13 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 class Index:
     """Templates by shingle and by band."""
 
-    def __init__(self, templates=TEMPLATES):
+    def __init__(self, templates=TEMPLATES, containment: float = CONTAINMENT):
         self.names = [t[0] for t in templates]
         data, off = utf8(pa.array([t[1] for t in templates], pa.string()))
-        _, _, at, h, sat = shingles(data, off)
-        if at[-1] > MOST_TEMPLATE_TOKENS:
-            raise ValueError(f"templates have {at[-1]} tokens; {MOST_TEMPLATE_TOKENS} at most")
+        _, _, _, h, sat = shingles(data, off)
         self.sets = [np.unique(h[a:b]) for a, b in zip(sat, sat[1:], strict=False)]
-        self.tokens = np.diff(at)
+        #: the places that a match may take
+        self.reach = np.ceil(np.diff(sat) / containment - 1e-9).astype(np.int64)
         short = [(x, k) for k, s in enumerate(self.sets) if len(s) < LONG for x in s]
         long = []
         for k, (a, b) in enumerate(zip(sat, sat[1:], strict=False)):
@@ -149,8 +156,8 @@ class Index:
             template = np.append(template, t)
             width = np.append(width, np.full(len(w), WIDE))
         doc = np.searchsorted(at, where, "right") - 1
-        lo = np.maximum(where - self.tokens[template], at[doc])
-        hi = np.minimum(where + width + self.tokens[template], at[doc + 1])
+        lo = np.maximum(where - self.reach[template], at[doc])
+        hi = np.minimum(where + width + self.reach[template], at[doc + 1])
         order = np.lexsort((lo, template, doc))
         doc, template, lo, hi = doc[order], template[order], lo[order], hi[order]
         out: list[list[int]] = []
@@ -162,34 +169,74 @@ class Index:
         return out
 
 
+def template_groups(templates) -> list[list[tuple[int, str, str]]]:
+    """Numbered templates in groups of about ``TEMPLATE_TOKENS`` tokens (characters bound them)."""
+    groups, size = [[]], 0
+    for k, (name, text) in enumerate(templates):
+        if groups[-1] and size + len(text) > TEMPLATE_TOKENS:
+            groups.append([])
+            size = 0
+        groups[-1].append((k, name, text))
+        size += len(text)
+    return groups
+
+
 def scan(documents: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, license, template (its number), start, stop (code points), containment: one row for
-    each region of a text that holds a template."""
-
-    def find(batches):
-        index = Index(templates)
-        for batch in batches:
-            data, off = utf8(batch.column("text"))
-            out = []
-            for i, j in doc_chunks(off):
-                out += matches(index, data[off[i] : off[j]], off[i : j + 1] - off[i], containment, i)
-            if out:
-                doc, *rest = zip(*out, strict=True)
-                types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *(pa.array(c, t) for c, t in zip(rest, types, strict=True))], names=["doc_id", "license", "template", "start", "stop", "containment"])
-
+    each stretch of a text that holds a template."""
     rows = only(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(find, "doc_id long, license string, template int, start long, stop long, containment double")
+
+    def finder(group):
+        def find(batches):
+            index = Index([t[1:] for t in group], containment)
+            for batch in batches:
+                data, off = utf8(batch.column("text"))
+                out = []
+                for i, j in doc_chunks(off):
+                    out += matches(index, data[off[i] : off[j]], off[i : j + 1] - off[i], containment, i)
+                if out:
+                    doc, name, template, *rest = zip(*out, strict=True)
+                    columns = [pa.array(name, pa.string()), pa.array([group[t][0] for t in template], pa.int32()), *(pa.array(c, t) for c, t in zip(rest, (pa.int64(), pa.int64(), pa.float64()), strict=True))]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *columns], names=["doc_id", "license", "template", "start", "stop", "containment"])
+
+        return find
+
+    found = [rows.mapInArrow(finder(g), "doc_id long, license string, template int, start long, stop long, containment double") for g in template_groups(templates)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def stretches(places: list[int], shingle: list[int], size: int, reach: int, containment: float):
+    """(first place, last place, share) of the matches among the places that hold a template's shingles."""
+    held: dict[int, int] = {}
+    i = j = 0
+    while i < len(places):
+        while j < len(places) and places[j] < places[i] + reach:
+            held[shingle[j]] = held.get(shingle[j], 0) + 1
+            j += 1
+        if len(held) >= containment * size - 1e-9:
+            new: dict[int, int] = {}
+            for k in range(i, j):
+                new.setdefault(shingle[k], k)
+            last = max(new.values())
+            yield places[i], places[last], len(held) / size
+            i, j = last + 1, last + 1
+            held = {}
+            continue
+        held[shingle[i]] -= 1
+        if not held[shingle[i]]:
+            del held[shingle[i]]
+        i += 1
 
 
 def matches(index: Index, data: np.ndarray, off: np.ndarray, containment: float, base: int = 0) -> list[tuple]:
     start, stop, at, h, sat = shingles(data, off)
     out = []
     for d, t, a, b in index.regions(h, sat):
-        hits = np.flatnonzero(np.isin(h[a:b], index.sets[t])) + a
-        share = len(np.unique(h[hits])) / len(index.sets[t])
-        if share >= containment:
-            first, last = at[d] + hits[0] - sat[d], min(at[d] + hits[-1] - sat[d] + SHINGLE, at[d + 1]) - 1
+        own = index.sets[t]
+        where = np.minimum(np.searchsorted(own, h[a:b]), len(own) - 1)
+        hits = np.flatnonzero(own[where] == h[a:b])
+        for i, j, share in stretches((hits + a).tolist(), where[hits].tolist(), len(own), int(index.reach[t]), containment):
+            first, last = at[d] + i - sat[d], min(at[d] + j - sat[d] + SHINGLE, at[d + 1]) - 1
             chars = [int((data[off[d] : x] & 0xC0 != 0x80).sum()) for x in (start[first], stop[last])]
             out.append((base + d, index.names[t], t, *chars, share))
     return out
