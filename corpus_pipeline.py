@@ -16,22 +16,27 @@ from loomline.llm.shared import materialize, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the threshold table rejects go."""
+    """Documents that the threshold table rejects go: null and empty texts too.  Rows that repeat an id
+    are judged each on its own; all columns stay as they are; an empty table stays empty."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, that of the least doc_id."""
+    """One document of each class of near duplicates stays, that of the least doc_id (null only where
+    the class has no other; ties by the text's hash).  Rows that repeat an id are documents of their own;
+    texts without words are alike to none and stay; all columns stay as they are."""
     return ngram_join.keep_one_of_each_class(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, whatever their id, which may be null or repeated.  Null
+    and empty texts stay, and so does everything if the benchmark is empty."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; no document goes."""
+    """Secrets are masked in the text; no document goes.  Null texts stay null; n_chars, if there is
+    one, follows the text."""
     masked = secret_scan.redact_documents(docs)
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -39,8 +44,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each sequence."""
-    return packing.piece_digest(packing.pack(docs, tokenizer_path()))
+    """One row for each sequence, read from the buckets of equal length.  Null texts have the end id
+    only; rows that repeat an id are packed each on its own; an empty table gives no rows."""
+    path = f"{shared_dir(spark)}/sequences"
+    packing.write_buckets(packing.pack(docs, tokenizer_path()), path)
+    return packing.piece_digest(packing.read_buckets(spark, path))
 
 
 STAGES = [

@@ -2,8 +2,9 @@
 
 A document of n ids is cut into n // 1024 pieces of 1024 and one piece for each set bit of the
 rest, largest first.  Each piece is a sequence of its own, so no sequence crosses documents and none
-needs padding: all lengths are powers of two, and a batch takes sequences of one length.  A narrow
-map does it; nothing is shuffled.
+needs padding: all lengths are powers of two, and a batch takes sequences of one length.  Sequences
+are written in buckets of equal length, one folder for each power of two, and read from there.  A
+narrow map does it; nothing is shuffled.
 
 Defined results: a null text is empty and has the end id only.  Rows that repeat a ``doc_id`` are
 packed each on its own.  Extra columns are ignored, an empty table gives no pieces.
@@ -14,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import only
@@ -23,6 +24,7 @@ from .token_files import token_batches
 
 LONGEST = 1024
 
+
 def binary_lengths(tokens: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
     """Lengths of all pieces, and the number of pieces of each document."""
     bits = longest.bit_length() - 1
@@ -36,6 +38,7 @@ def binary_lengths(tokens: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarr
     lengths[first_rest[doc] + nth] = 1 << (bits - 1 - column)
     return lengths, counts
 
+
 def pack(documents: DataFrame, tokenizer: str, end_id: int = 0, longest: int = LONGEST) -> DataFrame:
     """One row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary,
     little-endian unsigned 32-bit).  ``sequence_id`` joins the number of the task and a counter.
@@ -68,11 +71,21 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 0, longest: int = L
     rows = only(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return rows.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
+
+PIECES = "doc_id long, start long, doc_tokens long, sequence_id long, offset long, ids binary"
+
+
 def write_buckets(packed: DataFrame, path: str) -> None:
     """Writes sequences by length, one folder for each power of two: a loader reads whole batches of
     one length."""
     packed.write.partitionBy("length").parquet(path)
 
+
+def read_buckets(spark: SparkSession, path: str, length: int | None = None) -> DataFrame:
+    """The sequences of all buckets, or of the one of ``length``."""
+    rows = spark.read.schema(f"{PIECES}, length long").parquet(path)
+    return rows if length is None else rows.where(F.col("length") == length)
+
+
 def piece_digest(packed: DataFrame) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-

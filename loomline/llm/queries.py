@@ -73,7 +73,9 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
-    return packing.piece_digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+    path = f"{shared_dir(spark)}/sequences"
+    packing.write_buckets(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()), path)
+    return packing.piece_digest(packing.read_buckets(spark, path))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
