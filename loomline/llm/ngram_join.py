@@ -8,7 +8,7 @@ their sets is 0.8 or more.  Documents of equal sets are one text (a node) from t
 2. Buckets are merged into home groups by two rounds of least ids, so the pairs of a group of near
    copies are compared once and not once for each band.  Buckets whose nodes still have different
    homes are compared on their own, at the first band that a pair shares: no candidate is lost.
-3. A group is dealt in blocks by the shingles it holds; each task compares two blocks.  Within it,
+3. A group is dealt in blocks, by its shingles and by its texts; each task compares two blocks.  Within it,
    MinHash values are compared some at a time, and a pair goes when the posterior probability of
    reaching the threshold (uniform prior) falls below the tolerance.  What is left is verified on
    the exact sets.  Tasks return one row for each node - links, copies linked, root - not pairs.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, shared_dir
+from .shared import join_counted, materialize, shared_dir
 from .textarrays import binary_array, doc_chunks, mix, prefix_sums, ranges, span_hash, utf8, whole_groups, word_hashes, words
 
 SHINGLE = 5
@@ -41,6 +41,8 @@ STEP = 8
 TOLERANCE = 1e-8
 #: shingles of one block; a task holds two blocks
 BLOCK_SHINGLES = 1_000_000
+#: texts of a group that are one block whatever they hold; k texts are sqrt(k / this) blocks
+ROWS_ALONE = 64
 ROUNDS = 2
 
 _HASHES = BANDS * ROWS
@@ -203,18 +205,24 @@ def _classes(documents: DataFrame, threshold: float = THRESHOLD, size: int = SHI
     texts = materialize(texts, f"{path}/texts")
 
     buckets = texts.select("node", F.posexplode("bands").alias("band", "value"))
-    shared = buckets.groupBy("value").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("least")).where("k > 1").select("value", "least")
-    held = materialize(buckets.join(shared, "value"), f"{path}/held")  # (value, node, band, least)
+    shared = buckets.groupBy("value").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("least")).where("k > 1")
+    held = materialize(join_counted(buckets, materialize(shared, f"{path}/shared"), ["value"]), f"{path}/held")  # (value, node, band, k, least)
     home = held.groupBy("node").agg(F.min("least").alias("home"))
-    for k in range(1, ROUNDS):
-        least = held.join(home, "node").groupBy("value").agg(F.min("home").alias("to"))
-        home = materialize(held.join(least, "value").groupBy("node").agg(F.min("to").alias("home")), f"{path}/home{k}")
-    apart = held.join(home, "node").groupBy("value").agg(F.min("home").alias("x"), F.max("home").alias("y")).where("x <> y").select("value")
+    for r in range(1, ROUNDS):
+        least = held.join(home, "node").groupBy("value").agg(F.first("k").alias("of"), F.min("home").alias("to"))
+        least = materialize(least, f"{path}/least{r}")
+        home = materialize(join_counted(held.select("value", "node"), least, ["value"], "of").groupBy("node").agg(F.min("to").alias("home")), f"{path}/home{r}")
+    apart = held.join(home, "node").groupBy("value").agg(F.first("k").alias("of"), F.min("home").alias("x"), F.max("home").alias("y")).where("x <> y")
+    apart = materialize(apart.select("value", "of"), f"{path}/apart")
     facts = texts.select("node", "doc", "key", "copies", "n")
-    tasks = home.select(F.col("home").alias("gkey"), F.lit(-1).alias("band"), "node", "home").unionByName(held.join(apart, "value").join(home, "node").select(F.col("value").alias("gkey"), "band", "node", "home"))
-    tasks = tasks.join(facts, "node")
-    blocks = tasks.groupBy("gkey", "band").agg(F.ceil(F.sum("n") / block).cast("int").alias("g"), F.count(F.lit(1)).alias("k")).where("k > 1").select("gkey", "band", "g")
-    tasks = tasks.join(blocks, ["gkey", "band"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("g")).cast("int"))
+    alone = home.select(F.col("home").alias("gkey"), F.lit(-1).alias("band"), "node", "home")
+    tasks = alone.unionByName(join_counted(held.select("value", "band", "node"), apart, ["value"], "of").join(home, "node").select(F.col("value").alias("gkey"), "band", "node", "home"))
+    tasks = materialize(tasks.join(facts, "node"), f"{path}/tasks")
+    # blocks bound the shingles of a task; with sqrt(k) of them a task's rows and the copies that are
+    # dealt both grow with the square root of the group
+    g = F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.sqrt(F.count(F.lit(1)) / ROWS_ALONE))).cast("int")
+    blocks = materialize(tasks.groupBy("gkey", "band").agg(g.alias("g"), F.count(F.lit(1)).alias("k")).where("k > 1"), f"{path}/blocks")
+    tasks = join_counted(tasks, blocks, ["gkey", "band"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("g")).cast("int"))
     places = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct("gkey", "band", F.least("own", x).alias("i"), F.greatest("own", x).alias("j"), "own", "home"))
     work = tasks.groupBy("node", "doc", "key", "copies").agg(F.flatten(F.collect_list(places)).alias("places"))
     work = materialize(work, f"{path}/work")
