@@ -15,7 +15,6 @@ in the text's length.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -168,15 +167,3 @@ def redact_documents(documents: DataFrame, rule: EntropyRule = EntropyRule(), ma
             yield batch.set_column(at, "text", new)
 
     return documents.mapInArrow(mask, documents.schema)
-
-
-def brute_force_spans(text: str) -> list[tuple[str, int, int]]:
-    """The base spans straight from the definition, for tests."""
-    out = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    out += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
-    out += [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
-    return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
-
-
-def base_digest(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans if k != "entropy").encode()).hexdigest()

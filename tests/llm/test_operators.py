@@ -108,7 +108,7 @@ def test_suffix_dedup(docs, empty):
 
 
 def test_quality(docs, empty):
-    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     assert rows(quality.judge(docs), *columns) == sorted(brute.quality(ROWS), key=str)
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns and kept.count() == quality.judge(docs).where("kept").count()
@@ -131,26 +131,30 @@ def test_token_files(spark, docs, empty):
 
 
 def test_packing(spark, docs, empty):
-    packed = packing.pack(docs, PATH).collect()
-    assert len({p.sequence_id for p in packed}) == len(packed)
+    path = f"{shared_dir(spark)}/p"
+    packing.write_buckets(packing.pack(docs, PATH), path)
+    packed = packing.read_buckets(spark, path)
+    digest = {r.sequence_id: r for r in packing.piece_digest(packed).collect()}
+    packed = packed.collect()
+    assert len({p.sequence_id for p in packed}) == len(packed) == len(digest)
     got = {}
     for p in packed:
-        assert p.offset == 0 and p.length & (p.length - 1) == 0 and 1 <= p.length <= 1024
-        got.setdefault((p.doc_id, p.doc_tokens), []).append((p.start, np.frombuffer(p.ids, "<u4").tolist()))
+        assert p.offset == 0 and p.length & (p.length - 1) == 0 and 1 <= p.length <= 1024 and len(p.ids) == 4 * p.length
+        r = digest[p.sequence_id]
+        assert (r.doc_id, r.start, r.length, r.doc_tokens, r.ids_crc32) == (p.doc_id, p.start, p.length, p.doc_tokens, zlib.crc32(bytes(p.ids)))
+        got.setdefault((p.doc_id, p.doc_tokens), []).append((p.start, tuple(np.frombuffer(p.ids, "<u4").tolist())))
     want = {}
     for d, t in ROWS:
         ids = WHOLE.encode(t or "", add_special_tokens=False).ids + [0]
-        want.setdefault((d, len(ids)), []).append(ids)
-    assert got.keys() == want.keys()
-    for key, texts in want.items():
-        if len(texts) == 1:
-            pieces = sorted(got[key])
-            assert [s for s, _ in pieces] == [sum(len(x) for _, x in pieces[:k]) for k in range(len(pieces))]
-            assert sum((x for _, x in pieces), []) == texts[0]
-    assert packing.pack(empty, PATH).count() == 0
-    path = f"{shared_dir(spark)}/p"
-    packing.write_buckets(packing.pack(docs, PATH), path)
-    assert spark.read.parquet(path).where("length = 1024").count() == sum(p.length == 1024 for p in packed)
+        at = 0
+        while at < len(ids):  # the largest power of two that is left, 1024 at most
+            size = min(1024, 1 << ((len(ids) - at).bit_length() - 1))
+            want.setdefault((d, len(ids)), []).append((at, tuple(ids[at : at + size])))
+            at += size
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert packing.read_buckets(spark, path, 1024).count() == sum(p.length == 1024 for p in packed)
+    packing.write_buckets(packing.pack(empty, PATH), f"{path}0")
+    assert packing.piece_digest(packing.read_buckets(spark, f"{path}0")).count() == 0
 
 
 def test_warc(spark):
@@ -189,13 +193,13 @@ SECRETS = [
 
 def test_secrets(spark, docs, empty):
     df = spark.createDataFrame([(*x, "s", "k") for x in SECRETS], "doc_id long, text string, spans string, kind string")
-    got = {(r.doc_id, r.base_sha256, r.n_assign, r.n_access, r.n_hex) for r in secret_scan.span_digest(secret_scan.scan(df)).collect()}
-    want = set()
+    got = rows(secret_scan.span_digest(secret_scan.scan(df)), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    want = []
     for d, t in SECRETS:
-        base = secret_scan.brute_force_spans(t or "")
-        said = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
-        want.add((d, hashlib.sha256(said.encode()).hexdigest(), *(sum(k == x for k, _, _ in base) for x in ("assign", "access", "hex"))))
-    assert got == want
+        spans = brute.secrets(t or "")
+        said, base = (",".join(f"{k}:{a}:{b}" for k, a, b in x) for x in (spans, brute.base_secrets(t or "")))
+        want.append((d, *(sum(k == x for k, _, _ in spans) for x in ("assign", "access", "hex")), hashlib.sha256(base.encode()).hexdigest(), said))
+    assert got == sorted(want, key=str)
     spans = {d: {k for k, _, _ in secret_scan.find_spans(t or "")} for d, t in SECRETS}
     assert "entropy" in spans[7] and not spans[8] and not spans[10]
     assert secret_scan.scan(docs).where("size(spans) > 0").count() == 1  # the run of a and b
@@ -204,6 +208,16 @@ def test_secrets(spark, docs, empty):
     assert masked[1].startswith("é [SECRET]") and masked[5] is None and masked[8] == SECRETS[7][1]
 
 
+def test_secrets_by_reading_characters():
+    import random
+
+    rng = random.Random(12)
+    parts = ["password", "PASSWD", "secret", "token", "Api_Key", "apikey", '"', "'", " ", "  ", ":", "=", "\t", "AKIA", "akia", "Z9" * 8, "0123456789abcdef", "ABCDEF0123456789", "a" * 5, "x7Q", "é", "\n", "/", "-", "_", ".", "+", "aZ3kQ9xW7vB2nM5pL8sD4", "123e4567-e89b-12d3-a456-426614174000", "some/long-path9/of"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        assert secret_scan.find_spans(text) == brute.secrets(text), repr(text)
+
+
 def test_glued_keys_are_judged_as_alone():
     import random
 
@@ -330,16 +344,41 @@ def test_decontamination_of_items_poor_in_literals(spark):
 
 
 def test_license_scan(spark, docs, empty):
-    texts = [(k, f"é before {t} after") for k, (_, t) in enumerate(license_scan.TEMPLATES)]
-    long = next(k for k, (_, t) in enumerate(license_scan.TEMPLATES) if len(t) > 300)
-    edited = license_scan.TEMPLATES[long][1].split()
-    edited[20] = "zzz"
-    texts += [(90, "word " * 500 + " ".join(edited)), (91, "Permission is hereby"), (92, None), (93, "")]
-    d = spark.createDataFrame([(*x, "l") for x in texts], "doc_id long, text string, license string")
-    found = license_scan.scan(d).collect()
-    hit = {(r.doc_id, r.template) for r in found}
-    assert {(k, k) for k in range(len(license_scan.TEMPLATES))} <= hit and (90, long) in hit
-    assert not {x for x, _ in hit} & {91, 92, 93}
-    first = next(r for r in found if (r.doc_id, r.template) == (0, 0))
-    assert texts[0][1][first.start : first.stop] == license_scan.TEMPLATES[0][1].rstrip(".")
+    rng = np.random.default_rng(6)
+    notices = [t for _, t in license_scan.TEMPLATES]
+    plain = [f"word{x}" for x in range(60)]
+
+    def filler(n):
+        return " ".join(rng.choice(plain, n))
+
+    def edited(t, share):
+        w = t.split()
+        for i in rng.choice(len(w), int(share * len(w)), replace=False):
+            w[i] = rng.choice([f"{w[i]} zz", "zz", ""])
+        return " ".join(w)
+
+    texts = [f"é before {t} after" for t in notices] + [f"{t} {t}" for t in notices] + [f"{t}\n\n{filler(3)} {t.upper()}" for t in notices]
+    texts += [filler(int(rng.integers(0, 40))) + " " + edited(t, share) + " " + filler(20) for t in notices for share in (0.02, 0.04, 0.06)]
+    mit = max(notices[:3], key=len).split()
+    texts.append(filler(60).join([""] + [" ".join(mit[i : i + 30]) for i in range(0, len(mit), 30)]))  # scattered pieces
+    texts += [filler(300) + " " + " ".join(notices) + " " + filler(300), " ".join(mit[:-8]) + " " + " ".join(mit), "Permission is hereby", None, "", "...", "MIT License"]
+    data = [(k if k % 7 else None, t) for k, t in enumerate(texts)]
+    d = spark.createDataFrame([(*x, "l") for x in data], "doc_id long, text string, license string").repartition(4)
+    columns = ("doc_id", "license", "template", "start", "stop", "containment")
+    want = sorted(brute.licenses(data, license_scan.TEMPLATES), key=str)
+    assert rows(license_scan.scan(d), *columns) == want and len(want) > 120
+    k = len(texts) - 7 - 1  # the scattered pieces
+    assert not [x for x in brute.licenses([(1, texts[k])], license_scan.TEMPLATES) if x[4] - x[3] > 1000]
     assert license_scan.scan(docs).count() == 0 and license_scan.scan(empty).count() == 0
+    own = (("A", "one two three"), ("B", ""), ("C", "é " * 40))
+    few = [(1, "One, two: three."), (2, "one two three four"), (3, "é " * 45), (4, "")]
+    found = license_scan.scan(spark.createDataFrame(few, "doc_id long, text string"), own)
+    assert rows(found, *columns) == sorted(brute.licenses(few, own), key=str)
+
+
+def test_templates_in_several_passes(spark, monkeypatch):
+    d = spark.createDataFrame([(k, f"x {t} y") for k, (_, t) in enumerate(license_scan.TEMPLATES)], "doc_id long, text string")
+    want = rows(license_scan.scan(d), "doc_id", "template", "start")
+    monkeypatch.setattr(license_scan, "TEMPLATE_TOKENS", 500)
+    assert len(license_scan.template_groups(license_scan.TEMPLATES)) > 3
+    assert rows(license_scan.scan(d), "doc_id", "template", "start") == want
