@@ -10,6 +10,8 @@ _ASCII = b"\t\n\v\f\r "
 _ONE = b"(?:[\\t-\\r ]|" + b"|".join(re.escape(c.encode()) for c in SPACES if ord(c) > 127) + b")"
 _LEAD = re.compile(_ONE + b"+")
 _TAIL = re.compile(_ONE + b"+\\Z")
+#: white space beyond ASCII
+WIDE_SPACE = re.compile(b"|".join(re.escape(c.encode()) for c in SPACES if ord(c) > 127))
 #: a byte at which no white space character starts; the later bytes of one are such bytes
 INK = re.compile(b"(?!" + _ONE + b").", re.S)
 

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 from .bytesets import trim
 from .languages import Language
 from .linescan import LineScanner
-from .plainscan import PlainScanner
+from .plainscan import PlainScanner, plain_counts
+from .wholefile import whole_file
 
 _BOM = b"\xef\xbb\xbf"
 
@@ -51,6 +52,20 @@ def kinds(content: bytes, language: Language) -> str:
 
 
 def counts(content: bytes, language: Language) -> tuple[int, int, int]:
-    """Code, comment and blank lines."""
+    """Code, comment and blank lines: of the whole file at once where that can tell them."""
+    rules = language.scanner_rules()
+    if rules is not None and (whole := whole_file(rules)) is not None:
+        first, feed, rest = content.partition(b"\n")
+        opens = trim(first)
+        if opens.removeprefix(_BOM).startswith(b"#!"):
+            got = whole.counts(rest)
+            if got is not None:
+                return got[0] + 1, *got[1:]
+        elif first != _BOM and opens.startswith(_BOM) == first.startswith(_BOM):
+            got = whole.counts(content.removeprefix(_BOM))
+            if got is not None:
+                return got
+    elif rules is None and (got := plain_counts(content, language)) is not None:
+        return got
     k = kinds(content, language)
     return k.count("C"), k.count("M"), k.count("B")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from .bytesets import INK
+from .bytesets import INK, trim
 from .languages import Language
 
 _BOM = b"\xef\xbb\xbf"
@@ -100,3 +100,17 @@ class PlainScanner:
                 self.waiting.pop()
             pos = found.end()
         return pos
+
+
+def plain_counts(content: bytes, language: Language) -> tuple[int, int, int] | None:
+    """Code, comment and blank lines of a file without any block marker or ``#!``; None for others."""
+    m = _markers(language)
+    if m.patterns or m.real.search(content) or b"#!" in content or _BOM in content:
+        return None
+    lines = content.split(b"\n")
+    if not lines[-1]:
+        lines.pop()
+    texts = list(map(bytes.strip, lines) if content.isascii() else map(trim, lines))
+    blank = texts.count(b"")
+    comment = sum(x.startswith(m.lines) for x in texts) if m.lines else 0
+    return len(texts) - blank - comment, comment, blank

@@ -6,7 +6,7 @@ copies are dropped, and one by language for the counts.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -17,8 +17,9 @@ from ..functions.bytesets import JAVA_SPACES
 from ..functions.classify import counts, line_records
 from ..functions.detect import base_name, directory, with_language
 from ..functions.languages import Language, LanguageRegistry
-from ..sources.listing import VCS, is_vcs, list_trees, read_contents
+from ..sources.listing import VCS, can_prune, is_vcs, list_trees, read_contents
 from .options import Options
+from .patterns import compile_in
 
 FILES = "name string, language string, code long, comment long, blank long"
 
@@ -36,6 +37,7 @@ class Result:
     registry: LanguageRegistry
     warnings: DataFrame | None = None
     dropped: DataFrame | None = None
+    held: tuple[DataFrame, ...] = ()
 
     @property
     def files(self) -> DataFrame:
@@ -58,9 +60,9 @@ class Result:
 
     @property
     def language_files(self) -> DataFrame:
-        """The paths of each language in the order of discovery."""
-        paths = F.transform(F.array_sort(F.collect_list(F.struct("seq", "path"))), lambda x: x["path"])
-        return self.scanned.groupBy(F.col("language").alias("name")).agg(paths.alias("files"))
+        """name, seq and file: the paths of each language, seq being the order of discovery.  A row for
+        each, for a language may have a third of all files."""
+        return self.scanned.select(F.col("language").alias("name"), "seq", F.col("path").alias("file"))
 
     @property
     def lines(self) -> DataFrame:
@@ -85,6 +87,11 @@ class Result:
             out = out.unionByName(self.dropped.select("seq", "path", F.lit("debug").alias("level"), F.lit("duplicate content").alias("message")))
         return out
 
+    def unpersist(self) -> None:
+        """Lets go of the counts that are kept for the reports."""
+        for frame in self.held:
+            frame.unpersist()
+
     def create_views(self) -> None:
         """Temporary views files, languages, total, lines and diagnostics."""
         for name in ("files", "languages", "total", "lines", "diagnostics"):
@@ -101,13 +108,13 @@ def path_filters(path: Column, options: Options) -> Column:
     folder = directory(path)
     out = F.lit(True)
     if options.not_match:
-        out = out & ~target.rlike(options.not_match)
+        out = out & ~target.rlike(options.java("not_match"))
     if options.match:
-        out = out & target.rlike(options.match)
+        out = out & target.rlike(options.java("match"))
     if options.not_match_dir:
-        out = out & ~folder.rlike(options.not_match_dir)
+        out = out & ~folder.rlike(options.java("not_match_dir"))
     if options.match_dir:
-        out = out & folder.rlike(options.match_dir)
+        out = out & folder.rlike(options.java("match_dir"))
     return out
 
 
@@ -192,28 +199,35 @@ def analyze_content(content: DataFrame, options: Options | None = None, registry
     """Analyses rows of (seq long, path string, content string or binary).
 
     ``language`` names the language of all rows and turns detection off.  Rows of null content are
-    empty files.
+    empty files.  Contents are read once and never kept: copies are counted in the same pass and
+    dropped by their digests afterwards, which costs less than a second reading or dealing contents by
+    digest.  ``persist`` keeps the counts, one narrow row for each file, until ``Result.unpersist``.
     """
     options, registry = options or Options(), registry or LanguageRegistry.default()
-    rows = content.select(F.col("seq").cast("long").alias("seq"), F.col("path").cast("string").alias("path"), F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"))
+    options.check(content.sparkSession)
+    more = [F.col("warning")] if "warning" in content.columns else []
+    rows = content.select(F.col("seq").cast("long").alias("seq"), F.col("path").cast("string").alias("path"), F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"), *more)
     rows = rows.where(path_filters(F.col("path"), options))
     if language is None:
         rows = with_language(rows, registry.keys).where(language_filters(F.col("language"), options, registry))
     else:
         rows = rows.withColumn("language", F.lit(language))
-    contents = rows.select("seq", "path", "language", "content")
+    contents = rows.select("seq", "path", "language", "content", *more)
     work = contents.withColumn("digest", F.md5("content")) if options.dedup else contents
     plain = language is not None and _markerless(registry.languages[language])
     scanned = count_plain(work) if plain else classified(work, registry.languages)
-    dropped = None
+    held: tuple[DataFrame, ...] = ()
+    if persist and not plain:
+        scanned = scanned.persist(StorageLevel.MEMORY_AND_DISK)
+        held = (scanned,)
+    warnings = dropped = None
+    if more:
+        warnings = scanned.where("warning is not null").select("seq", "path", F.lit("warning").alias("level"), F.col("warning").alias("message"))
+        scanned, contents = scanned.where("warning is null").drop("warning"), contents.where("warning is null").drop("warning")
     if options.dedup:
-        if persist and not plain:
-            scanned = scanned.persist(StorageLevel.MEMORY_AND_DISK)
         scanned, dropped = first_of_each(scanned)
         scanned, dropped = scanned.drop("digest"), dropped.drop("digest")
-    elif persist and not plain:
-        scanned = scanned.persist(StorageLevel.MEMORY_AND_DISK)
-    return Result(scanned, contents, registry, dropped=dropped)
+    return Result(scanned, contents, registry, warnings, dropped, held)
 
 
 def _markerless(language: Language) -> bool:
@@ -226,17 +240,17 @@ def _markerless(language: Language) -> bool:
 def analyze(spark: SparkSession, paths, options: Options | None = None, registry: LanguageRegistry | None = None) -> Result:
     """Analyses files below ``paths``; an empty list gives an empty result."""
     options, registry = options or Options(), registry or LanguageRegistry.default()
+    options.check(spark)
     paths = list(paths)
-    found = list_trees(spark, paths, options.not_match_dir)
+    prune = compile_in(spark, options.not_match_dir) if can_prune(options.not_match_dir) else None
+    found = list_trees(spark, paths, lambda path: prune is not None and prune.matcher(path).find())
     rooted = {k for k, p in enumerate(paths) if is_vcs(p)}
     found = found.where(F.col("root_idx").isin(sorted(rooted)) | not_vcs(F.col("path")) | (F.col("warning") != "")) if rooted else found
     missing = found.where("warning <> ''").select("seq", "path", F.lit("warning").alias("level"), F.col("warning").alias("message"))
     wanted = found.where("warning = ''").where(path_filters(F.col("path"), options))
-    read = read_contents(wanted, options.effective_workers()).persist(StorageLevel.MEMORY_AND_DISK)
-    failed = read.where("warning is not null").select("seq", "path", F.lit("warning").alias("level"), F.col("warning").alias("message"))
-    result = analyze_content(read.where("warning is null").select("seq", "path", "content"), options.with_(match="", not_match="", match_dir="", not_match_dir=""), registry)
-    result.warnings = missing.unionByName(failed)
-    return result
+    read = read_contents(wanted, options.effective_workers(spark))
+    result = analyze_content(read, options.with_(match="", not_match="", match_dir="", not_match_dir=""), registry)
+    return replace(result, warnings=missing.unionByName(result.warnings))
 
 
 def analyze_file(spark: SparkSession, path: str, language: Language | str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import re
 from dataclasses import dataclass, replace
 
+from pyspark.sql import SparkSession
+
+from .patterns import PatternError, compile_in, translate
+
 MOST_WORKERS = 64
+PATTERNS = ("match", "not_match", "match_dir", "not_match_dir")
 
 
 class OptionError(ValueError):
@@ -17,23 +20,9 @@ class OptionError(ValueError):
         self.field, self.reason = field, reason
 
 
-#: constructs that a linear-time engine doesn't have
-_NOT_LINEAR = re.compile(r"\(\?(?:[=!]|<[=!])|\\[1-9]|\\k<|(?<!\\)[*+?}]\+")
-
-
-def check_pattern(field: str, pattern: str) -> str:
-    if _NOT_LINEAR.search(pattern):
-        raise OptionError(field, f"look-around, possessive quantifiers and back-references are not supported: {pattern!r}")
-    try:
-        re.compile(pattern.replace(r"\z", r"\Z"))
-    except re.error as e:
-        raise OptionError(field, e) from e
-    return pattern
-
-
 @dataclass(frozen=True)
 class Options:
-    """``workers``: 0 takes the session's parallelism.  ``exclude_exts`` are extensions whose
+    """``workers``: how many tasks read files; 0 takes the session's parallelism.  ``exclude_exts`` are extensions whose
     languages are excluded (or language names); an include list without any known name filters
     nothing.  Patterns search the base name, or the path as walked with ``fullpath``; directory
     patterns search the whole directory path.  ``strict_includes`` takes include names as given.
@@ -54,9 +43,11 @@ class Options:
     def __post_init__(self):
         if not 0 <= self.workers <= MOST_WORKERS:
             raise OptionError("workers", f"must be 0 to {MOST_WORKERS}")
-        for name in ("match", "not_match", "match_dir", "not_match_dir"):
-            if pattern := getattr(self, name):
-                check_pattern(name, pattern)
+        for name in PATTERNS:
+            try:
+                translate(getattr(self, name))
+            except PatternError as e:
+                raise OptionError(name, e) from e
         object.__setattr__(self, "exclude_exts", tuple(self.exclude_exts))
         object.__setattr__(self, "include_langs", tuple(self.include_langs))
 
@@ -66,8 +57,20 @@ class Options:
         names not validated."""
         return cls(dedup=skip_duplicated, workers=min(max(workers, 1), MOST_WORKERS), strict_includes=True, **other)
 
-    def effective_workers(self) -> int:
-        return self.workers or min(os.cpu_count() or 1, MOST_WORKERS)
+    def check(self, spark: SparkSession) -> None:
+        """Raises if a pattern is none for the engine that matches it."""
+        for name in PATTERNS:
+            try:
+                compile_in(spark, getattr(self, name))
+            except PatternError as e:
+                raise OptionError(name, e) from e
+
+    def java(self, name: str) -> str:
+        """A pattern as the engine takes it; empty for none."""
+        return translate(getattr(self, name))
+
+    def effective_workers(self, spark: SparkSession) -> int:
+        return self.workers or spark.sparkContext.defaultParallelism
 
     def with_(self, **changes) -> Options:
         return replace(self, **changes)

@@ -1,24 +1,32 @@
 """An ordered listing of source trees.
 
 Spark's own file sources leave out names that start with a dot or underscore and empty files; a
-count needs them all, in a defined order.  The driver lists names only; contents are read by tasks.
+count needs them all, in a defined order.  The driver lists up to ``DRIVER_FOLDERS`` folders, level by
+level; what lies below the folders that are left then is listed by tasks.  Contents are read by tasks.
 """
 
 from __future__ import annotations
 
-import os
-import posixpath
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .stores import FILE, FOLDER, store_of
+
+DRIVER_FOLDERS = 2_000
 SCHEMA = "seq long, root_idx int, path string, warning string"
+#: bytes of contents that a task holds before it hands them on
+HELD = 16 << 20
 # Directory names of version control
 VCS = re.compile(r"\.(bzr|cvs|hg|git|svn)")
 #: what makes a match of a directory path not carry over to paths below it
 _ENDS = re.compile(r"\$|\\[bBzZ]|\(\?[a-z]*m")
 
+Entry = tuple[int, str, str]  # root number, path, warning
+
 
 def is_vcs(path: str) -> bool:
     return bool(VCS.search(path.removeprefix("/")))
@@ -29,62 +37,93 @@ def can_prune(pattern: str) -> bool:
     return bool(pattern) and not _ENDS.search(re.sub(r"\\\\|\\\$|\[[^\]]*\]", "", pattern))
 
 
-def _walk(path: str, skip_vcs: bool, prune: re.Pattern | None) -> Iterator[tuple[str, str]]:
-    """(path, warning) of all entries but directories; files and folders interleave by name."""
+def list_folder(root: int, path: str, skip_vcs: bool) -> tuple[list[Entry], list[tuple[int, str, bool]]]:
+    """The files and the folders of one folder; one that can't be listed is a warning."""
+    store = store_of(path)
     try:
-        entries = sorted(os.scandir(path), key=lambda e: os.fsencode(e.name))
+        found = [(store.join(path, name), kind) for name, kind in store.entries(path)]
     except OSError as e:
-        yield path, str(e)
-        return
-    for entry in entries:
-        full = posixpath.normpath(posixpath.join(path, entry.name))
-        if skip_vcs and is_vcs(full):
-            continue
-        if entry.is_dir(follow_symlinks=False):
-            if prune is None or full == "." or not prune.search(full):
-                yield from _walk(full, skip_vcs, prune)
-        else:
-            yield full, ""
+        return [(root, path, str(e))], []
+    found = [x for x in found if not (skip_vcs and is_vcs(x[0]))]
+    return [(root, p, "") for p, kind in found if kind == FILE], [(root, p, skip_vcs) for p, kind in found if kind == FOLDER]
 
 
-def walk(roots, not_match_dir: str = "") -> Iterator[tuple[int, int, str, str]]:
-    """(seq, root number, path, warning); a missing root gives a warning and no file."""
-    prune = re.compile(not_match_dir) if can_prune(not_match_dir) else None
-    seq = 0
+def walk(roots, pruned: Callable[[str], bool] = lambda path: False, most: int | None = None) -> tuple[list[Entry], list[tuple[int, str, bool]]]:
+    """All files below the roots, in no order, and the folders that are left after ``most`` listings.
+
+    A missing root gives a warning and no file.
+    """
+    files: list[Entry] = []
+    level: list[tuple[int, str, bool]] = []
     for k, root in enumerate(roots):
-        if os.path.isdir(root) and not os.path.islink(root):
-            top = posixpath.normpath(root)
-            if prune is not None and top != "." and prune.search(top):
-                continue
-            found = _walk(top, not is_vcs(root), prune)
-        elif os.path.lexists(root):
-            found = iter([(root, "")])
+        kind = store_of(root).kind(root)
+        if kind == FOLDER:
+            level.append((k, store_of(root).clean(root), not is_vcs(root)))
         else:
-            found = iter([(root, f"lstat {root}: no such file or directory")])
-        for path, warning in found:
-            yield seq, k, path, warning
-            seq += 1
-
-
-def list_trees(spark: SparkSession, roots, not_match_dir: str = "") -> DataFrame:
-    return spark.createDataFrame(list(walk(roots, not_match_dir)), SCHEMA)
+            files.append((k, root, "" if kind else f"lstat {root}: no such file or directory"))
+    listed = 0
+    while level:
+        below = []
+        for i, (k, path, skip_vcs) in enumerate(level):
+            if path != "." and pruned(path):
+                continue
+            if listed == most:
+                return files, below + level[i:]
+            listed += 1
+            own, folders = list_folder(k, path, skip_vcs)
+            files += own
+            below += folders
+        level = below
+    return files, []
+
+
+def order_of(path: str) -> bytes:
+    """Sorts paths as a walk meets them: by name within each folder."""
+    return path.encode("utf-8", "surrogateescape").replace(b"/", b"\0")
+
+
+def list_trees(spark: SparkSession, roots, pruned: Callable[[str], bool] = lambda path: False, most: int = DRIVER_FOLDERS) -> DataFrame:
+    """seq, root_idx, path and warning of all files, in the order of a walk."""
+    roots = list(roots)
+    files, left = walk(roots, pruned, most)
+    if not left:
+        files.sort(key=lambda x: (x[0], order_of(x[1])))
+        k, path, warning = zip(*files, strict=True) if files else ((), (), ())
+        rows = pa.table([pa.array(range(len(files)), pa.int64()), pa.array(k, pa.int32()), pa.array(path, pa.string()), pa.array(warning, pa.string())], names=["seq", "root_idx", "path", "warning"])
+        return spark.createDataFrame(rows, SCHEMA)
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            open_ = list(zip(*(batch.column(c).to_pylist() for c in ("root_idx", "path", "skip_vcs")), strict=True))
+            while open_:
+                own, folders = list_folder(*open_.pop())
+                open_ += folders
+                if own:
+                    k, path, warning = zip(*own, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(path, pa.string()), pa.array(warning, pa.string())], names=["root_idx", "path", "warning"])
+
+    folders = spark.createDataFrame(left, "root_idx int, path string, skip_vcs boolean").repartition(max(4 * spark.sparkContext.defaultParallelism, 1))
+    found = folders.mapInArrow(below, "root_idx int, path string, warning string")
+    found = found.unionByName(spark.createDataFrame(files, "root_idx int, path string, warning string"))
+    # numbers in order, not without gaps: no row has to know how many stand before it
+    ordered = found.orderBy("root_idx", F.replace("path", F.lit("/"), F.lit("\0")), "path")
+    return ordered.withColumn("seq", F.monotonically_increasing_id()).select("seq", "root_idx", "path", "warning")
 
 
 def read_contents(candidates: DataFrame, workers: int) -> DataFrame:
-    """seq, path, content (null where reading failed) and warning, read by tasks a batch at a time."""
-    import pyarrow as pa
+    """seq, path, content (null where reading failed) and warning, read by ``workers`` tasks or more, a
+    bounded number of bytes at a time."""
 
     def read(batches):
         for batch in batches:
             held, size = [], 0
             for seq, path in zip(batch.column("seq").to_pylist(), batch.column("path").to_pylist(), strict=True):
                 try:
-                    with open(path, "rb") as f:
-                        held.append((seq, path, f.read(), None))
+                    held.append((seq, path, store_of(path).read(path), None))
                     size += len(held[-1][2])
                 except OSError as e:
-                    held.append((seq, path, None, f"{path}: {e.strerror}"))
-                if size > 16 << 20:
+                    held.append((seq, path, None, f"{path}: {e.strerror or e}"))
+                if size > HELD:
                     yield _batch(held)
                     held, size = [], 0
             if held:

@@ -6,7 +6,8 @@ import pytest
 
 from loomline.api import Language, LanguageRegistry, OptionError, Options, Processor, analyze, analyze_content, analyze_file
 from loomline.functions.detect import with_key
-from loomline.sources.listing import can_prune, walk
+from loomline.plans.patterns import PatternError, compile_in, translate
+from loomline.sources.listing import can_prune, list_trees
 
 
 @pytest.fixture
@@ -45,7 +46,7 @@ def test_tree(spark, tree):
     assert {(x.name, x.files, x.code) for x in r.languages.collect()} == {("Go", 4, 6), ("Python", 3, 6)}
     assert [(d.level, os.path.basename(d.path)) for d in r.diagnostics.collect()] == [("warning", "gone.go")]
     assert r.max_path_length.first()[0] == max(len(x.name.encode()) for x in r.files.collect())
-    assert [os.path.relpath(p, tree) for p in r.language_files.where("name = 'Go'").first().files] == [".hidden/yes.go", "src/copy.go", "src/main.go", "target/generated.go"]
+    assert [os.path.relpath(x.file, tree) for x in r.language_files.where("name = 'Go'").orderBy("seq").collect()] == [".hidden/yes.go", "src/copy.go", "src/main.go", "target/generated.go"]
 
 
 @pytest.mark.parametrize(
@@ -78,10 +79,28 @@ def test_roots(spark, tree):
     assert total(inside)[0] == 1
 
 
-def test_walk_order(tree):
-    seen = [os.path.relpath(p, tree) for _, _, p, _ in walk([tree])]
-    assert seen.index("bang.go") < seen.index("node.js") < seen.index("pkg/__init__.py") < seen.index("src/copy.go")
-    assert [s for s, *_ in walk([tree])] == list(range(len(seen)))
+def test_walk_order(spark, tree):
+    os.makedirs(f"{tree}/src.d")
+    open(f"{tree}/src.d/x.go", "w").close()
+    open(f"{tree}/src-x.go", "w").close()
+    got = [tuple(r) for r in list_trees(spark, [tree, f"{tree}/src", f"{tree}/none"]).orderBy("seq").collect()]
+    seen = [os.path.relpath(p, tree) for _, k, p, _ in got if k == 0]
+    assert seen.index("bang.go") < seen.index("node.js") < seen.index("pkg/__init__.py") < seen.index("src/copy.go") < seen.index("src/main.go") < seen.index("src-x.go") < seen.index("src.d/x.go")
+    assert [s for s, *_ in got] == list(range(len(got)))
+    for most in (0, 1, 2, 4):  # the rest by tasks
+        rows = list_trees(spark, [tree, f"{tree}/src", f"{tree}/none"], most=most).orderBy("seq").collect()
+        assert [tuple(r)[1:] for r in rows] == [x[1:] for x in got]
+    pruned = list_trees(spark, [tree], lambda path: path.endswith("/src")).collect()
+    assert {os.path.relpath(r.path, tree) for r in pruned} == {x for x in seen if not x.startswith("src/")}
+
+
+def test_addresses(spark, tree):
+    """A store that is known by its address, listed and read through Arrow."""
+    os.remove(f"{tree}/src/gone.go")  # a link is this machine's
+    r = analyze(spark, [f"file://{tree}"], Options(not_match_dir="target"))
+    assert total(r)[:2] == (6, 11) and r.diagnostics.count() == 0
+    assert all(x.name.startswith(f"file://{tree}/") for x in r.files.collect())
+    assert analyze(spark, [f"file://{tree}/none", f"file://{tree}/src/main.go"]).diagnostics.count() == 1
 
 
 def test_prune_rule():
@@ -89,6 +108,29 @@ def test_prune_rule():
     assert not can_prune("") and not can_prune("target$") and not can_prune(r"\bgen\b")
 
 
+PATTERNS = [
+    (r"\p{L}+", "é", True), (r"a(?i)b", "aB", True), (r"a(?i)b", "AB", False), (r"^[[:alpha:]]+$", "abc", True), (r"^[[:alpha:]]+$", ":a", False), (r"[[:^digit:]]", "12", False),
+    (r"(?P<x>a)b", "ab", True), (r"[a&&b]", "&", True), (r"[a&&b]", "a", True), (r"[x[y]", "[", True), (r"a.c", "a\rc", True), (r"a.c", "a\nc", False), (r"a$", "a\n", False), (r"(?m)a$", "a\nb", True),
+    (r"\Qa.b\E", "a.b", True), (r"\Qa.b\E", "axb", False), (r"a{2,3}?b", "aab", True), (r"[]a]", "]", True), (r"x\z", "x", True), (r"a|b*", "", True),
+]
+
+
+def test_patterns(spark):
+    for pattern, text, found in PATTERNS:
+        assert compile_in(spark, pattern).matcher(text).find() == found, (pattern, text)
+        df = spark.createDataFrame([(text,)], "t string")
+        assert df.where(df.t.rlike(translate(pattern))).count() == found
+    for bad in ("(", ")", "a++", "(?=x)", "(?<!x)", "(?>x)", r"(a)\1", r"\k<x>", "[a", "[[:no:]]", "(?U)a"):
+        with pytest.raises(PatternError):
+            translate(bad)
+    for bad in ("*a", "a{3,1}", "[z-a]", r"\p{Nonsense}"):
+        with pytest.raises(OptionError) as e:
+            Options(match_dir=bad).check(spark)
+        assert e.value.field == "match_dir"
+        with pytest.raises(OptionError):
+            analyze(spark, ["/nonexistent"], Options(match_dir=bad))
+
+
 @pytest.mark.parametrize("bad", [{"match": "("}, {"not_match": "(?=x)"}, {"match_dir": r"(a)\1"}, {"workers": 65}, {"workers": -1}])
 def test_bad_options(bad):
     with pytest.raises(OptionError) as e:
@@ -152,12 +194,39 @@ def test_sql_surface(spark):
     assert tuple(spark.sql("SELECT count_lines('a\n// b\n', 'Go') AS c").first().c) == (1, 1, 0)
 
 
-def test_streaming(spark, tmp_path):
+def streamed(spark, tmp_path, rows, name, **options):
     from loomline.streaming.arrivals import count_stream
 
-    spark.createDataFrame([("a.go", "x\n// y\n"), ("b.py", "z\n"), ("c.go", "x\n// y\n")], "path string, content string").write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("path string, content string").parquet(f"{tmp_path}/in")
-    q = count_stream(stream, Options(dedup=True)).writeStream.format("memory").queryName("arrived").outputMode("complete").option("checkpointLocation", f"{tmp_path}/cp").start()
+    schema = "path string, content string, at timestamp"
+    for k, batch in enumerate(rows):
+        spark.createDataFrame(batch, "path string, content string, at string").selectExpr("path", "content", "cast(at as timestamp) as at").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = count_stream(stream, **options).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{tmp_path}/cp").start()
     q.processAllAvailable()
     q.stop()
-    assert {(r.name, r.files, r.code, r.comment) for r in spark.table("arrived").collect()} == {("Go", 1, 1, 1), ("Python", 1, 1, 0)}
+    return {(r.name, r.files, r.code, r.comment) for r in spark.table(name).collect()}
+
+
+def test_streaming(spark, tmp_path):
+    one = [("a.go", "x\n// y\n", "2026-01-01 00:00:00"), ("b.py", "z\n", "2026-01-01 00:00:00"), ("c.go", "x\n// y\n", "2026-01-01 00:01:00")]
+    two = [("d.go", "x\n// y\n", "2026-01-01 00:03:00"), ("e.zzz", "z\n", "2026-01-01 00:03:00"), ("f.go", None, "2026-01-01 00:03:00")]
+    got = streamed(spark, tmp_path, [one, two], "arrived", options=Options(dedup=True), event_time="at")
+    assert got == {("Go", 2, 1, 1), ("Python", 1, 1, 0)}  # copies minutes apart; the empty file
+
+
+def test_streaming_options(spark, tmp_path):
+    rows = [("a.go", "x\n", "2026-01-01 00:00:00"), ("b.go", "y\n", "2026-01-01 00:00:00"), ("a.py", "x\n", "2026-01-01 00:00:00"), ("d/a.rs", "x\n", "2026-01-01 00:00:00")]
+    assert streamed(spark, tmp_path / "1", [rows], "s1", options=Options(match="^a")) == {("Go", 1, 1, 0), ("Python", 1, 1, 0), ("Rust", 1, 1, 0)}
+    assert streamed(spark, tmp_path / "2", [rows], "s2", options=Options(exclude_exts=("go",), not_match_dir="^d$")) == {("Python", 1, 1, 0)}
+    # the language filter comes before copies are told: the excluded a.go is not the first of its kind
+    assert streamed(spark, tmp_path / "3", [rows], "s3", options=Options(include_langs=("Python",), dedup=True), event_time="at") == {("Python", 1, 1, 0)}
+
+
+def test_streaming_needs_a_time(spark, tmp_path):
+    from loomline.streaming.arrivals import count_stream
+
+    spark.range(0).selectExpr("'a' as path", "'x' as content").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("path string, content string").parquet(f"{tmp_path}/in")
+    for options, window in ((Options(dedup=True), None), (Options(), "1 hour")):
+        with pytest.raises(OptionError):
+            count_stream(stream, options, window=window)

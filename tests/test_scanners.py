@@ -105,3 +105,29 @@ def test_callers_languages():
     assert kinds(b"a // b\n/* c\n*/\n", Language("Go", ("//",), (("/*", "*/"),))) == "CMM"
     assert kinds(b's = "/*"\ny\n', Language("Go", ("//",), (("/*", "*/"),))) == "CC"
     assert kinds(b"#a\n#!b\n", Language("J", ("#",)).with_patterns(["^#[^!].*"])) == "MC"
+
+
+def test_whole_files_equal_lines():
+    """Counts of a whole file at once against the line scanners, on random files of every language."""
+    rng = random.Random(21)
+    generic = [b"x", b" ", b"\n", b"\n", b"\n", b"\t", b"\xe3\x80\x80", b"\xc2\xa0", b"\xc3\xa9", b"#!", b"\xef\xbb\xbf", b"\r\n", b"\x80", b"\\", b"'", b'"', b"1", b"'0", b"\\\n", b"\x0b"]
+    for language in L.values():
+        r = language.scanner_rules()
+        markers = [x.encode() for pair in language.blocks for x in pair] + [x.encode() for x in language.lines]
+        if r is not None:
+            markers = [x for p in (*r.blocks, *r.quotes, *r.docs) for x in (p.open, p.close)] + list(r.lines)
+        for k in range(120):
+            parts = generic + markers * rng.choice([1, 3])
+            if k % 3 == 0:
+                parts = [x for x in parts if b"\\" not in x]
+            text = b"".join(rng.choice(parts) for _ in range(rng.randrange(40)))
+            found = kinds(text, language)
+            assert counts(text, language) == tuple(found.count(c) for c in "CMB"), (language.name, text)
+
+
+def test_most_languages_are_counted_at_once():
+    from loomline.functions.wholefile import whole_file
+
+    assert sum(whole_file(x.scanner_rules()) is not None for x in L.values() if x.scanner_rules()) > 120
+    go = whole_file(L["Go"].scanner_rules())
+    assert go.counts(b'a // "x\n"// b" /* c\n\n*/\nd\n') == (3, 1, 1)
