@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -81,23 +82,88 @@ def _texts(cell: str) -> tuple[str, ...]:
     return tuple(x.replace(BLANK, " ") for x in cell.split())
 
 
-@lru_cache(maxsize=1)
-def _table() -> tuple[dict[str, Language], dict[str, str]]:
+#: the table that the package was made with; any other is refused
+TABLE_SHA256 = "7aca9bf4fcb80e8021f1f6a21ad38d9c6ec5879c1b47cf82b02c09ad6be2cc06"
+N_LANGUAGES, N_COLUMNS = 188, 11
+SCANNERS = ("rules", "legacy")
+FEATURES = frozenset("fast splice cont py js rust rawRust rawCpp fold fortran".split())
+FLAGS = frozenset("nL\\0md")
+# Fixed value: the one language whose opener may be both a comment and a string
+_TWO_MEANINGS = ("VimL",)
+
+
+class RuleTableError(ValueError):
+    """A rule table that can't be right."""
+
+
+def table_path() -> str:
+    return str(resources.files(__package__).joinpath("languages.tsv"))
+
+
+def read_rows(text: str) -> list[list[str]]:
+    """The rows of a rule table, each with all its columns and nothing beyond."""
+    rows = [line.split("\t") for line in text.splitlines() if not line.startswith("#")]
+    for row in rows:
+        if len(row) != N_COLUMNS:
+            raise RuleTableError(f"{row[0]!r} has {len(row)} columns instead of {N_COLUMNS}")
+        if not row[0] or row[5] not in SCANNERS:
+            raise RuleTableError(f"{row[0]!r} has the scanner {row[5]!r}")
+        if row[5] == "legacy" and any(row[6:]):
+            raise RuleTableError(f"{row[0]!r} is scanned plainly but has rules")
+    return rows
+
+
+def languages_of(rows: list[list[str]]) -> tuple[dict[str, Language], dict[str, str]]:
+    """Languages and keys of the rows of a table; every rule must make sense."""
     languages, keys = {}, {}
-    text = resources.files(__package__).joinpath("languages.tsv").read_text("utf-8")
-    for row in text.splitlines():
-        if row.startswith("#"):
-            continue
-        name, own, lines, blocks, pattern, scanner, r_lines, r_blocks, quotes, docs, features = (row.split("\t") + [""] * 11)[:11]
+    for name, own, lines, blocks, pattern, scanner, r_lines, r_blocks, quotes, docs, features in rows:
+        if name in languages:
+            raise RuleTableError(f"{name!r} stands twice")
         rules = None
         if scanner == "rules":
             rules = Rules(tuple(x.encode() for x in _texts(r_lines)), _pairs(r_blocks), _pairs(quotes), _pairs(docs), frozenset(features.split()))
+            unknown = set(rules.features - FEATURES) | {f for p in (*rules.blocks, *rules.quotes, *rules.docs) for f in p.flags if f not in FLAGS}
+            wrong = check_rules(rules) if name not in _TWO_MEANINGS else []
+            if "fast" in rules.features and not can_skip(rules):
+                wrong.append("lines without // and /* can hold comments")
+            if unknown or wrong:
+                raise RuleTableError(f"{name!r}: {', '.join([*sorted(unknown), *wrong])}")
         pairs = tuple((p.open.decode(), p.close.decode()) for p in _pairs(blocks))
         languages[name] = Language(name, _texts(lines), pairs, (pattern.replace(BLANK, " "),) if pattern else (), rules)
         keys |= dict.fromkeys(own.split(), name)
     return languages, keys
 
 
+def can_skip(rules: Rules) -> bool:
+    """Whether every comment of a language opens with ``//`` or ``/*``."""
+    return all(m.startswith((b"//", b"/*")) for m in (*rules.lines, *(p.open for p in rules.blocks))) and not rules.docs
+
+
+@lru_cache(maxsize=1)
+def _table() -> tuple[dict[str, Language], dict[str, str]]:
+    raw = resources.files(__package__).joinpath("languages.tsv").read_bytes()
+    if hashlib.sha256(raw).hexdigest() != TABLE_SHA256:
+        raise RuleTableError("languages.tsv is not the table that this package was made with")
+    languages, keys = languages_of(read_rows(raw.decode("utf-8")))
+    if len(languages) != N_LANGUAGES:
+        raise RuleTableError(f"{len(languages)} languages instead of {N_LANGUAGES}")
+    return languages, keys
+
+
+def rule_coverage() -> list[tuple[str, str, int, int, int, int, int]]:
+    """Of each language: its name, its scanner, and how many keys, line markers, blocks, quotes and
+    documentation quotes it has."""
+    keys: dict[str, int] = {}
+    rows = read_rows(resources.files(__package__).joinpath("languages.tsv").read_text("utf-8"))
+    for row in rows:
+        keys[row[0]] = len(row[1].split())
+    out = []
+    for name, language in builtin().items():
+        r = language.rules or Rules()
+        out.append((name, "rules" if language.rules else "legacy", keys[name], len(r.lines), len(r.blocks), len(r.quotes), len(r.docs)))
+    return out
+
+
 def builtin() -> dict[str, Language]:
     return _table()[0]
 

@@ -1,21 +1,28 @@
 """Queries over the test tables for every operator, each with the SQL that gives the same rows.
 
-Three carriers hold source text: the documents (T), the pages' markup (H), and files generated from
-``part`` (G), whose counts are closed forms of ``p_size``.
+Carriers of source text: the documents (T), the pages' markup (H), files generated from ``part`` (G),
+whose counts are closed forms of ``p_size``, files of many shapes (``palettes``), and a small tree on
+the driver's disk.
 """
 
 from __future__ import annotations
 
+import functools
+import glob
+import io
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.languages import Language, LanguageRegistry
+from .functions.languages import Language, LanguageRegistry, rule_coverage, table_path
 from .functions.sql import register
-from .operators.output import collect_report, render
-from .operators.sorting import sort_keys
-from .plans.engine import Result, analyze_content, by_language
+from .operators.output import collect_report, render, sloc_lines, write_report
+from .operators.sorting import sort_files, sort_keys
+from .palettes import PALETTES
+from .plans.engine import Result, analyze, analyze_content, analyze_file, by_language
 from .plans.options import Options
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,11 +160,15 @@ M_SQL = f"SELECT *, {M_LANGUAGE} AS language FROM ({T_SQL}) WHERE {M_LANGUAGE} I
 M_COUNTS = f"SELECT language AS name, {T_COUNTS} FROM ({M_SQL})"
 
 
-def mixed(spark: SparkSession, sf_dir: str, **options) -> Result:
+def mixed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("doc_id") % 8 + 1).cast("int"))
     path = F.concat("source", F.lit("/f"), F.col("doc_id").cast("string"), F.lit("."), ext)
-    return analyze_content(d.select(F.col("doc_id").alias("seq"), path.alias("path"), F.col("text").alias("content")), Options(**options))
+    return d.select(F.col("doc_id").alias("seq"), path.alias("path"), F.col("text").alias("content"))
+
+
+def mixed(spark: SparkSession, sf_dir: str, **options) -> Result:
+    return analyze_content(mixed_rows(spark, sf_dir), Options(**options))
 
 
 def _mixed(name: str, where: str, **options) -> None:
@@ -338,12 +349,14 @@ def q46(spark, sf_dir):
 
 @query(
     "q47_markdown",
-    f"""SELECT CAST(2 + r AS BIGINT) AS line_no, format('| {{:<20}} |{{:>21}} |{{:>11}} |{{:>13}} |{{:>8}} |', name, files, blank, comment, code) AS line FROM ({RANKED})
+    f"""SELECT CAST(1 AS BIGINT) AS line_no, '| Language             |             files    |    blank   |   comment    |    code |' AS line
+UNION ALL SELECT 2, '|:' || repeat('-', 21) || '|' || repeat('-', 21) || ':|' || repeat('-', 11) || ':|' || repeat('-', 13) || ':|' || repeat('-', 8) || ':|'
+UNION ALL SELECT CAST(2 + r AS BIGINT), format('| {{:<20}} |{{:>21}} |{{:>11}} |{{:>13}} |{{:>8}} |', name, files, blank, comment, code) FROM ({RANKED})
+UNION ALL SELECT {3 + len(_SOME)}, '| ' || repeat(' ', 21) || '|' || repeat(' ', 22) || '|' || repeat(' ', 12) || '|' || repeat(' ', 14) || '|' || repeat(' ', 8) || ' |'
 UNION ALL SELECT {4 + len(_SOME)}, format('| {{:>20}} |{{:>21}} |{{:>11}} |{{:>13}} |{{:>8}} |', 'TOTAL', CAST(files AS BIGINT), CAST(blank AS BIGINT), CAST(comment AS BIGINT), CAST(code AS BIGINT)) FROM ({TOTAL_SQL})""",
 )
 def q47(spark, sf_dir):
-    rows = _report(spark, sf_dir, "markdown")
-    return rows.where(~F.col("line_no").isin(1, 2, 3 + len(_SOME)))  # heading and separators are constant
+    return _report(spark, sf_dir, "markdown")
 
 
 @query(
@@ -360,24 +373,35 @@ def q48(spark, sf_dir):
 @query("q49_sloccount", f"SELECT (n - blank) || chr(9) || 'Plain Text' || chr(9) || CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END || chr(9) || CASE WHEN doc_id % 2 = 0 THEN './' ELSE '' END || path AS value FROM ({T_SQL})")
 def q49(spark, sf_dir):
     rows = texts(spark, sf_dir).withColumn("path", F.concat(F.when(F.col("seq") % 2 == 0, "./").otherwise(""), "path"))
-    files = analyze_content(rows, language="Plain Text").files
-    parts = F.split("name", "/")
-    module = F.when(F.col("name").rlike(r"^(\./|/)") & (F.size(parts) >= 3), F.get(parts, F.lit(1))).otherwise("")
-    return files.select(F.concat_ws("\t", F.col("code").cast("string"), "language", module, "name").alias("value"))
+    result = analyze_content(rows, language="Plain Text")
+    lines = sloc_lines(collect_report(result, by_file=True, sort="name"))
+    return spark.createDataFrame([(x.removesuffix("\n"),) for x in lines], "value string")
+
+
+#: the rows of the rule table, read by the database itself
+RULE_ROWS = f"""SELECT string_split(line, chr(9)) AS c, row_number() OVER () AS r
+FROM (SELECT unnest(string_split(content, chr(10))) AS line FROM read_text('{table_path()}')) WHERE line <> '' AND line NOT LIKE '#%'"""
 
 
-@query("q50_language_listing")
+@query(
+    "q50_language_listing",
+    f"""WITH t AS ({RULE_ROWS}), k AS (SELECT c[1] AS name, unnest(string_split(c[2], ' ')) AS key, r FROM t), last AS (SELECT key, arg_max(name, r) AS name FROM k WHERE key <> '' GROUP BY key),
+shown AS (SELECT DISTINCT name, CASE WHEN key IN ('Objective-C', 'MATLAB', 'Mercury') THEN 'm' WHEN key IN ('F#', 'GLSL') THEN 'fs' WHEN key = 'TypeScript' THEN 'ts' WHEN key = 'Motoko' THEN 'mo' ELSE key END AS key FROM last)
+SELECT t.c[1] AS name, coalesce((SELECT string_agg(key, ', ' ORDER BY key) FROM shown WHERE shown.name = t.c[1]), '') AS extensions FROM t""",
+)
 def q50(spark, sf_dir):
     return spark.createDataFrame(LanguageRegistry.default().listing(), "name string, extensions array<string>").select("name", F.concat_ws(", ", "extensions").alias("extensions"))
 
 
-@query("q51_udtf_lines", f"SELECT doc_id, CAST(unnest(range(1, n + 1)) AS INT) AS line_no, 'C' AS kind FROM ({T_SQL}) WHERE blank = 0")
+@query(
+    "q51_udtf_lines",
+    f"""SELECT doc_id, CAST(i AS INT) AS line_no, CASE WHEN regexp_matches(line, '^[\\s\\x{{85}}\\p{{Z}}]*$') THEN 'B' ELSE 'C' END AS kind
+FROM (SELECT doc_id, unnest({LINES}) AS line, unnest(range(1, len({LINES}) + 1)) AS i FROM documents)""",
+)
 def q51(spark, sf_dir):
     register(spark)
     table(spark, sf_dir, "documents").select("doc_id", "text").createOrReplaceTempView("loomline_documents")
-    rows = spark.sql("SELECT doc_id, line_no, kind FROM loomline_documents, LATERAL scan_lines(text, 'Plain Text')")
-    rows = rows.withColumn("blanks", F.sum((F.col("kind") == "B").cast("int")).over(Window.partitionBy("doc_id")))
-    return rows.where("blanks = 0").drop("blanks")
+    return spark.sql("SELECT doc_id, line_no, kind FROM loomline_documents, LATERAL scan_lines(text, 'Plain Text')")
 
 
 @query("q69_custom_language", "SELECT p_brand || '/f' || p_partkey || '.mine' AS name, 'Mine' AS language, CAST(p_size AS BIGINT) AS code, CAST(3 AS BIGINT) AS comment, CAST(0 AS BIGINT) AS blank FROM part")
@@ -386,17 +410,23 @@ def q69(spark, sf_dir):
     return analyze_content(generated(spark, sf_dir, "mine", [("x <- 1 % no\n",), "% a\n<< b\n>>\n"]), registry=registry).files
 
 
-@query("q70_language_files", f"SELECT language AS name, CAST(count(*) AS BIGINT) AS n, first(path ORDER BY doc_id) AS first_path FROM (SELECT *, source || '/f' || doc_id || '.' || CASE doc_id % 8 WHEN 0 THEN 'txt' WHEN 1 THEN 'md' WHEN 2 THEN 'json' WHEN 3 THEN 'rst' WHEN 5 THEN 'Rmd' ELSE 'text' END AS path FROM (SELECT doc_id, source, language FROM ({M_SQL}))) GROUP BY language")
+@query("q70_language_files", f"SELECT language AS name, doc_id AS seq, source || '/f' || doc_id || '.' || CASE doc_id % 8 WHEN 0 THEN 'txt' WHEN 1 THEN 'md' WHEN 2 THEN 'json' WHEN 3 THEN 'rst' WHEN 5 THEN 'Rmd' ELSE 'text' END AS file FROM (SELECT doc_id, source, language FROM ({M_SQL}))")
 def q70(spark, sf_dir):
-    rows = mixed(spark, sf_dir).language_files
-    return rows.select("name", F.size("files").cast("long").alias("n"), F.get("files", F.lit(0)).alias("first_path"))
+    return mixed(spark, sf_dir).language_files
+
+
+AMBIGUOUS = (
+    (".m", '#import "a.h"\n', "Objective-C"), (".m", "function y = f(x)\n", "MATLAB"), (".m", ":- module a.\n", "Mercury"), (".v", "module m (a);\n", "Verilog"), (".v", "Require Import Arith.\n", "Coq"),
+    (".fs", "module A\nlet x = 1\n", "F#"), (".fs", "#version 330\nvec4 a;\n", "GLSL"), (".r", "f <- function(x) x\n", "R"), (".r", "REBOL []\n", "Rebol"), (".ts", "export const a = 1\n", "TypeScript"),
+    (".ts", "<!DOCTYPE TS><TS></TS>\n", "XML"), (".mo", "actor {}\n", "Motoko"),
+)
 
 
-@query("q71_ambiguous_detect", "SELECT CASE p_size % 4 WHEN 0 THEN 'Objective-C' WHEN 1 THEN 'MATLAB' WHEN 2 THEN 'Verilog' ELSE 'R' END AS name, CAST(count(*) AS BIGINT) AS files FROM part GROUP BY 1")
+@query("q71_ambiguous_detect", f"SELECT ([{', '.join(repr(x[2]) for x in AMBIGUOUS)}])[p_partkey % {len(AMBIGUOUS)} + 1] AS name, CAST(count(*) AS BIGINT) AS files FROM part GROUP BY 1")
 def q71(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("p_size") % 4 + 1).cast("int"))
-    rows = p.select(F.col("p_partkey").alias("seq"), F.concat(F.lit("f"), F.col("p_partkey").cast("string"), pick(".m", ".m", ".v", ".r")).alias("path"), pick('#import "a.h"\n', "function y = f(x)\n", "module m (a);\n", "f <- function(x) x\n").alias("content"))
+    pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in AMBIGUOUS]), (F.col("p_partkey") % len(AMBIGUOUS) + 1).cast("int"))
+    rows = p.select(F.col("p_partkey").alias("seq"), F.concat(F.lit("f"), F.col("p_partkey").cast("string"), pick(0)).alias("path"), pick(1).alias("content"))
     return analyze_content(rows).languages.select("name", "files")
 
 
@@ -408,3 +438,216 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q72(spark, sf_dir):
     return flagship(spark, sf_dir)
 
+
+
+# --- files of many shapes ------------------------------------------------------------------------
+
+
+def shaped(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
+    """A file for each part: 32 pieces of the language's palette, as the digits of the key's MD5 say."""
+    ext, first, pieces = PALETTES[language]
+    units = F.create_map(*[F.lit(x) for k, p in enumerate(pieces) for x in (f"{k:x}", p[0])])
+    picked = F.transform(F.split(F.md5(F.col("p_partkey").cast("string")), ""), lambda d: F.coalesce(F.try_element_at(units, d), F.lit("")))
+    path = F.concat("p_brand", F.lit("/s"), F.col("p_partkey").cast("string"), F.lit(f".{ext}"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), path.alias("path"), F.concat(F.lit(first), F.array_join(picked, "")).alias("content"))
+
+
+def shape_sql(language: str, columns: str = "name, language, code, comment, blank") -> str:
+    ext, _, pieces = PALETTES[language]
+    digit = "(32 - length(replace(h, '{:x}', '')))"
+    total = lambda k: " + ".join(f"{p[k]} * {digit.format(d)}" for d, p in enumerate(pieces) if p[k])
+    return f"""SELECT {columns} FROM (SELECT p_partkey AS seq, p_brand || '/s' || p_partkey || '.{ext}' AS name, '{language}' AS language,
+CAST(1 + {total(1)} AS BIGINT) AS code, CAST({total(2)} AS BIGINT) AS comment, CAST({total(3)} AS BIGINT) AS blank
+FROM (SELECT *, md5(CAST(p_partkey AS VARCHAR)) AS h FROM part))"""
+
+
+def _shape(name: str, language: str) -> None:
+    @query(name, shape_sql(language))
+    def run(spark, sf_dir):
+        return analyze_content(shaped(spark, sf_dir, language)).files
+
+
+for _k, _language in enumerate(PALETTES):
+    _shape(f"q{73 + _k}_{_language.lower().replace('+', 'p')}_shapes", _language)
+
+
+def _file_sort(name: str, tag: str) -> None:
+    order = {"name": "name", "code": "code DESC, name"}.get(tag, f"{tag} DESC, code DESC, name")
+
+    @query(name, f"SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS BIGINT) AS position FROM ({shape_sql('Go')})")
+    def run(spark, sf_dir):
+        rows = sort_files(analyze_content(shaped(spark, sf_dir, "Go")).files, tag).collect()  # a report by file: its order is the point
+        return spark.createDataFrame([(*r, k) for k, r in enumerate(rows, 1)], "name string, language string, code long, comment long, blank long, position long")
+
+
+for _k, _tag in enumerate(("name", "comment", "blank", "code")):
+    _file_sort(f"q{81 + _k}_sort_files_{_tag}", _tag)
+
+
+def _file_report(spark: SparkSession, sf_dir: str, output_type: str) -> DataFrame:
+    """A report's lines, a row for each file, read from the writer that the command line uses."""
+    out = io.StringIO()
+    write_report(analyze_content(shaped(spark, sf_dir, "Go")), out, by_file=True, sort="code", output_type=output_type)
+    return spark.createDataFrame(list(enumerate(out.getvalue().split("\n"), 1)), "line_no long, line string")
+
+
+FILES = f"(SELECT *, row_number() OVER (ORDER BY code DESC, name) AS r FROM ({shape_sql('Go')}))"
+FILE_SUMS = "(SELECT count(*) AS files, CAST(sum(code) AS BIGINT) AS code, CAST(sum(comment) AS BIGINT) AS comment, CAST(sum(blank) AS BIGINT) AS blank, CAST(max(length(name)) AS BIGINT) AS w FROM part_files)"
+AS_FILES = f"WITH part_files AS {FILES}, t AS {FILE_SUMS}"
+
+
+@query(
+    "q85_default_by_file",
+    f"""{AS_FILES} SELECT CAST(n AS BIGINT) AS line_no, repeat('-', 52 + w) AS line FROM t, (SELECT unnest([1, 3])) v(n)
+UNION ALL SELECT 2, 'File' || repeat(' ', w - 2) || 'files          blank        comment           code' FROM t
+UNION ALL SELECT 3 + r, rpad(name, CAST(w AS INT), ' ') || ' ' || lpad(part_files.blank::VARCHAR, 21, ' ') || ' ' || lpad(part_files.comment::VARCHAR, 14, ' ') || ' ' || lpad(part_files.code::VARCHAR, 14, ' ') FROM part_files, t
+UNION ALL SELECT 4 + files, repeat('-', 52 + w) FROM t
+UNION ALL SELECT 5 + files, rpad('TOTAL', CAST(w AS INT), ' ') || ' ' || lpad(files::VARCHAR, 6, ' ') || ' ' || lpad(blank::VARCHAR, 14, ' ') || ' ' || lpad(comment::VARCHAR, 14, ' ') || ' ' || lpad(code::VARCHAR, 14, ' ') FROM t
+UNION ALL SELECT 6 + files, repeat('-', 52 + w) FROM t UNION ALL SELECT 7 + files, '' FROM t""",
+)
+def q85(spark, sf_dir):
+    return _file_report(spark, sf_dir, "default")
+
+
+@query(
+    "q86_markdown_by_file",
+    f"""{AS_FILES}, s AS (SELECT *, CAST((w + 1) // 2 - 1 AS BIGINT) AS side FROM t)
+SELECT CAST(1 AS BIGINT) AS line_no, '| File' || repeat(' ', side) || '|' || repeat(' ', side) || 'files    |    blank   |   comment    |    code |' AS line FROM s
+UNION ALL SELECT 2, '|:' || repeat('-', 3 + side) || CASE WHEN 5 + side > w + 1 THEN ':' ELSE '-' END || '|' || repeat('-', side + 8) || ':|-----------:|-------------:|--------:|' FROM s
+UNION ALL SELECT 2 + r, '| ' || rpad(name, CAST(w AS INT), ' ') || ' |       1  |' || lpad(part_files.blank::VARCHAR, 11, ' ') || ' |' || lpad(part_files.comment::VARCHAR, 13, ' ') || ' |' || lpad(part_files.code::VARCHAR, 8, ' ') || ' |' FROM part_files, t
+UNION ALL SELECT 3 + files, '| ' || repeat(' ', w) || ' |' || repeat(' ', 10) || '|' || repeat(' ', 12) || '|' || repeat(' ', 14) || '|' || repeat(' ', 8) || ' |' FROM t
+UNION ALL SELECT 4 + files, '| ' || rpad('TOTAL', CAST(w AS INT), ' ') || ' |' || lpad(files::VARCHAR, 9, ' ') || ' |' || lpad(blank::VARCHAR, 11, ' ') || ' |' || lpad(comment::VARCHAR, 13, ' ') || ' |' || lpad(code::VARCHAR, 8, ' ') || ' |' FROM t
+UNION ALL SELECT 5 + files, '' FROM t""",
+)
+def q86(spark, sf_dir):
+    return _file_report(spark, sf_dir, "markdown")
+
+
+JSON_FILE = """'{"code":' || code || ',"comment":' || comment || ',"blank":' || blank || ',"name":"' || name || '","language":"' || language || '"}'"""
+
+
+@query(
+    "q87_json_by_file",
+    f"""{AS_FILES} SELECT CAST(1 AS BIGINT) AS line_no, '{{"files":[' || (SELECT string_agg({JSON_FILE}, ',' ORDER BY r) FROM part_files) || '],"total":{{"files":' || files || ',"code":' || code || ',"comment":' || comment || ',"blank":' || blank || '}}}}' AS line FROM t""",
+)
+def q87(spark, sf_dir):
+    return _file_report(spark, sf_dir, "json")
+
+
+@query(
+    "q88_xml_by_file",
+    f"""{AS_FILES} SELECT CAST(1 AS BIGINT) AS line_no, '<?xml version="1.0" encoding="UTF-8"?>' AS line UNION ALL SELECT 2, '<results>' UNION ALL SELECT 3, '  <files>'
+UNION ALL SELECT 3 + r, '    <file code="' || code || '" comment="' || comment || '" blank="' || blank || '" name="' || name || '" language="' || language || '"></file>' FROM part_files
+UNION ALL SELECT 4 + files, '    <total code="' || code || '" comment="' || comment || '" blank="' || blank || '"></total>' FROM t
+UNION ALL SELECT 5 + files, '  </files>' FROM t UNION ALL SELECT 6 + files, '</results>' FROM t UNION ALL SELECT 7 + files, '' FROM t""",
+)
+def q88(spark, sf_dir):
+    return _file_report(spark, sf_dir, "cloc-xml")
+
+
+@query(
+    "q89_sloccount_by_language",
+    f"SELECT CAST(r AS BIGINT) AS line_no, format('{{:<27}} {{:>6}} {{:>14}} {{:>14}} {{:>14}}', name, files, blank, comment, code) AS line FROM ({RANKED})",
+)
+def q89(spark, sf_dir):
+    return _report(spark, sf_dir, "sloccount")
+
+
+# --- options and trees ---------------------------------------------------------------------------
+
+
+@query("q90_patterns", f"SELECT path AS name FROM ({T_SQL}) WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '^[[:alpha:]]+[[:digit:]]*[02468]\\.(?P<ext>\\p{{L}}+)$') AND NOT regexp_matches(regexp_extract(path, '[^/]*$'), '(?i)DOC1')")
+def q90(spark, sf_dir):
+    return plain(spark, sf_dir, match=r"^[[:alpha:]]+[[:digit:]]*[02468]\.(?P<ext>\p{L}+)$", not_match="(?i)DOC1").files.select("name")
+
+
+@query("q91_legacy_defaults", f"SELECT language AS name, {T_COUNTS} FROM (SELECT *, row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY doc_id) AS r FROM ({M_SQL}) WHERE language IN ('JSON', 'Markdown')) WHERE r = 1 GROUP BY language")
+def q91(spark, sf_dir):
+    rows = mixed_rows(spark, sf_dir)
+    return analyze_content(rows, Options.from_legacy(include_langs=("JSON", "Markdown", "none such"))).languages
+
+
+@query("q92_lines_of_kept_files", f"SELECT language, CAST(count(*) AS BIGINT) AS files, CAST(sum(n) AS BIGINT) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY doc_id) AS r FROM ({M_SQL})) WHERE r = 1 AND n > 0 GROUP BY language")
+def q92(spark, sf_dir):
+    rows = mixed(spark, sf_dir, dedup=True).lines.groupBy("language", "path").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("language").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("lines"))
+
+
+def planted_tree(spark: SparkSession, sf_dir: str) -> str:
+    """A small tree on the driver's disk: a folder for each region, a file for each nation, and what a
+    walk must tell apart."""
+    top = tempfile.mkdtemp(prefix="loomline-tree-")
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name").collect()
+    for r in rows:
+        folder = f"{top}/{r.r_name.replace(' ', '_')}"
+        os.makedirs(f"{folder}/.git", exist_ok=True)
+        for path in (f"{folder}/{r.n_nationkey}.go", f"{folder}/.git/{r.n_nationkey}.go", f"{folder}/.{r.n_nationkey}.py", f"{folder}/{r.n_nationkey}.none"):
+            with open(path, "w") as f:
+                f.write(f"// {r.n_name}\n" * 2 + "x\n" * r.n_nationkey + "\n")
+        os.symlink("/nonexistent", f"{folder}/{r.n_nationkey}-gone.go")
+    return top
+
+
+TREE_FILES = "SELECT replace(r_name, ' ', '_') AS folder, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey"
+TREE_ROWS = f"""SELECT folder || '/' || k || '.go' AS name, 'Go' AS language, CAST(k AS BIGINT) AS code, CAST(2 AS BIGINT) AS comment, CAST(1 AS BIGINT) AS blank FROM ({TREE_FILES})
+UNION ALL SELECT folder || '/.' || k || '.py', 'Python', k + 2, 0, 1 FROM ({TREE_FILES})"""
+
+
+def _below(top: str, path: str):
+    return F.substring(path, len(top) + 2, 10_000)
+
+
+@query("q93_tree", f"SELECT * FROM ({TREE_ROWS})")
+def q93(spark, sf_dir):
+    top = planted_tree(spark, sf_dir)
+    return analyze(spark, [top]).files.withColumn("name", _below(top, "name"))
+
+
+@query("q94_tree_order", f"SELECT name, row_number() OVER (ORDER BY replace(name, '/', chr(1))) AS position FROM ({TREE_ROWS})")
+def q94(spark, sf_dir):
+    top = planted_tree(spark, sf_dir)
+    rows = analyze(spark, [top]).scanned
+    return rows.select(_below(top, "path").alias("name"), F.row_number().over(Window.orderBy("seq")).alias("position"))
+
+
+@query("q95_tree_warnings", f"SELECT 'warning' AS level, folder || '/' || k || '-gone.go' AS path FROM ({TREE_FILES}) UNION ALL SELECT 'warning', 'none'")
+def q95(spark, sf_dir):
+    top = planted_tree(spark, sf_dir)
+    return analyze(spark, [top, f"{top}/none"]).diagnostics.select("level", _below(top, "path").alias("path"))
+
+
+@query(
+    "q96_roots",
+    f"""SELECT name, CAST(count(*) AS BIGINT) AS files, CAST(sum(code) AS BIGINT) AS code FROM (SELECT 'Go' AS name, k AS code FROM ({TREE_FILES}) UNION ALL SELECT 'Python', k + 2 FROM ({TREE_FILES})
+UNION ALL SELECT 'Go', k FROM ({TREE_FILES}) WHERE folder = 'ASIA' UNION ALL SELECT 'Python', k + 2 FROM ({TREE_FILES}) WHERE folder = 'ASIA' UNION ALL SELECT 'Go', k FROM ({TREE_FILES}) WHERE folder = 'EUROPE') GROUP BY name""",
+)
+def q96(spark, sf_dir):
+    top = planted_tree(spark, sf_dir)
+    return analyze(spark, [top, f"{top}/ASIA", f"{top}/EUROPE/.git"]).languages.select("name", "files", "code")
+
+
+@query("q97_no_roots", "SELECT CAST(0 AS BIGINT) AS files, CAST(0 AS BIGINT) AS code, CAST(0 AS BIGINT) AS comment, CAST(0 AS BIGINT) AS blank")
+def q97(spark, sf_dir):
+    return analyze(spark, []).total
+
+
+@query("q98_pruned_folders", f"SELECT * FROM ({TREE_ROWS}) WHERE NOT regexp_matches(name, '^(ASIA|AFRICA)/')")
+def q98(spark, sf_dir):
+    top = planted_tree(spark, sf_dir)
+    return analyze(spark, [top], Options(not_match_dir="/(ASIA|AFRICA)")).files.withColumn("name", _below(top, "name"))
+
+
+@query("q99_single_files", "SELECT 'Go' AS language, CAST(n_nationkey AS BIGINT) AS code, CAST(2 AS BIGINT) AS comment, CAST(1 AS BIGINT) AS blank FROM nation")
+def q99(spark, sf_dir):
+    top = planted_tree(spark, sf_dir)
+    paths = sorted(glob.glob(f"{top}/*/[0-9]*[0-9].go") + glob.glob(f"{top}/*/[0-9].go"))
+    return functools.reduce(DataFrame.unionByName, [analyze_file(spark, x, "Go").drop("name") for x in paths])
+
+
+@query(
+    "q100_rule_coverage",
+    f"""WITH t AS ({RULE_ROWS})
+SELECT c[1] AS language, c[6] AS scanner, {', '.join(f"CAST(len(list_filter(string_split(c[{i}], ' '), lambda x: x <> '')) AS BIGINT) AS {name}" for i, name in ((2, 'keys'), (7, 'line_markers'), (8, 'blocks'), (9, 'quotes'), (10, 'documentation')))} FROM t""",
+)
+def q100(spark, sf_dir):
+    return spark.createDataFrame(rule_coverage(), "language string, scanner string, keys long, line_markers long, blocks long, quotes long, documentation long")

@@ -131,3 +131,35 @@ def test_most_languages_are_counted_at_once():
     assert sum(whole_file(x.scanner_rules()) is not None for x in L.values() if x.scanner_rules()) > 120
     go = whole_file(L["Go"].scanner_rules())
     assert go.counts(b'a // "x\n"// b" /* c\n\n*/\nd\n') == (3, 1, 1)
+
+
+def table_rows():
+    from loomline.functions.languages import table_path
+
+    with open(table_path(), encoding="utf-8") as f:
+        return f.read()
+
+
+@pytest.mark.parametrize(
+    ("old", "new"),
+    [
+        ("Go\tgo", "Go\tgo\tx"), ("\trules\t", "\tsomehow\t"), ("Ada\tada", "ActionScript\tada"), ("fast splice", "fast slice"), ("'…'…\\\t\tfast splice", "'…'…q\t\tfast splice"),
+        ("\trules\t//\t/*…*/\t\"…\"…\\ '…'…\\\t\tfast splice", "\trules\t// #\t/*…*/\t\"…\"…\\ '…'…\\\t\tfast splice"), ("\tlegacy\t", "\tlegacy\t#"), ("\n", "\t\n"),
+    ],
+)
+def test_rule_tables_that_are_refused(old, new):
+    from loomline.functions.languages import RuleTableError, languages_of, read_rows
+
+    text = "".join(x for x in table_rows().splitlines(True) if not x.startswith("#"))
+    assert len(languages_of(read_rows(text))[0]) == 188 and old in text
+    with pytest.raises(RuleTableError):
+        languages_of(read_rows(text.replace(old, new, 1)))
+
+
+def test_rule_coverage():
+    from loomline.functions.languages import can_skip, rule_coverage
+
+    rows = rule_coverage()
+    assert len(rows) == 188 and sum(x[1] == "rules" for x in rows) == 138
+    assert can_skip(L["Go"].rules) and not can_skip(L["Python"].rules)
+    assert L["C"].rules.features >= {"fast"}
