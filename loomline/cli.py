@@ -6,6 +6,7 @@ import argparse
 import sys
 from importlib import metadata
 
+from . import __version__
 from .operators.output import OUTPUT_TYPES, write_report
 from .operators.sorting import LANGUAGE_SORTS
 from .plans.options import OptionError, Options
@@ -39,10 +40,11 @@ def parser() -> argparse.ArgumentParser:
 
 
 def version() -> str:
+    """That of the installed package, or of this source tree."""
     try:
         return metadata.version("loomline")
     except metadata.PackageNotFoundError:
-        return "development"
+        return f"{__version__} (development)"
 
 
 def _flag(name: str, value: str) -> bool:
@@ -90,6 +92,9 @@ def main(argv=None, out=None, err=None, spark=None) -> int:
     return 0
 
 
+LINE_RECORDS = {"C": "CODE", "M": "COMM", "B": "BLNK"}
+
+
 def _run(args, options: Options, out, err, spark) -> None:
     from pyspark.sql import SparkSession
 
@@ -103,6 +108,11 @@ def _run(args, options: Options, out, err, spark) -> None:
         elif options.debug:
             err.write(f"[SKIP] file={row.path!r} reason={row.message!r}\n")
     if options.debug:
-        for r in result.debug.orderBy("seq", "line_no").toLocalIterator():
-            err.write(f"[{ {'C': 'CODE', 'M': 'COMM', 'B': 'BLNK'}[r.kind] }] file={r.path!r} line={r.line_no} code={r.code} comment={r.comment} blank={r.blank} in_comment={str(r.in_comment).lower()} text={bytes(r.text)!r}\n")
+        for r in result.debug_records.orderBy("seq", "line_no").toLocalIterator():
+            if r.kind == "LANG":
+                err.write(f"[LANG] file={r.path!r} language={r.language!r}\n")
+            elif r.kind == "FILE":
+                err.write(f"[FILE] file={r.path!r}\n")
+            else:
+                err.write(f"[{LINE_RECORDS[r.kind]}] file={r.path!r} line={r.line_no} code={r.code} comment={r.comment} blank={r.blank} in_comment={str(r.in_comment).lower()} text={bytes(r.text)!r}\n")
     write_report(result, out, args.by_file, args.sort, args.output_type)

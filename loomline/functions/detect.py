@@ -12,6 +12,8 @@ EXACT_NAMES = {"meson.build": "meson", "meson_options.txt": "meson", "CMakeLists
 LOWER_NAMES = {"justfile": "just", "makefile": "makefile", "nukefile": "nu", "dune": "dune", "dockerfile": "Dockerfile", "rebar": ""}
 # Interpreters whose key differs from their name
 INTERPRETERS = {"gosh": "scm", "make": "make", "perl": "pl", "rc": "plan9sh", "python": "py", "ruby": "rb", "escript": "erl"}
+# Extensions that several languages share
+AMBIGUOUS = ("m", "v", "fs", "r", "ts", "mo")
 # Fixed patterns of a first line that names an interpreter
 SHEBANG_ENV = r"^#! *(\S+/env) ([a-zA-Z]+)"
 SHEBANG_PATH = r"^#! *[.a-zA-Z/]+/([a-zA-Z]+)"
@@ -65,7 +67,7 @@ def with_key(files: DataFrame) -> DataFrame:
     df = df.withColumn("__named", F.when(line.rlike(SHEBANG_ENV), F.regexp_extract(line, SHEBANG_ENV, 2)).when(line.rlike(SHEBANG_PATH), F.regexp_extract(line, SHEBANG_PATH, 1)))
     ext, interpreter = F.col("__ext"), F.coalesce(_lookup(INTERPRETERS, F.col("__named")), F.col("__named"))
     named = F.coalesce(_lookup(EXACT_NAMES, F.col("__base")), _lookup(LOWER_NAMES, F.lower("__base")), interpreter, ext)
-    df = df.withColumn("key", F.when(ext.isin("m", "v", "fs", "r", "ts", "mo"), ambiguous(ext, text)).otherwise(named))
+    df = df.withColumn("key", F.when(ext.isin(*AMBIGUOUS), ambiguous(ext, text)).otherwise(named))
     return df.drop("__base", "__ext", "__line", "__named")
 
 

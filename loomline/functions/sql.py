@@ -1,4 +1,4 @@
-"""SQL surface: the table function scan_lines and the functions count_lines and detect_language."""
+"""SQL surface: the table function scan_lines and the function count_lines."""
 
 import pandas as pd
 from pyspark.sql import SparkSession

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bytesets import JAVA_SPACES
 from ..functions.classify import counts, line_records
-from ..functions.detect import base_name, directory, with_language
+from ..functions.detect import AMBIGUOUS, base_name, directory, with_language
 from ..functions.languages import Language, LanguageRegistry
 from ..sources.listing import VCS, can_prune, is_vcs, list_trees, read_contents
 from .options import Options
@@ -78,6 +78,17 @@ class Result:
         n = lambda k, name: F.sum((F.col("kind") == k).cast("long")).over(upto).alias(name)
         return self.lines.select("seq", "path", "line_no", "kind", n("C", "code"), n("M", "comment"), n("B", "blank"), "in_comment", "text")
 
+    @property
+    def debug_records(self) -> DataFrame:
+        """``debug`` and, before the lines of a file, a record that it was opened (FILE) and one that its
+        language was told by its content (LANG); both for copies that were dropped too."""
+        rows = self.scanned.select("seq", "path", "language")
+        if self.dropped is not None:
+            rows = rows.unionByName(self.dropped.select("seq", "path", "language"))
+        opened = rows.withColumns({"kind": F.lit("FILE"), "line_no": F.lit(0)})
+        told = rows.where(F.regexp_extract("path", r"\.([^./]*)$", 1).isin(*AMBIGUOUS)).withColumns({"kind": F.lit("LANG"), "line_no": F.lit(-1)})
+        return self.debug.unionByName(opened.unionByName(told), allowMissingColumns=True)
+
     @property
     def diagnostics(self) -> DataFrame:
         """Warnings, and the copies that deduplication dropped."""

@@ -5,6 +5,7 @@ import io
 import pytest
 
 from loomline.api import LanguageRegistry, Report, json_files, json_languages, pipe_columns, render
+from loomline import __version__
 from loomline.cli import main
 from loomline.operators.output import compact_json, module_of
 
@@ -76,7 +77,7 @@ def test_bad_arguments(argv):
 
 
 def test_information():
-    assert run("-V")[0] == 0 and "development" in run("-V")[1]
+    assert run("-V")[0] == 0 and run("-V")[1].startswith(__version__)
     assert "Zig" in run("-L")[1] and "PATH" in run()[1]
 
 
@@ -86,4 +87,8 @@ def test_analysis(spark, tmp_path):
     code, out, err = run(str(tmp_path), "-o", "json", "--skip-duplicated=false", "--debug", spark=spark)
     assert code == 0 and '"total":{"files":1,"code":1,"comment":1,"blank":0}' in out
     assert err.count("[SKIP]") == 1 and err.count("[CODE]") == 1 and err.count("[COMM]") == 1
+    assert err.count("[FILE]") == 2 and "[LANG]" not in err and err.index("[FILE]") < err.index("[CODE]")
     assert '"files":2' in run("-o", "json", "--", str(tmp_path), spark=spark)[1]
+    (tmp_path / "c.ts").write_text("")
+    err = run(str(tmp_path), "--debug", spark=spark)[2]
+    assert err.count("[LANG]") == 1 and "language='TypeScript'" in err and err.index("[LANG]") < err.rindex("[FILE]")
