@@ -38,7 +38,7 @@ class Rules:
 
     #: (data, offsets) -> doc index, first window, a number that tells how many windows, name
     anchors: Callable
-    #: (data, offsets, doc, first, that number) -> bytes and their offsets
+    #: (data, offsets) -> a function of (doc, first, that number) giving bytes and their offsets
     payload: Callable
     #: (table of whole groups) -> batches of SETTLED
     settle: Callable
@@ -101,10 +101,11 @@ def marked_intervals(documents: DataFrame, path: str, rules: Rules) -> DataFrame
             doc = np.repeat(np.arange(j - i), np.diff(np.asarray(lists.offsets)))
             flat = lists.flatten()
             name, first, n, blocks, block = (flat.field(c).to_numpy(zero_copy_only=False) for c in range(5))
+            payload = rules.payload(data, off)
             bucket = bucket_of(name.view(np.uint64), block, blocks).astype(np.int32)
             for lo in range(0, len(doc), 4096):
                 part = slice(lo, lo + 4096)
-                raw, at = rules.payload(data, off, doc[part], first[part].astype(np.int64), n[part].astype(np.int64))
+                raw, at = payload(doc[part], first[part].astype(np.int64), n[part].astype(np.int64))
                 rows = pa.array(i + doc[part])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket[part]), pa.array(name[part]), pa.array(block[part]), pa.array(blocks[part]), batch.column("doc_id").take(rows), batch.column("node").take(rows), pa.array(first[part]), pa.array(n[part]), binary_array(raw, at)],

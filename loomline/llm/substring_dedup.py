@@ -132,12 +132,16 @@ def word_anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, ro
     return owner[head], p[head] - at[owner[head]], np.diff(np.append(head, len(p))), span_hash(sums, left, right)
 
 
-def word_payload(data, offsets, doc, first, count, window: int = WINDOW):
+def word_payload(data, offsets, window: int = WINDOW):
     """The hashes of each anchor's windows, eight bytes each."""
     start, stop, at = words(data, offsets)
     sums = prefix_sums(word_hashes(data, start, stop))
-    p = ranges(at[doc] + first, count)
-    return span_hash(sums, p, p + window).view(np.uint8), 8 * np.append(0, np.cumsum(count))
+
+    def payload(doc, first, count):
+        p = ranges(at[doc] + first, count)
+        return span_hash(sums, p, p + window).view(np.uint8), 8 * np.append(0, np.cumsum(count))
+
+    return payload
 
 
 def hash_buckets(names: DataFrame):
@@ -169,7 +173,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, rounds: int = ROU
     path = new_path(documents)
     rules = Rules(
         anchors=lambda data, offsets: word_anchors(data, offsets, window, rounds),
-        payload=lambda data, offsets, doc, first, count: word_payload(data, offsets, doc, first, count, window),
+        payload=lambda data, offsets: word_payload(data, offsets, window),
         settle=lambda t: settle_windows(t, window),
         buckets=hash_buckets,
         later_only=False,

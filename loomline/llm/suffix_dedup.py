@@ -1,12 +1,16 @@
 """Suffix-array dedup (operator 7).
 
-A sparse suffix array over all texts: of each 100-byte window the suffix at its least 24-byte
-string, by hash, is indexed, so equal windows index equal suffixes and about one byte in forty
-opens a suffix.  Suffixes are dealt by their leading bytes; those whose leading bytes stand alone
-drop out before any content moves.  Buckets are sorted by leading bytes, then by (doc_id, place), and the
-windows of a bucket are ordered by leading bytes and a 64-bit key of the rest; equal neighbours are
-one string, whose first place stays.  A bucket is never split between tasks, but for very frequent
-leading bytes: their blocks hand one row for each string on, and blocks are compared by these.
+A sparse suffix array over all texts: of each 100-byte window the suffix at its least 24-byte string, by
+hash, is indexed, so equal windows index equal suffixes and about one byte in forty opens a suffix.
+Suffixes whose leading bytes stand alone drop out before any content moves.
+
+Splitters sampled from the leading bytes part the others in ranges; all suffixes with the same leading
+bytes are of one range, so neighbours never stand on two sides of a boundary.  Each range is sorted by
+multikey quicksort, eight bytes at a time, and what stands before each suffix is sorted likewise, read
+backwards.  Two windows are equal if their suffixes are neighbours in the first order and what is before
+them in the second, up to the bytes that the window has on each side: byte by byte, no hash decides.
+Leading bytes with more than ``repeats.HOT`` suffixes are cut in several blocks; each block hands every
+different window on once, under a 128-bit digest, and these are compared across the blocks' boundaries.
 
 Each byte covered by a 100-byte string that also starts earlier (smaller doc_id, or the same
 document and an earlier start) goes.  Defined results: a null text is empty; a null doc_id counts as
@@ -69,10 +73,14 @@ def counted(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return number & 255, number >> 8
 
 
-def suffix_payload(data, offsets, doc, first, number, width: int = WIDTH):
+def suffix_payload(data, offsets, width: int = WIDTH):
     """The bytes that the windows of each anchor cover."""
-    size = counted(number)[0] + width - 1
-    return data[ranges(offsets[doc] + first, size)], np.append(0, np.cumsum(size))
+
+    def payload(doc, first, number):
+        size = counted(number)[0] + width - 1
+        return data[ranges(offsets[doc] + first, size)], np.append(0, np.cumsum(size))
+
+    return payload
 
 
 def sampled_splitters(names: DataFrame):
@@ -192,7 +200,7 @@ def remove_later_copies(documents: DataFrame, width: int = WIDTH, leading: int =
     path = new_path(documents)
     rules = Rules(
         anchors=lambda data, offsets: suffix_anchors(data, offsets, width, leading),
-        payload=lambda data, offsets, doc, first, number: suffix_payload(data, offsets, doc, first, number, width),
+        payload=lambda data, offsets: suffix_payload(data, offsets, width),
         settle=lambda t: settle_suffixes(t, width, leading),
         buckets=sampled_splitters,
         later_only=True,
