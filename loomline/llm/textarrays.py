@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: bytes of text that one numpy step holds; temporaries are some tens of bytes for each
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -89,7 +89,7 @@ def powers(n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
                     k = min(done, size - done)
                     x[done : done + k] = _residue(x[:k] * U64(pow(p, done, _PRIME)))
                     done += k
-                to.append(x)
+                to.append(x.astype(np.uint32))
         if size == CHUNK_BYTES + 4096:  # those of a very long document are not kept
             _powers[0] = have
     return have
