@@ -42,7 +42,7 @@ TOLERANCE = 1e-8
 #: shingles of one block; a task holds two blocks
 BLOCK_SHINGLES = 1_000_000
 #: texts of a group that are one block whatever they hold; k texts are sqrt(k / this) blocks
-ROWS_ALONE = 64
+ROWS_ALONE = 16
 ROUNDS = 2
 
 _HASHES = BANDS * ROWS
