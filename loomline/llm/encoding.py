@@ -13,7 +13,7 @@ import os
 
 import numpy as np
 
-from .textarrays import CHUNK_BYTES, byte_sums, ranges, span_hash
+from .textarrays import CHUNK_BYTES, ranges, word_hashes
 
 #: pieces kept for each worker; beyond that the memory starts anew
 CACHE_PIECES = 2_000_000
@@ -158,7 +158,7 @@ class Encoder:
 
     def _encode_pieces(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, and how many each has."""
-        keys, first, which = np.unique(piece_hashes(data, begin, begin + size), return_index=True, return_inverse=True)
+        keys, first, which = np.unique(word_hashes(data, begin, begin + size), return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > CACHE_PIECES or self.text_used > CACHE_BYTES:
             self._forget()
         at = np.searchsorted(self.keys, keys)
@@ -178,10 +178,6 @@ class Encoder:
         return source[ranges(start, count)], count
 
 
-def piece_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    return span_hash(byte_sums(data), start, stop)
-
-
 def _append(held: np.ndarray, used: int, more: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Where each part of ``more`` begins in the grown array, that array, and how much of it is used."""
     if used + len(more) > len(held):

@@ -1,20 +1,27 @@
 """Substring dedup (operator 5): recompression.
 
-Rounds alternate between naming runs and naming pairs of symbols.  A name is a 64-bit hash of what
-it stands for (symbol and run length, or the two symbols), so it is the same in every text and
-partition without a table of names; a pair is named where the left symbol's class bit is 0 and the
-right one's is 1, bits that hash and round decide.  Equal substrings therefore get equal symbols in
-their interior.  For each symbol the span of words that its making depended on is kept (neighbours
-that did not join it are part of it): a window that holds the whole span has this symbol wherever
-the window occurs.
+Rounds alternate between naming runs and naming pairs of symbols.  A pair is named where the left
+symbol's class bit is 0 and the right one's is 1, bits that the symbol and the round decide.  Names are
+global without a table of names: a name is a 64-bit hash of what it stands for (symbol and run length, or
+the two symbols), so every partition gives the same run or pair the same name in the same round.  Equal
+substrings therefore get equal symbols in their interior.  For each symbol the span of words that its
+making depended on is kept (neighbours that did not join it are part of it): a window that holds the
+whole span has this symbol wherever the window occurs.
+
+A table of names for each round, joined to the symbols, would deal every symbol of every round twice; the
+hash makes the rounds one narrow map.  That two different runs or pairs may share a name costs nothing
+but time: names only choose anchors and bring candidates together, all that must hold is that equal ones
+have equal names.  The tests hold this with names of three bits.
 
 The anchor of a window is the longest such symbol in it (ties: by hash), and its name the hash of
-its span's words.  A window without one stands for itself.  Shared names reveal candidates; windows
-of candidates are compared by their own hashes.  See ``repeats`` for the phases.
+its span's words.  A window without one stands for itself.  Shared names reveal candidates; Spark sums
+them over all texts, and windows of candidates are compared within a name by their own hashes, which are
+polynomials over a field (see ``textarrays``).  See ``repeats`` for the phases.
 
 Each word covered by a window of 35 words that also starts anywhere else goes.  Defined results: a
 null text has no words; texts of fewer than 35 words lose nothing; all words of equal texts of 35
-words or more go.  Rows that repeat a doc_id are texts of their own.  Extra columns are ignored.
+words or more go.  Rows that repeat a doc_id are texts of their own.  Extra columns are ignored.  A text
+must fit a task, with about 40 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -168,10 +175,8 @@ def settle_windows(t: pa.Table, window: int):
         yield g.batch(row[at], place[at], place[at] + window, binary_array(both.view(np.uint8).reshape(-1), 16 * np.arange(len(at) + 1)), counts[split] > 1)
 
 
-def remove_repeats(documents: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, hot: int = HOT) -> DataFrame:
-    """doc_id, kept_text (kept words joined by one blank), n_words, n_removed, kept_sha256."""
-    path = new_path(documents)
-    rules = Rules(
+def word_rules(window: int = WINDOW, rounds: int = ROUNDS, hot: int = HOT) -> Rules:
+    return Rules(
         anchors=lambda data, offsets: word_anchors(data, offsets, window, rounds),
         payload=lambda data, offsets: word_payload(data, offsets, window),
         settle=lambda t: settle_windows(t, window),
@@ -179,7 +184,12 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, rounds: int = ROU
         later_only=False,
         hot=hot,
     )
-    spans = marked_intervals(documents, path, rules)
+
+
+def remove_repeats(documents: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, hot: int = HOT) -> DataFrame:
+    """doc_id, kept_text (kept words joined by one blank), n_words, n_removed, kept_sha256."""
+    path = new_path(documents)
+    spans = marked_intervals(documents, path, word_rules(window, rounds, hot))
 
     def cut(batches):
         for batch in batches:

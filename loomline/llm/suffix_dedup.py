@@ -15,7 +15,8 @@ different window on once, under a 128-bit digest, and these are compared across
 Each byte covered by a 100-byte string that also starts earlier (smaller doc_id, or the same
 document and an earlier start) goes.  Defined results: a null text is empty; a null doc_id counts as
 smaller than any; rows of equal doc_id stand in order of their text's MD5; rows equal in doc_id and
-text are one document, and all get its result.  Extra columns are ignored.
+text are one document, and all get its result.  Extra columns are ignored.  A text must fit a task, with
+about 30 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import HOT, Groups, Rules, marked_intervals, new_path, number_of_buckets, runs_of, union_mask, with_spans
-from .textarrays import byte_sums, mix, ranges, sliding_min, utf8, window_hashes
+from .textarrays import gram_hashes, mix, ranges, sliding_min, utf8
 
 WIDTH = 100
 LEADING = 24
@@ -51,7 +52,7 @@ def suffix_anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, le
     for i in range(0, len(places), SEGMENT):  # some windows of a long text at a time
         p, owner = places[i : i + SEGMENT], owner_of[i : i + SEGMENT]
         lo, hi = p[0], p[-1] + 1
-        h = window_hashes(byte_sums(data[lo : hi + width - 1]), leading)
+        h = gram_hashes(data[lo : hi + width - 1], leading)
         # the bits that stay must not depend on how many windows there are
         least = sliding_min((h & ~mask) | np.arange(len(h), dtype=np.uint64), width - leading + 1)
         best = (least[p - lo] & mask).astype(np.int64)
@@ -193,12 +194,10 @@ def settle_suffixes(t: pa.Table, width: int, leading: int):
         yield g.batch(row, place, place + width, pa.array(digests, pa.binary()))
 
 
-def remove_later_copies(documents: DataFrame, width: int = WIDTH, leading: int = LEADING, hot: int = HOT) -> DataFrame:
-    """doc_id, kept (binary), n_bytes, n_removed, n_spans, kept_sha256."""
-    if not 3 <= leading <= width <= 255:
-        raise ValueError("leading must be 3 to width, width 255 at most")
-    path = new_path(documents)
-    rules = Rules(
+def suffix_rules(width: int = WIDTH, leading: int = LEADING, hot: int = HOT) -> Rules:
+    if not 8 <= leading <= width <= 255:
+        raise ValueError("leading must be 8 to width, width 255 at most")
+    return Rules(
         anchors=lambda data, offsets: suffix_anchors(data, offsets, width, leading),
         payload=lambda data, offsets: suffix_payload(data, offsets, width),
         settle=lambda t: settle_suffixes(t, width, leading),
@@ -206,7 +205,12 @@ def remove_later_copies(documents: DataFrame, width: int = WIDTH, leading: int =
         later_only=True,
         hot=hot,
     )
-    spans = marked_intervals(documents, path, rules)
+
+
+def remove_later_copies(documents: DataFrame, width: int = WIDTH, leading: int = LEADING, hot: int = HOT) -> DataFrame:
+    """doc_id, kept (binary), n_bytes, n_removed, n_spans, kept_sha256."""
+    path = new_path(documents)
+    spans = marked_intervals(documents, path, suffix_rules(width, leading, hot))
 
     def cut(batches):
         for batch in batches:

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: bytes of text that one numpy step holds; temporaries are some tens of bytes for each
 CHUNK_BYTES = 1 << 20
+#: bytes beyond which a word is no word
+LONG_WORD = 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -135,14 +137,6 @@ def span_hash(sums: Sums, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return _joined(lanes, (stop - start).astype(U64))
 
 
-def window_hashes(sums: Sums, width: int) -> np.ndarray:
-    """``span_hash`` of each place's next ``width`` values."""
-    n = max(len(sums[0]) - width, 0)
-    down = powers(len(sums[0]))[1]
-    lanes = [_residue(_fold(_fold(s[width:] - s[:n])) * d[:n]) for s, d in zip(sums, down, strict=True)]
-    return _joined(lanes, U64(width))
-
-
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and stop of each run of non-space bytes, and the offsets of documents among them."""
     return runs(~_SPACE[data], offsets)
@@ -163,15 +157,43 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, stop, np.searchsorted(start, offsets)
 
 
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """At each place the next eight bytes as a number; zeros follow the last byte."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+_K = U64(0x9E3779B97F4A7C15)
+
+
+def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the next ``width`` bytes, eight or more, of each place that has so many."""
+    at = eight_bytes(data)
+    n = max(len(data) - width + 1, 0)
+    out = np.full(n, width, U64)
+    for k in [*range(0, width - 8, 8), width - 8]:
+        out ^= out >> U64(32)
+        out += at[k : k + n]
+        out *= _K
+    return mix(out)
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hashes of words, some of a long text at a time."""
-    out = np.empty(len(start), U64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(stop, start[i] + CHUNK_BYTES, "right")))
-        base = start[i]
-        out[i:j] = span_hash(byte_sums(data[base : stop[j - 1]]), start[i:j] - base, stop[i:j] - base)
-        i = j
+    """Hashes of words, eight bytes at a time; of those beyond ``LONG_WORD`` as of sequences."""
+    size = stop - start
+    out = mix(size.astype(U64) * _K)
+    at, rows, done = eight_bytes(data), np.flatnonzero(size <= LONG_WORD), 0
+    while len(rows):
+        left = size[rows] - done
+        w = at[start[rows] + done]
+        short = left < 8
+        w[short] &= (U64(1) << (U64(8) * left[short].astype(U64))) - U64(1)
+        out[rows] = mix(out[rows] * _K + w)
+        rows, done = rows[left > 8], done + 8
+    for i in np.flatnonzero(size > LONG_WORD):
+        sums = byte_sums(data[start[i] : stop[i]])
+        out[i] = span_hash(sums, np.zeros(1, np.int64), size[i : i + 1])[0]
     return out
 
 

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from loomline.llm.encoding import Encoder
-from loomline.llm.textarrays import CHUNK_BYTES, byte_sums, span_hash, utf8
+from loomline.llm.textarrays import CHUNK_BYTES, byte_sums, span_hash, utf8, word_hashes
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WHOLE = Tokenizer.from_file(PATH)
@@ -58,11 +58,13 @@ def test_doubling_texts(n):
     data, off = utf8(pa.array([one, other], pa.string()))
     a, b = span_hash(byte_sums(data), off[:-1], off[1:])
     assert a != b
+    a, b = word_hashes(data, off[:-1], off[1:])
+    assert a != b
 
 
 def test_hashes_do_not_decide(monkeypatch):
     """Pieces that share a key, in one batch and between batches."""
-    monkeypatch.setattr("loomline.llm.encoding.piece_hashes", lambda data, start, stop: (stop - start).astype(np.uint64) % np.uint64(3))
+    monkeypatch.setattr("loomline.llm.encoding.word_hashes", lambda data, start, stop: (stop - start).astype(np.uint64) % np.uint64(3))
     encoder = Encoder(PATH)
     for texts in (["one two six ten", "two one"], ["ten two nine seven é", "a bc def", "", "bc a"]):
         data, off = utf8(pa.array(texts, pa.string()))
