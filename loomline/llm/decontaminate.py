@@ -61,28 +61,32 @@ TOKEN = r"(\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+|[%$€£°]|[.!?:\n])"
 NUM, NAME, UNIT = "#", "@", "~"
 SLOT = f"[{NUM}{NAME}{UNIT}]"
 
-_UNIT = r"(?<=\p{N} )(?i:" + "|".join(re.escape(u) for u in UNITS) + ")(?= )"
+# each opens with the blank before a token, which is quickly looked for
+_UNIT = r" (?<=\p{N} )((?i:" + "|".join(re.escape(u) for u in UNITS) + "))(?= )"
 _CAPITAL = r"\p{Lu}\p{Ll}[^ ]*+"
-_NAMES = rf"(?<=[^ .!?:\n] )({_CAPITAL})(?: {_CAPITAL})*+"
+_NAMES = rf" (?<=[^ .!?:\n] )({_CAPITAL})(?: {_CAPITAL})*+"
 
 
 def canonical(text: Column) -> Column:
     """The canonical string, a blank before the first token and after each."""
     s = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(TOKEN), F.lit(1)), " "), F.lit(" "))
-    s = F.regexp_replace(s, _UNIT, f"{UNIT}$0")
-    s = F.regexp_replace(s, _NAMES, f"{NAME}$1")
-    s = F.lower(F.regexp_replace(s, r"(?<= )(?=\p{N})", NUM))
-    return F.regexp_replace(s, r"(?<= )[.!?:\n] ", "")
+    s = F.regexp_replace(s, _UNIT, f" {UNIT}$1")
+    s = F.regexp_replace(s, _NAMES, f" {NAME}$1")
+    s = F.lower(F.regexp_replace(s, r" (?=\p{N})", f" {NUM}"))
+    return F.regexp_replace(s, r" [.!?:\n](?= )", "")
 
 
 def exploded(df: DataFrame, size: int) -> DataFrame:
-    """``df`` (with the canonical string ``__s``) exploded to place and w, the windows of ``size`` tokens."""
+    """``df`` (with the canonical string ``__s``) exploded to place and w, the windows of ``size`` tokens.
+
+    Rows without any go after they are exploded: a test before would find all windows twice.
+    """
     keep = [c for c in df.columns if c != "__s"]
     chunks = F.regexp_extract_all("__s", F.lit(rf"(?=((?:[^ ]++ ){{1,{CHUNK + size - 1}}}+))(?:[^ ]++ ){{1,{CHUNK}}}+"), F.lit(1))
-    df = df.select(*keep, F.posexplode(chunks).alias("__c", "__chunk"))
+    df = df.select(*keep, F.posexplode_outer(chunks).alias("__c", "__chunk"))
     tokens = " ".join(["[^ ]++"] * size)
     found = F.regexp_extract_all("__chunk", F.lit(rf"(?=({tokens}) )[^ ]++ "), F.lit(1))
-    df = df.select(*keep, "__c", F.posexplode(found).alias("__p", "w"))
+    df = df.select(*keep, "__c", F.posexplode_outer(found).alias("__p", "w")).where("w is not null")
     return df.select(*keep, (F.col("__c") * CHUNK + F.col("__p")).alias("place"), "w")
 
 
@@ -91,7 +95,8 @@ def template(w: Column, size: int) -> Column:
     slots = size - -(-LITERAL * size // WINDOW)  # the most that a template has
     typed = F.regexp_replace(w, f"({SLOT})[^ ]+", "$1")
     poor = w.rlike(".*".join([SLOT] * (slots + 1)))
-    return F.when(~w.rlike(SLOT), w).when(poor, F.concat(F.lit("="), w)).otherwise(typed)
+    plain = ~(w.contains(NUM) | w.contains(NAME) | w.contains(UNIT))
+    return F.when(plain, w).when(poor, F.concat(F.lit("="), w)).otherwise(typed)
 
 
 def windows(df: DataFrame, sizes: list[int]) -> DataFrame:
