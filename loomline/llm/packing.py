@@ -3,8 +3,9 @@
 A document of n ids is cut into n // 1024 pieces of 1024 and one piece for each set bit of the
 rest, largest first.  Each piece is a sequence of its own, so no sequence crosses documents and none
 needs padding: all lengths are powers of two, and a batch takes sequences of one length.  Sequences
-are written in buckets of equal length, one folder for each power of two, and read from there.  A
-narrow map does it; nothing is shuffled.
+are written in buckets of equal length and read from there: in each file those of one length stand
+together, so a reader of one length takes some row groups and skips the others.  A narrow map does it;
+nothing is shuffled.
 
 Defined results: a null text is empty and has the end id only.  Rows that repeat a ``doc_id`` are
 packed each on its own.  Extra columns are ignored, an empty table gives no pieces.
@@ -23,6 +24,8 @@ from .textarrays import binary_array
 from .token_files import token_batches
 
 LONGEST = 1024
+#: of a row group: so large that groups are few, so small that most hold one length
+BUCKET_BYTES = 8 << 20
 
 
 def binary_lengths(tokens: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
@@ -72,18 +75,18 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 0, longest: int = L
     return rows.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
-PIECES = "doc_id long, start long, doc_tokens long, sequence_id long, offset long, ids binary"
+PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
-    """Writes sequences by length, one folder for each power of two: a loader reads whole batches of
-    one length."""
-    packed.write.partitionBy("length").parquet(path)
+    """Writes sequences by length, the longest first.  One file for each task, with the lengths of its
+    row groups in the footer, and not one for each task and length."""
+    packed.sortWithinPartitions(F.col("length").desc()).write.option("parquet.block.size", BUCKET_BYTES).parquet(path)
 
 
 def read_buckets(spark: SparkSession, path: str, length: int | None = None) -> DataFrame:
     """The sequences of all buckets, or of the one of ``length``."""
-    rows = spark.read.schema(f"{PIECES}, length long").parquet(path)
+    rows = spark.read.schema(PIECES).parquet(path)
     return rows if length is None else rows.where(F.col("length") == length)
 
 
