@@ -13,10 +13,10 @@ import os
 
 import numpy as np
 
-from .textarrays import CHUNK_BYTES, ranges, word_hashes
+from .textarrays import CHUNK_BYTES, eight_bytes, equal_spans, ranges, word_hashes
 
 #: pieces kept for each worker; beyond that the memory starts anew
-CACHE_PIECES = 2_000_000
+CACHE_PIECES = 1_000_000
 CACHE_BYTES = 64 << 20
 #: pieces that go to the library as one text
 TOGETHER = 50
@@ -130,13 +130,10 @@ class Encoder:
 
     def _others(self, slots: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Pieces whose bytes are not those kept under their hash."""
+        kept = np.ndarray((len(self.text) - 7,), "<u8", self.text, strides=(1,))
         same = self.size[slots] == size
         rows = np.flatnonzero(same)
-        for lo in range(0, len(rows), 1 << 17):
-            part = rows[lo : lo + (1 << 17)]
-            differ = data[ranges(begin[part], size[part])] != self.text[ranges(self.text_start[slots[part]], size[part])]
-            if differ.any():
-                same[part[np.unique(np.searchsorted(np.cumsum(size[part]), np.flatnonzero(differ), "right"))]] = False
+        same[rows] = equal_spans(eight_bytes(data), begin[rows], kept, self.text_start[slots[rows]], size[rows])
         return np.flatnonzero(~same)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,8 +176,9 @@ class Encoder:
 
 
 def _append(held: np.ndarray, used: int, more: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Where each part of ``more`` begins in the grown array, that array, and how much of it is used."""
-    if used + len(more) > len(held):
-        held = np.resize(held, max(2 * len(held), used + len(more)))
+    """Where each part of ``more`` begins in the grown array, that array, and how much of it is used;
+    eight elements or more beyond are its own."""
+    if used + len(more) + 8 > len(held):
+        held = np.resize(held, max(2 * len(held), used + len(more) + 8))
     held[used : used + len(more)] = more
     return used + np.cumsum(counts) - counts, held, used + len(more)

@@ -164,6 +164,20 @@ def eight_bytes(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
+def equal_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` elements from two places are the same; ``a`` and ``b`` are from ``eight_bytes``."""
+    out = np.ones(len(size), bool)
+    rows, done = np.flatnonzero(size), 0
+    while len(rows):
+        left = size[rows] - done
+        differ = a[a_start[rows] + done] ^ b[b_start[rows] + done]
+        short = left < 8
+        differ[short] &= (U64(1) << (U64(8) * left[short].astype(U64))) - U64(1)
+        out[rows[differ != 0]] = False
+        rows, done = rows[(left > 8) & (differ == 0)], done + 8
+    return out
+
+
 _K = U64(0x9E3779B97F4A7C15)
 
 

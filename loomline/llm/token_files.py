@@ -28,7 +28,7 @@ ORC_OPTIONS = {
     "compression": "zstd",
     "orc.create.index": "true",
     "orc.row.index.stride": "1000",
-    "orc.stripe.size": str(32 << 20),
+    "orc.stripe.size": str(16 << 20),
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
