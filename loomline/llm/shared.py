@@ -58,9 +58,9 @@ FREQUENT = 1_000
 MOST_FREQUENT = 1_000_000
 
 
-def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], k: str = "k") -> DataFrame:
-    """``rows`` inner joined with ``keys``, a written table with one row for each key and, in ``k``, the
-    number of rows that have it.
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], k: str = "k", how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``keys``, a written table with one row for each key and, in
+    ``k``, the number of rows that have it.
 
     A merge join would deal all rows of a frequent key to one task.  There are at most one in
     ``FREQUENT`` rows such keys; they are counted, and broadcast while they are ``MOST_FREQUENT`` at most.
@@ -68,8 +68,8 @@ def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], k: str = "k")
     """
     frequent = keys.where(F.col(k) > FREQUENT)
     if frequent.count() > MOST_FREQUENT:
-        return rows.join(keys.hint("merge"), on)
-    rare = rows.join(F.broadcast(frequent.select(*on)), on, "left_anti").join(keys.where(F.col(k) <= FREQUENT).hint("merge"), on)
+        return rows.join(keys.hint("merge"), on, how)
+    rare = rows.join(F.broadcast(frequent.select(*on)), on, "left_anti").join(keys.where(F.col(k) <= FREQUENT).hint("merge"), on, how)
     return rare.unionByName(rows.join(F.broadcast(frequent), on))
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import join_counted, materialize
 
 FRAME_BYTES = 256 << 10
 DATE = "1970-01-01T00:00:00Z"
@@ -109,8 +109,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, frame_byte
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     # map-side combined: a payload that a third of all pages share costs one row for each task
-    groups = rows.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("chosen"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "chosen")
-    rows = rows.join(groups, "sha", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("chosen")), F.col("chosen")).alias("refers_to"))
+    groups = rows.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("chosen"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = join_counted(rows, materialize(groups, f"{path}/copies"), ["sha"], "n", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("chosen")), F.col("chosen")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard

@@ -382,3 +382,26 @@ def test_templates_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(license_scan, "TEMPLATE_TOKENS", 500)
     assert len(license_scan.template_groups(license_scan.TEMPLATES)) > 3
     assert rows(license_scan.scan(d), "doc_id", "template", "start") == want
+
+
+def test_components(spark, monkeypatch):
+    from loomline.llm import components
+
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000, k) for k in range(1001, 1060)] + [(k, k + 1) for k in range(2000, 2100)] + [(5, 5)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    want = {(x, find(x)) for x in root if find(x) != x}
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {tuple(r) for r in components.components(df, f"{shared_dir(spark)}/c").collect()} == want
+    monkeypatch.setattr(components, "FREQUENT", 20)  # hubs
+    assert {tuple(r) for r in components.components(df, f"{shared_dir(spark)}/c").collect()} == want
+    assert components.components(df.limit(0), f"{shared_dir(spark)}/c").count() == 0
