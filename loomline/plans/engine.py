@@ -21,6 +21,8 @@ from ..sources.listing import VCS, can_prune, is_vcs, list_trees, read_contents
 from .options import Options
 from .patterns import compile_in
 
+#: the column of contents that says why a file could not be read
+READ_WARNING = "__read_warning"
 FILES = "name string, language string, code long, comment long, blank long"
 
 
@@ -216,7 +218,7 @@ def analyze_content(content: DataFrame, options: Options | None = None, registry
     """
     options, registry = options or Options(), registry or LanguageRegistry.default()
     options.check(content.sparkSession)
-    more = [F.col("warning")] if "warning" in content.columns else []
+    more = [F.col(READ_WARNING)] if READ_WARNING in content.columns else []
     rows = content.select(F.col("seq").cast("long").alias("seq"), F.col("path").cast("string").alias("path"), F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"), *more)
     rows = rows.where(path_filters(F.col("path"), options))
     if language is None:
@@ -233,8 +235,9 @@ def analyze_content(content: DataFrame, options: Options | None = None, registry
         held = (scanned,)
     warnings = dropped = None
     if more:
-        warnings = scanned.where("warning is not null").select("seq", "path", F.lit("warning").alias("level"), F.col("warning").alias("message"))
-        scanned, contents = scanned.where("warning is null").drop("warning"), contents.where("warning is null").drop("warning")
+        bad = F.col(READ_WARNING).isNotNull()
+        warnings = scanned.where(bad).select("seq", "path", F.lit("warning").alias("level"), F.col(READ_WARNING).alias("message"))
+        scanned, contents = scanned.where(~bad).drop(READ_WARNING), contents.where(~bad).drop(READ_WARNING)
     if options.dedup:
         scanned, dropped = first_of_each(scanned)
         scanned, dropped = scanned.drop("digest"), dropped.drop("digest")
@@ -259,7 +262,7 @@ def analyze(spark: SparkSession, paths, options: Options | None = None, registry
     found = found.where(F.col("root_idx").isin(sorted(rooted)) | not_vcs(F.col("path")) | (F.col("warning") != "")) if rooted else found
     missing = found.where("warning <> ''").select("seq", "path", F.lit("warning").alias("level"), F.col("warning").alias("message"))
     wanted = found.where("warning = ''").where(path_filters(F.col("path"), options))
-    read = read_contents(wanted, options.effective_workers(spark))
+    read = read_contents(wanted, options.effective_workers(spark)).withColumnRenamed("warning", READ_WARNING)
     result = analyze_content(read, options.with_(match="", not_match="", match_dir="", not_match_dir=""), registry)
     return replace(result, warnings=missing.unionByName(result.warnings))
 

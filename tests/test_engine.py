@@ -168,6 +168,13 @@ def test_content_dedup_scope(spark):
         assert {x.path for x in r.lines.collect()} == {"b.go", "d.go"}
 
 
+def test_other_columns_do_not_matter(spark):
+    rows = [(0, "a.go", "x\n", "w", "L", 5, "d"), (1, "b.go", "x\n", None, None, 6, "d")]
+    df = spark.createDataFrame(rows, "seq long, path string, content string, warning string, language string, code long, digest string")
+    r = analyze_content(df, Options(dedup=True))
+    assert [tuple(x) for x in r.files.collect()] == [("a.go", "Go", 1, 0, 0)] and r.diagnostics.count() == 1
+
+
 def test_views_and_debug(spark):
     df = spark.createDataFrame([(0, "a.go", "/* x\n\n*/ y\n// z\n")], "seq long, path string, content string")
     r = analyze_content(df)
