@@ -58,13 +58,10 @@ def counts(content: bytes, language: Language) -> tuple[int, int, int]:
         first, feed, rest = content.partition(b"\n")
         opens = trim(first)
         if opens.removeprefix(_BOM).startswith(b"#!"):
-            got = whole.counts(rest)
-            if got is not None:
-                return got[0] + 1, *got[1:]
-        elif first != _BOM and opens.startswith(_BOM) == first.startswith(_BOM):
-            got = whole.counts(content.removeprefix(_BOM))
-            if got is not None:
-                return got
+            code, comment, blank = whole.counts(rest)
+            return code + 1, comment, blank
+        if first != _BOM and opens.startswith(_BOM) == first.startswith(_BOM):
+            return whole.counts(content.removeprefix(_BOM))
     elif rules is None and (got := plain_counts(content, language)) is not None:
         return got
     k = kinds(content, language)

@@ -111,6 +111,7 @@ def test_whole_files_equal_lines():
     """Counts of a whole file at once against the line scanners, on random files of every language."""
     rng = random.Random(21)
     generic = [b"x", b" ", b"\n", b"\n", b"\n", b"\t", b"\xe3\x80\x80", b"\xc2\xa0", b"\xc3\xa9", b"#!", b"\xef\xbb\xbf", b"\r\n", b"\x80", b"\\", b"'", b'"', b"1", b"'0", b"\\\n", b"\x0b"]
+    generic += [b"\\\r\n", b"\\\\\n", b'R"(', b')"', b'R"a(', b')a"', b'r#"', b'"#', b"'a'", b"'\\n'", b"'\\u{1}'", b".", b"0x1'f", b"1'0'0", b"L'a'", b"'a "]
     for language in L.values():
         r = language.scanner_rules()
         markers = [x.encode() for pair in language.blocks for x in pair] + [x.encode() for x in language.lines]
