@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder path below the checkpoint folder that driver and executors share.
 
@@ -21,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isDefined():
             base = got.get()
-        elif not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        elif not _is_local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="loomline-")
@@ -43,13 +48,15 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
     """Writes ``df`` as Parquet and reads it back: lineage ends here, so a lost executor costs the
-    tasks of one phase only.  Shuffle files of the phase become garbage and are freed at once.
+    tasks of one phase only.  Shuffle files of the phase become garbage; on a cluster, where they can be
+    large, they are freed at once.
     """
     spark, schema = df.sparkSession, df.schema
     df.write.mode("overwrite").parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if not _is_local(spark):  # Spark drops a shuffle's files when its driver's object is collected
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
