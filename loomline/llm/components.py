@@ -21,7 +21,7 @@ def _with_least(rows: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
     if n_edges <= FREQUENT or 2 * n_edges > FREQUENT * MOST_FREQUENT:
         return rows.join(least, "a")
     hubs = least.where(F.col("k") > FREQUENT)
-    rest = rows.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(least.where(F.col("k") <= FREQUENT).hint("merge"), "a")
+    rest = rows.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(least.where(F.col("k") <= FREQUENT), "a")
     return rest.unionByName(rows.join(F.broadcast(hubs), "a"))
 
 
