@@ -87,15 +87,11 @@ class Encoder:
         return cls._made[path]
 
     def _forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.start = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int32)
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.text = np.zeros(1 << 16, np.uint8)
-        self.text_start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.text_used = 0
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+        self.text, self.text_used = np.zeros(1 << 16, np.uint8), 0
+        # by slot: where a piece's ids and bytes begin, and how many there are
+        self.start, self.count, self.text_start, self.size = (np.zeros(1 << 12, np.int32) for _ in range(4))
 
     def _library_ids(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces data[start:start+size], and how many each has."""
@@ -124,9 +120,13 @@ class Encoder:
         flat, counts = self._library_ids(data, start, size)
         begin, self.ids, self.used = _append(self.ids, self.used, flat, counts)
         text, self.text, self.text_used = _append(self.text, self.text_used, data[ranges(start, size)], size)
+        n, more = len(self.keys), len(keys)
+        if n + more > len(self.start):
+            self.start, self.count, self.text_start, self.size = (np.resize(x, 2 * (n + more)) for x in (self.start, self.count, self.text_start, self.size))
+        for to, x in ((self.start, begin), (self.count, counts), (self.text_start, text), (self.size, size)):
+            to[n : n + more] = x
         where = np.searchsorted(self.keys, keys)
-        self.keys, self.start, self.count = np.insert(self.keys, where, keys), np.insert(self.start, where, begin), np.insert(self.count, where, counts)
-        self.text_start, self.size = np.insert(self.text_start, where, text), np.insert(self.size, where, size)
+        self.keys, self.slot = np.insert(self.keys, where, keys), np.insert(self.slot, where, np.arange(n, n + more, dtype=np.int32))
 
     def _others(self, slots: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Pieces whose bytes are not those kept under their hash."""
@@ -165,8 +165,8 @@ class Encoder:
         if new.any():
             self._learn(keys[new], data, begin[first[new]], size[first[new]])
             at = np.searchsorted(self.keys, keys)
-        slots = at[which]
-        source, start, count = self.ids, self.start[slots], self.count[slots].astype(np.int64)
+        slots = self.slot[at][which]
+        source, start, count = self.ids, self.start[slots].astype(np.int64), self.count[slots].astype(np.int64)
         others = self._others(slots, data, begin, size)
         if len(others):
             flat, counts = self._library_ids(data, begin[others], size[others])
