@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import join_counted, materialize, shared_dir
+from .shared import join_counted, materialize, shared_dir, tidy
 from .textarrays import binary_array, doc_chunks, mix, prefix_sums, ranges, span_hash, utf8, whole_groups, word_hashes, words
 
 SHINGLE = 5
@@ -178,6 +178,7 @@ def _classes(documents: DataFrame, threshold: float = THRESHOLD, size: int = SHI
     documents = documents.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     steps = least_matches(threshold, tolerance)
 
+    @tidy
     def sketch(batches):
         for batch in batches:
             for i, j, h, at in _sets(batch, size):
@@ -227,6 +228,7 @@ def _classes(documents: DataFrame, threshold: float = THRESHOLD, size: int = SHI
     work = tasks.groupBy("node", "doc", "key", "copies").agg(F.flatten(F.collect_list(places)).alias("places"))
     work = materialize(work, f"{path}/work")
 
+    @tidy
     def deal(batches):
         """The shingles and MinHash values of each node, a row for each task that needs them."""
         for batch in batches:
@@ -265,6 +267,7 @@ def _classes(documents: DataFrame, threshold: float = THRESHOLD, size: int = SHI
     dealt = held_by.join(work.hint("merge"), (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("doc"))).select("text", "node", "copies", "places").mapInArrow(deal, "gkey long, band int, i int, j int, own int, home long, node long, copies long, sig binary, shingles binary")
     keys = ["gkey", "band", "i", "j"]
 
+    @tidy
     def compare(batches):
         for t in whole_groups(batches, *keys):
             key = [t.column(k).to_numpy() for k in keys]

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import only
+from .shared import only, tidy
 from .textarrays import binary_array
 from .token_files import token_batches
 
@@ -49,6 +49,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 0, longest: int = L
     if longest & (longest - 1) or longest < 1:
         raise ValueError("longest must be a power of two")
 
+    @tidy
     def cut(batches):
         sequence = TaskContext.get().partitionId() << 40
 

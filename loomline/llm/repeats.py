@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import join_counted, materialize, only, remove, shared_dir
+from .shared import join_counted, materialize, only, remove, shared_dir, tidy
 from .textarrays import binary_array, doc_chunks, utf8, whole_groups
 
 HOT = 20_000
@@ -81,6 +81,7 @@ def marked_intervals(documents: DataFrame, path: str, rules: Rules) -> DataFrame
     spark = documents.sparkSession
     texts = keyed(documents)
 
+    @tidy
     def find(batches):
         for batch, i, j, data, off in _chunks(batches):
             doc, first, count, name = rules.anchors(data, off)
@@ -95,6 +96,7 @@ def marked_intervals(documents: DataFrame, path: str, rules: Rules) -> DataFrame
     bucket_of, n_buckets = rules.buckets(names)
     remove(spark, f"{path}/names")
 
+    @tidy
     def deal(batches):
         for batch, i, j, data, off in _chunks(batches):
             lists = batch.column("wanted").slice(i, j - i)
@@ -119,6 +121,7 @@ def marked_intervals(documents: DataFrame, path: str, rules: Rules) -> DataFrame
     chosen = texts.join(wanted.hint("merge"), (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least")))
     dealt = chosen.select("doc_id", "node", "text", "wanted").mapInArrow(deal, DEALT)
 
+    @tidy
     def settle(batches):
         for t in whole_groups(batches, "name", "block"):
             yield from rules.settle(t)

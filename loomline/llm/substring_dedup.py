@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .repeats import HOT, Groups, Rules, marked_intervals, new_path, number_of_buckets, runs_of, union_mask, with_spans
+from .shared import tidy
 from .textarrays import binary_array, mix, prefix_sums, ranges, span_hash, utf8, word_hashes, words
 
 WINDOW = 35
@@ -191,6 +192,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, rounds: int = ROU
     path = new_path(documents)
     spans = marked_intervals(documents, path, word_rules(window, rounds, hot))
 
+    @tidy
     def cut(batches):
         for batch in batches:
             data, off = utf8(batch.column("text"))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import HOT, Groups, Rules, marked_intervals, new_path, number_of_buckets, runs_of, union_mask, with_spans
+from .shared import tidy
 from .textarrays import gram_hashes, mix, ranges, sliding_min, utf8
 
 WIDTH = 100
@@ -212,6 +213,7 @@ def remove_later_copies(documents: DataFrame, width: int = WIDTH, leading: int =
     path = new_path(documents)
     spans = marked_intervals(documents, path, suffix_rules(width, leading, hot))
 
+    @tidy
     def cut(batches):
         for batch in batches:
             data, off = utf8(batch.column("text"))

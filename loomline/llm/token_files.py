@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encoding import Encoder
-from .shared import only
+from .shared import only, tidy
 from .textarrays import doc_chunks, ranges, utf8
 
 ORC_OPTIONS = {
@@ -63,6 +63,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, end_id: i
     into the place in the whole sequence without touching the ids again.
     """
 
+    @tidy
     def encode(batches):
         part, before = TaskContext.get().partitionId(), 0
         for doc, ids, at in token_batches(batches, tokenizer, end_id):
@@ -108,6 +109,7 @@ def id_checksums(spark: SparkSession, path: str) -> DataFrame:
     integers.  The ids are summed where they are read; only the sums are dealt."""
     names = ["doc_id", "part", "part_start", "n_tokens"]
 
+    @tidy
     def sums(batches):
         for batch in batches:
             lists = batch.column("ids")
