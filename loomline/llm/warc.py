@@ -173,7 +173,8 @@ def fetch_record(index: DataFrame, path: str, urn: str) -> tuple[dict[str, str],
 
 
 def read_archives(spark: SparkSession, path: str, frames_a_task: int = 256) -> DataFrame:
-    """All records, from the bundles themselves.  Work is dealt by runs of frames."""
+    """All records, from the bundles themselves.  A task reads one run of frames: so many tasks are asked
+    for by number, since Spark would put rows as few and small as these into one."""
     index = spark.read.parquet(f"{path}/index")
     work = index.select("bundle", F.floor(F.col("frame") / frames_a_task).alias("run")).distinct()
 
@@ -191,7 +192,7 @@ def read_archives(spark: SparkSession, path: str, frames_a_task: int = 256) -> D
                         rows = list(parse_frame(unpack.decompress(file.read(packed), max_output_size=size)))
                         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["page_id", "record_type", "payload_digest", "refers_to", "payload"])
 
-    return work.repartition(F.col("bundle"), F.col("run")).mapInArrow(read, RECORD)
+    return work.repartition(max(work.count(), 1)).mapInArrow(read, RECORD)
 
 
 def parse_frame(plain: bytes) -> Iterator[tuple]:
@@ -210,5 +211,6 @@ def resolved(records: DataFrame) -> DataFrame:
     the payload it refers to."""
     kept = records.select("page_id", "record_type", "payload_digest", "refers_to", F.octet_length("payload").cast("long").alias("n"))
     target = kept.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("t_page"), F.col("payload_digest").alias("t_digest")).agg(F.max("n").alias("t_n"))
-    joined = kept.join(target, (F.col("refers_to") == F.col("t_page")) & (F.col("payload_digest") == F.col("t_digest")), "left")
+    # grows with the input: a merge join at every size, never a broadcast
+    joined = kept.join(target.hint("merge"), (F.col("refers_to") == F.col("t_page")) & (F.col("payload_digest") == F.col("t_digest")), "left")
     return joined.select("page_id", F.when(F.col("record_type") == "revisit", F.col("t_n")).otherwise(F.col("n")).alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
