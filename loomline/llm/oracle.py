@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
+from .license_scan import TEMPLATES
+
 OP1 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
@@ -139,8 +141,38 @@ SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS
 FROM d LEFT JOIN cut USING (r)
 """
 
-#: tokenizers, containment over regions and entropy are not SQL's: tests hold the other queries against
-#: brute force
+_NOTICES = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(TEMPLATES))
+OP8 = (
+    r"""
+WITH RECURSIVE tpl(k, name, text) AS (VALUES """
+    + _NOTICES
+    + r"""), src AS (
+  SELECT 0 AS kind, row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents UNION ALL SELECT 1, k, NULL, text FROM tpl
+), tok AS (
+  SELECT kind, r, doc_id, list_transform(regexp_extract_all(t, '[0-9A-Za-z\x{80}-\x{10FFFF}]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w,
+    list_transform(regexp_split_to_array(t, '[0-9A-Za-z\x{80}-\x{10FFFF}]+'), lambda x: len(x)) AS g FROM src
+), sh AS (
+  SELECT kind, r, u.i AS i, u.s AS s FROM (SELECT kind, r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [struct_pack(i := CAST(0 AS BIGINT), s := array_to_string(w, ' '))]
+    ELSE list_transform(range(len(w) - 4), lambda p: struct_pack(i := p, s := array_to_string(w[p + 1:p + 5], ' '))) END) AS u FROM tok)
+), own AS (SELECT DISTINCT r AS k, s FROM sh WHERE kind = 1
+), sizes AS (SELECT r AS k, count(DISTINCT s) AS size, CAST(ceil(count(*) / 0.8 - 1e-9) AS BIGINT) AS reach FROM sh WHERE kind = 1 GROUP BY r
+), hits AS (SELECT sh.r, own.k, sh.i, sh.s FROM sh JOIN own USING (s) WHERE sh.kind = 0
+), held AS (
+  SELECT a.r, a.k, a.i, b.s, min(b.i) AS place FROM hits a JOIN sizes USING (k) JOIN hits b ON a.r = b.r AND a.k = b.k AND b.i >= a.i AND b.i < a.i + reach GROUP BY ALL
+), opens AS (
+  SELECT r, k, i, count(*) AS n, max(place) AS last, any_value(size) AS size FROM held JOIN sizes USING (k) GROUP BY r, k, i HAVING count(*) >= 0.8 * any_value(size) - 1e-9
+), follows AS (SELECT a.r, a.k, a.i, min(b.i) AS j FROM opens a JOIN opens b ON a.r = b.r AND a.k = b.k AND b.i > a.last GROUP BY ALL
+), walk(r, k, i) AS (SELECT r, k, min(i) FROM opens GROUP BY r, k UNION ALL SELECT f.r, f.k, f.j FROM walk w JOIN follows f ON f.r = w.r AND f.k = w.k AND f.i = w.i
+), found AS (
+  SELECT tok.doc_id, tpl.name, walk.k, n / size AS share, w, g, o.i AS a, least(o.last + 5, len(w)) - 1 AS b
+  FROM walk JOIN opens o ON o.r = walk.r AND o.k = walk.k AND o.i = walk.i JOIN tok ON tok.kind = 0 AND tok.r = walk.r JOIN tpl ON tpl.k = walk.k
+)
+SELECT doc_id, name AS license, CAST(k AS INT) AS template, CAST(list_sum(g[1:a + 1]) + coalesce(list_sum(list_transform(w[1:a], lambda x: len(x))), 0) AS BIGINT) AS start,
+  CAST(list_sum(g[1:b + 1]) + list_sum(list_transform(w[1:b + 1], lambda x: len(x))) AS BIGINT) AS stop, CAST(share AS DOUBLE) AS containment FROM found
+"""
+)
+
+#: tokenizers and entropy are not SQL's: tests hold the other queries against brute force
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1,
     "op2_warc": OP2,
@@ -148,4 +180,5 @@ SQL: dict[str, str] = {
     "op5_substring_dedup": OP5,
     "op6_quality_rules": OP6,
     "op7_suffix_dedup": OP7,
+    "op8_license_scan": OP8,
 }
