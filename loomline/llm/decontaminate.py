@@ -40,7 +40,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, shared_dir
+from .shared import materialize, shared_dir, unused
 
 WINDOW = 5
 LITERAL = 3
@@ -56,7 +56,8 @@ CHUNK = 256
 
 # Fixed word list: units that follow a number
 UNITS = "% $ € £ ° km m cm mm mi ft in kg g mg lb oz l ml s sec min h hr hour hours day days week weeks month months year years mph kmh usd eur dollar dollars euro euros cent cents percent degrees meters metres miles feet inches grams litres liters minutes seconds".split()
-TOKEN = r"(\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+|[%$€£°]|[.!?:\n])"
+# possessive: Java matches other loops over groups by recursion, which a line of numbers would exhaust
+TOKEN = r"(\p{N}++(?:[.,]\p{N}++)*+|[\p{L}\p{M}]++|[%$€£°]|[.!?:\n])"
 #: first characters of placeholders; no token holds them
 NUM, NAME, UNIT = "#", "@", "~"
 SLOT = f"[{NUM}{NAME}{UNIT}]"
@@ -79,13 +80,14 @@ def canonical(text: Column) -> Column:
 def exploded(df: DataFrame, size: int) -> DataFrame:
     """``df`` (with the canonical string ``__s``) exploded to place and w, the windows of ``size`` tokens.
 
-    Rows without any go after they are exploded: a test before would find all windows twice.
+    Rows without any go after they are exploded: a test before would find all windows twice.  A match
+    is tried where a token begins and nowhere else: a token may be as long as a text.
     """
     keep = [c for c in df.columns if c != "__s"]
-    chunks = F.regexp_extract_all("__s", F.lit(rf"(?=((?:[^ ]++ ){{1,{CHUNK + size - 1}}}+))(?:[^ ]++ ){{1,{CHUNK}}}+"), F.lit(1))
+    chunks = F.regexp_extract_all("__s", F.lit(rf"(?<![^ ])(?=((?:[^ ]++ ){{1,{CHUNK + size - 1}}}+))(?:[^ ]++ ){{1,{CHUNK}}}+"), F.lit(1))
     df = df.select(*keep, F.posexplode_outer(chunks).alias("__c", "__chunk"))
     tokens = " ".join(["[^ ]++"] * size)
-    found = F.regexp_extract_all("__chunk", F.lit(rf"(?=({tokens}) )[^ ]++ "), F.lit(1))
+    found = F.regexp_extract_all("__chunk", F.lit(rf"(?<![^ ])(?=({tokens}) )[^ ]++ "), F.lit(1))
     df = df.select(*keep, "__c", F.posexplode_outer(found).alias("__p", "w")).where("w is not null")
     return df.select(*keep, (F.col("__c") * CHUNK + F.col("__p")).alias("place"), "w")
 
@@ -158,7 +160,8 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, broadcast_te
 
     The texts found are broadcast, eight bytes each, only where they are at most ``broadcast_texts``.
     """
-    bad = find_items(documents, benchmark, **options).select(F.col("text_key").alias("__bad")).distinct()
+    name = unused(documents, "__bad")
+    bad = find_items(documents, benchmark, **options).select(F.col("text_key").alias(name)).distinct()
     bad = materialize(bad, f"{shared_dir(documents.sparkSession)}/found")
     side = F.broadcast(bad) if bad.count() <= broadcast_texts else bad
-    return documents.join(side, F.xxhash64(F.col("text").cast("string")) == F.col("__bad"), "left_anti")
+    return documents.join(side, F.xxhash64(F.col("text").cast("string")) == F.col(name), "left_anti")

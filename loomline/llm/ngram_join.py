@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import join_counted, materialize, shared_dir, tidy
+from .shared import join_counted, materialize, shared_dir, tidy, unused
 from .textarrays import binary_array, doc_chunks, mix, prefix_sums, ranges, span_hash, utf8, whole_groups, word_hashes, words
 
 SHINGLE = 5
@@ -306,8 +306,9 @@ def keep_one_of_each_class(documents: DataFrame, **options) -> DataFrame:
     spark = documents.sparkSession
     path = shared_dir(spark)
     columns = documents.columns
-    numbered = materialize(documents.withColumn("__row", F.monotonically_increasing_id()), f"{path}/rows")
-    classes = _classes(numbered.select(F.col("__row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), **options)
-    first = classes.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "row"))["row"].alias("__first"))
-    stay = first.select("__first").unionByName(classes.where("root is null").select(F.col("row").alias("__first")))
-    return numbered.join(stay, numbered["__row"] == stay["__first"], "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+    own, first_row = unused(documents, "__row"), unused(documents, "__first")
+    numbered = materialize(documents.withColumn(own, F.monotonically_increasing_id()), f"{path}/rows")
+    classes = _classes(numbered.select(F.col(own).alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), **options)
+    first = classes.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "row"))["row"].alias(first_row))
+    stay = first.select(first_row).unionByName(classes.where("root is null").select(F.col("row").alias(first_row)))
+    return numbered.join(stay, F.col(own) == F.col(first_row), "left_semi").select(*[F.col(f"`{c}`") for c in columns])

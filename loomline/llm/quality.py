@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import unused
+
 # Fixed word list: the commonest function words of English, German, French and Spanish
 STOP_WORDS = """
 the of and to in that is for it with as on be at by this are or from
@@ -78,17 +80,18 @@ def n_repeat_words(words: Column) -> Column:
 def base_statistics(documents: DataFrame) -> DataFrame:
     """``documents`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed
     and the ratios that RULES use."""
+    own = {k: unused(documents, f"__{k}") for k in ("text", "words", "lines")}
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = documents.withColumn("__text", text).withColumn("__words", words_of(F.col("__text")))
-    df = df.withColumn("__lines", F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    n = F.size("__words").cast("long")
+    df = documents.withColumn(own["text"], text).withColumn(own["words"], words_of(F.col(own["text"])))
+    df = df.withColumn(own["lines"], F.filter(F.split(own["text"], "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    n = F.size(own["words"]).cast("long")
     df = df.withColumns(
         {
             "n_words": n,
-            "word_chars": F.length(F.regexp_replace("__text", r"[\x20\x09-\x0D]+", "")).cast("long"),
-            "n_symbols": F.length(F.regexp_replace("__text", r"[^#*$%&|<>]+", "")).cast("long"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "n_repeat_words": n_repeat_words(F.col("__words")),
+            "word_chars": F.length(F.regexp_replace(own["text"], r"[\x20\x09-\x0D]+", "")).cast("long"),
+            "n_symbols": F.length(F.regexp_replace(own["text"], r"[^#*$%&|<>]+", "")).cast("long"),
+            "n_dup_lines": (F.size(own["lines"]) - F.size(F.array_distinct(own["lines"]))).cast("long"),
+            "n_repeat_words": n_repeat_words(F.col(own["words"])),
         }
     )
     at_least_one = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
@@ -97,11 +100,11 @@ def base_statistics(documents: DataFrame) -> DataFrame:
             "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
             "mean_word_length": F.col("word_chars") / at_least_one,
             "symbol_ratio": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)).cast("double"),
-            "stop_words": F.size(F.array_intersect(F.array(*map(F.lit, dict.fromkeys(STOP_WORDS))), "__words")).cast("long"),
-            "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.size("__lines"), F.lit(1)).cast("double"),
+            "stop_words": F.size(F.array_intersect(F.array(*map(F.lit, dict.fromkeys(STOP_WORDS))), own["words"])).cast("long"),
+            "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.size(own["lines"]), F.lit(1)).cast("double"),
         }
     )
-    return df.drop("__text", "__words", "__lines")
+    return df.drop(*own.values())
 
 
 def verdict(rules=RULES) -> Column:

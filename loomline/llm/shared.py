@@ -102,6 +102,14 @@ def tidy(work: Callable) -> Callable:
     return run
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores where ``df`` has it: an operator's own column meets no caller's."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The columns an operator reads, and no others: extra columns can't clash with its own."""
     return df.select(*[F.col(f"`{n}`") for n in names])
