@@ -172,6 +172,25 @@ SELECT doc_id, name AS license, CAST(k AS INT) AS template, CAST(list_sum(g[1:a
 """
 )
 
+OP12 = r"""
+WITH src AS (
+  SELECT 0 AS kind, row_number() OVER () AS r, doc_id AS id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), item_id, text FROM benchmark
+), tok AS (
+  SELECT kind, r, unnest(list_transform(regexp_extract_all(text, '[0-9A-Za-z\x{80}-\x{10FFFF}]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS t FROM src WHERE text IS NOT NULL
+), tf AS (SELECT r, t, count(*) AS tf FROM tok WHERE kind = 0 GROUP BY r, t
+), ln AS (SELECT r, count(*) AS n FROM tok WHERE kind = 0 GROUP BY r
+), st AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM ln
+), w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, st GROUP BY t, docs
+), q AS (SELECT r AS q, t, count(*) AS k FROM tok WHERE kind = 1 GROUP BY r, t
+), s AS (
+  SELECT q.q, tf.r, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // len)))) AS BIGINT) AS score
+  FROM q JOIN w USING (t) JOIN tf USING (t) JOIN ln ON ln.r = tf.r, st GROUP BY q.q, tf.r
+), best AS (
+  SELECT s.q, d.id AS doc_id, score, row_number() OVER (PARTITION BY s.q ORDER BY score DESC, d.id) AS rank FROM s JOIN src d ON d.kind = 0 AND d.r = s.r WHERE score > 0
+)
+SELECT b.id AS item_id, CAST(rank AS INT) AS rank, doc_id, score FROM best JOIN src b ON b.kind = 1 AND b.r = best.q WHERE rank <= 20
+"""
+
 #: tokenizers and entropy are not SQL's: tests hold the other queries against brute force
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1,
@@ -181,4 +200,5 @@ SQL: dict[str, str] = {
     "op6_quality_rules": OP6,
     "op7_suffix_dedup": OP7,
     "op8_license_scan": OP8,
+    "op12_lexical_search": OP12,
 }

@@ -1,4 +1,4 @@
-"""The ten operators applied to whole tables, with their oracle SQL where SQL can express them."""
+"""The operators applied to whole tables, with their oracle SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -84,6 +84,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lexical_search
+
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_packing,
         op10_secret_scan,
+        op12_lexical_search,
     )
 }
 
