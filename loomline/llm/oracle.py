@@ -191,6 +191,28 @@ WITH src AS (
 SELECT b.id AS item_id, CAST(rank AS INT) AS rank, doc_id, score FROM best JOIN src b ON b.kind = 1 AND b.r = best.q WHERE rank <= 20
 """
 
+OP13 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p
+), g AS (
+  SELECT lang, k, unnest(list_transform(range(0, len(w) - k + 1), lambda i: array_to_string(w[i + 1:i + k], ' '))) AS g FROM w, range(1, 5) x(k) WHERE len(w) >= k
+), f AS (SELECT lang, CAST(k AS INT) AS k, g, count(*) AS a FROM g GROUP BY lang, k, g
+), n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (SELECT *, string_split(g, ' ') AS w FROM f WHERE k > 1 AND a >= 30
+), cut AS (
+  SELECT c.lang, c.g, c.a, CAST(i AS INT) AS i, l.a AS l, r.a AS r, CAST((2000000::HUGEINT * c.a) // (l.a::HUGEINT + r.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS i FROM c) c JOIN f l ON l.lang = c.lang AND l.g = array_to_string(c.w[1:i], ' ') JOIN f r ON r.lang = c.lang AND r.g = array_to_string(c.w[i + 1:], ' ')
+), low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, i) = 1
+), inside AS (
+  SELECT lang, g, max(a) AS longer FROM (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS g, a FROM c, range(2, 4) y(s), range(1, 4) z(i) WHERE s < k AND i + s - 1 <= k) GROUP BY lang, g
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT low.lang, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, low.g) AS rank, low.g AS phrase, a, l, r, n, score
+  FROM low JOIN n USING (lang) LEFT JOIN inside USING (lang, g) WHERE NOT coalesce(100::HUGEINT * longer >= 80::HUGEINT * a, false)
+) WHERE rank <= 2000
+"""
+
 #: tokenizers and entropy are not SQL's: tests hold the other queries against brute force
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1,
@@ -201,4 +223,5 @@ SQL: dict[str, str] = {
     "op7_suffix_dedup": OP7,
     "op8_license_scan": OP8,
     "op12_lexical_search": OP12,
+    "op13_collocations": OP13,
 }
