@@ -84,6 +84,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import personal_data
+
+    return personal_data.span_digest(personal_data.scan(table(spark, sf_dir, "documents")))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lexical_search
 
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_packing,
         op10_secret_scan,
+        op11_personal_data,
         op12_lexical_search,
         op13_collocations,
     )
