@@ -225,7 +225,7 @@ def product(matrix: DataFrame, query, k: int) -> DataFrame:
                         score[row[a:b]] += w * value[a:b]  # a document once in a term's row
                 best.add(item, score, doc, null)
         size = [len(x[0]) for x in best.rows]
-        s, d, u = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(c) for c in zip(*best.rows, strict=True)))
+        s, d, u = (np.concatenate([none, *(x[c] for x in best.rows)]) for c, none in enumerate((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))))
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(size)), size)), pa.array(d, mask=u), pa.array(s)], names=["item", "doc_id", "score"])
 
     return matrix.where("n > 0").mapInArrow(tidy(multiply), "item long, doc_id long, score long")
