@@ -20,24 +20,31 @@ def physical_lines(content: bytes) -> list[bytes]:
     return [x + b"\n" for x in lines] + ([last] if last else [])
 
 
+def fresh_scanner(language: Language) -> LineScanner | PlainScanner:
+    rules = language.scanner_rules()
+    return PlainScanner(language) if rules is None else LineScanner(rules)
+
+
 def line_records(content: bytes, language: Language) -> Iterator[tuple[str, bool, bytes, bytes]]:
     """(kind, inside a comment after it, trimmed text, raw line) for each physical line."""
-    rules = language.scanner_rules()
-    if rules is None:
-        plain = PlainScanner(language)
+    return records(content, language, fresh_scanner(language), True)
+
+
+def records(content: bytes, language: Language, scan: LineScanner | PlainScanner, opens: bool) -> Iterator[tuple[str, bool, bytes, bytes]]:
+    """``line_records`` of lines that a scanner goes on with; ``opens`` says that a file begins here."""
+    if isinstance(scan, PlainScanner):
         for raw in physical_lines(content):
             text = trim(raw)
             if not text:
-                yield "B", plain.in_comment, text, raw
+                yield "B", scan.in_comment, text, raw
                 continue
-            first = plain.first and not plain.waiting and not text.startswith(b"#!")
-            kind = "C" if plain.is_code(text) else "M"
-            yield kind, plain.in_comment, text.removeprefix(_BOM) if first else text, raw
+            first = scan.first and not scan.waiting and not text.startswith(b"#!")
+            kind = "C" if scan.is_code(text) else "M"
+            yield kind, scan.in_comment, text.removeprefix(_BOM) if first else text, raw
         return
-    scan = LineScanner(rules)
     for number, raw in enumerate(physical_lines(content)):
         text, line = trim(raw), raw
-        if number == 0:
+        if number == 0 and opens:
             line = raw.removeprefix(_BOM)
             text = trim(raw).removeprefix(_BOM)
             if text.startswith(b"#!"):

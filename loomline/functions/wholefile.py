@@ -147,9 +147,28 @@ class WholeFile:
         return n, inked - n, lines - inked
 
 
+def _said(rules: Rules) -> tuple:
+    return rules.lines, tuple((p.open, p.close) for p in rules.blocks), {(p.open, p.close) for p in rules.quotes}, {(p.open, p.close) for p in rules.docs}
+
+
+def js_like(rules: Rules) -> bool:
+    """Whether comments and strings are those of JavaScript."""
+    return _said(rules) == ((b"//",), ((b"/*", b"*/"),), {(x, x) for x in (b'"', b"'", b"`")}, set()) and not rules.features & {"splice", "cont", "fold"}
+
+
+def python_like(rules: Rules) -> bool:
+    return _said(rules)[:2] == ((b"#",), ()) and {(x, x) for x in (b'"', b"'", b'"""', b"'''")} == _said(rules)[2] | _said(rules)[3] and "cont" in rules.features and "splice" not in rules.features
+
+
 @lru_cache(maxsize=None)
-def whole_file(rules: Rules) -> WholeFile | None:
+def whole_file(rules: Rules):
     """The whole-file counter of a language, or None where only the line scanner will do."""
+    from .tokenstreams import JavaScript, Python
+
+    if "js" in rules.features and js_like(rules):
+        return JavaScript()
+    if "py" in rules.features and python_like(rules):
+        return Python()
     if _BEYOND & rules.features or rules.docs or any(b"\\" in p.close or not p.close for p in (*rules.blocks, *rules.quotes)):
         return None
     return WholeFile(rules)

@@ -17,12 +17,14 @@ from ..functions.bytesets import JAVA_SPACES
 from ..functions.classify import counts, line_records
 from ..functions.detect import AMBIGUOUS, base_name, directory, with_language
 from ..functions.languages import Language, LanguageRegistry
-from ..sources.listing import VCS, can_prune, is_vcs, list_trees, read_contents
+from ..operators.sorting import with_position
+from ..sources.folders import work_dir, written
+from ..sources.listing import VCS, can_prune, is_vcs, read_contents, sized_trees
+from . import hugefiles
 from .options import Options
 from .patterns import compile_in
 
-#: the column of contents that says why a file could not be read
-READ_WARNING = "__read_warning"
+LINES = "seq long, path string, language string, line_no int, kind string, in_comment boolean, text binary, raw binary"
 FILES = "name string, language string, code long, comment long, blank long"
 
 
@@ -40,6 +42,9 @@ class Result:
     warnings: DataFrame | None = None
     dropped: DataFrame | None = None
     held: tuple[DataFrame, ...] = ()
+    #: the chunks of huge files, which are not among ``contents``
+    chunks: DataFrame | None = None
+    chunk: int = hugefiles.CHUNK
 
     @property
     def files(self) -> DataFrame:
@@ -70,8 +75,11 @@ class Result:
     def lines(self) -> DataFrame:
         """seq, path, language, line_no, kind, in_comment, text, raw of retained files only."""
         kept = self.scanned.select("seq", "path").withColumnsRenamed({"seq": "s", "path": "p"})
-        rows = self.contents.join(kept, (F.col("seq") == F.col("s")) & (F.col("path") == F.col("p")), "left_semi")
-        return explode_lines(rows, self.registry.languages)
+        retained = lambda rows: rows.join(kept, (F.col("seq") == F.col("s")) & (F.col("path") == F.col("p")), "left_semi")
+        rows = explode_lines(retained(self.contents), self.registry.languages)
+        if self.chunks is None:
+            return rows
+        return rows.unionByName(hugefiles.lines_of(retained(self.chunks), self.registry.languages, _line_batch, LINES, self.chunk))
 
     @property
     def debug(self) -> DataFrame:
@@ -175,8 +183,7 @@ def explode_lines(rows: DataFrame, languages: dict[str, Language]) -> DataFrame:
                 if held:
                     yield _line_batch(held)
 
-    schema = "seq long, path string, language string, line_no int, kind string, in_comment boolean, text binary, raw binary"
-    return rows.select("seq", "path", "language", "content").mapInArrow(lines, schema)
+    return rows.select("seq", "path", "language", "content").mapInArrow(lines, LINES)
 
 
 def _line_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -198,14 +205,20 @@ def count_plain(rows: DataFrame) -> DataFrame:
 
 
 def first_of_each(rows: DataFrame, digest: str = "digest") -> tuple[DataFrame, DataFrame]:
-    """Rows split into the first of each digest, by seq, and the others.
+    """Rows split into the first of each digest and all others; rows without a ``seq`` come last, ties
+    go by path and then by what else the rows hold.
 
-    The least seq of a digest is summed map-side, so a digest that a third of all rows share costs a
-    row for each task; the join back is by digest and can be split where it is skewed.
+    The first row of a digest is the least of its rows as a whole, summed map-side, so a digest that a
+    third of all rows share costs a row for each task.  The others are all rows less that one: rows are
+    counted, and the first is looked up by all its columns, which no digest can make a hot key.
     """
-    least = rows.groupBy(F.col(digest).alias("d")).agg(F.min("seq").alias("least"))
-    marked = rows.join(least, F.col(digest) == F.col("d")).drop("d")
-    return marked.where("seq = least").drop("least"), marked.where("seq <> least").drop("least")
+    columns = [digest, "seq", "path", *(c for c in rows.columns if c not in (digest, "seq", "path"))]
+    least = rows.groupBy(digest).agg(F.min(F.struct(F.col("seq").isNull().alias("unplaced"), *columns[1:])).alias("least"))
+    first = least.select(digest, *(F.col(f"least.{c}").alias(c) for c in columns[1:]))
+    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("times"))
+    others = counted.unionByName(first.withColumn("times", F.lit(-1).cast("long"))).groupBy(*columns).agg(F.sum("times").alias("times")).where("times > 0")
+    others = others.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return first.select(*rows.columns), others.select(*rows.columns)
 
 
 def analyze_content(content: DataFrame, options: Options | None = None, registry: LanguageRegistry | None = None, language: str | None = None, persist: bool = True) -> Result:
@@ -216,32 +229,55 @@ def analyze_content(content: DataFrame, options: Options | None = None, registry
     dropped by their digests afterwards, which costs less than a second reading or dealing contents by
     digest.  ``persist`` keeps the counts, one narrow row for each file, until ``Result.unpersist``.
     """
-    options, registry = options or Options(), registry or LanguageRegistry.default()
+    return _analyze_rows(content, options or Options(), registry or LanguageRegistry.default(), language, persist)
+
+
+def _analyze_rows(
+    content: DataFrame,
+    options: Options,
+    registry: LanguageRegistry,
+    language: str | None = None,
+    persist: bool = True,
+    warning: str | None = None,
+    keep_partial: bool = False,
+    huge: tuple[DataFrame, DataFrame] | None = None,
+    chunk: int = hugefiles.CHUNK,
+) -> Result:
+    """``analyze_content``; the column ``warning``, if one is named, says what went wrong when a file was
+    read.  What was read of such a file is counted with ``keep_partial`` only.  ``huge`` holds the counts and
+    the chunks of files that are counted in chunks."""
     options.check(content.sparkSession)
-    more = [F.col(READ_WARNING)] if READ_WARNING in content.columns else []
+    more = [F.col(warning)] if warning else []
     rows = content.select(F.col("seq").cast("long").alias("seq"), F.col("path").cast("string").alias("path"), F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"), *more)
-    rows = rows.where(path_filters(F.col("path"), options))
-    if language is None:
-        rows = with_language(rows, registry.keys).where(language_filters(F.col("language"), options, registry))
-    else:
-        rows = rows.withColumn("language", F.lit(language))
+    rows = _in_language(rows.where(path_filters(F.col("path"), options)), options, registry, language)
     contents = rows.select("seq", "path", "language", "content", *more)
     work = contents.withColumn("digest", F.md5("content")) if options.dedup else contents
     plain = language is not None and _markerless(registry.languages[language])
     scanned = count_plain(work) if plain else classified(work, registry.languages)
+    if huge is not None:
+        columns = [c for c in scanned.columns]
+        scanned = scanned.unionByName(huge[0].withColumnRenamed("warning", warning).select(*columns))
     held: tuple[DataFrame, ...] = ()
     if persist and not plain:
         scanned = scanned.persist(StorageLevel.MEMORY_AND_DISK)
         held = (scanned,)
     warnings = dropped = None
     if more:
-        bad = F.col(READ_WARNING).isNotNull()
-        warnings = scanned.where(bad).select("seq", "path", F.lit("warning").alias("level"), F.col(READ_WARNING).alias("message"))
-        scanned, contents = scanned.where(~bad).drop(READ_WARNING), contents.where(~bad).drop(READ_WARNING)
+        bad = F.col(warning).isNotNull()
+        warnings = scanned.where(bad).select("seq", "path", F.lit("warning").alias("level"), F.col(warning).alias("message"))
+        if not keep_partial:
+            scanned, contents = scanned.where(~bad), contents.where(~bad)
+        scanned, contents = scanned.drop(warning), contents.drop(warning)
     if options.dedup:
         scanned, dropped = first_of_each(scanned)
         scanned, dropped = scanned.drop("digest"), dropped.drop("digest")
-    return Result(scanned, contents, registry, warnings, dropped, held)
+    return Result(scanned, contents, registry, warnings, dropped, held, huge[1] if huge is not None else None, chunk)
+
+
+def _in_language(rows: DataFrame, options: Options, registry: LanguageRegistry, language: str | None) -> DataFrame:
+    if language is not None:
+        return rows.withColumn("language", F.lit(language))
+    return with_language(rows, registry.keys).where(language_filters(F.col("language"), options, registry))
 
 
 def _markerless(language: Language) -> bool:
@@ -251,28 +287,52 @@ def _markerless(language: Language) -> bool:
     return not language.lines and not language.patterns and all(a == "" for a, _ in language.blocks)
 
 
-def analyze(spark: SparkSession, paths, options: Options | None = None, registry: LanguageRegistry | None = None) -> Result:
-    """Analyses files below ``paths``; an empty list gives an empty result."""
+def analyze(spark: SparkSession, paths, options: Options | None = None, registry: LanguageRegistry | None = None, huge: int = hugefiles.HUGE, chunk: int = hugefiles.CHUNK) -> Result:
+    """Analyses files below ``paths``; an empty list gives an empty result.
+
+    Files of ``huge`` bytes and more are counted by many tasks, ``chunk`` bytes each; identical ones among
+    them are copies of each other, as long as their sizes are the same.
+    """
     options, registry = options or Options(), registry or LanguageRegistry.default()
     options.check(spark)
     paths = list(paths)
     prune = compile_in(spark, options.not_match_dir) if can_prune(options.not_match_dir) else None
-    found = list_trees(spark, paths, lambda path: prune is not None and prune.matcher(path).find())
+    left_out = (lambda path: (path != ".") & path.rlike(options.java("not_match_dir"))) if prune is not None else None
+    found = sized_trees(spark, paths, lambda path: prune is not None and prune.matcher(path).find(), left_out=left_out)
     rooted = {k for k, p in enumerate(paths) if is_vcs(p)}
     found = found.where(F.col("root_idx").isin(sorted(rooted)) | not_vcs(F.col("path")) | (F.col("warning") != "")) if rooted else found
     missing = found.where("warning <> ''").select("seq", "path", F.lit("warning").alias("level"), F.col("warning").alias("message"))
     wanted = found.where("warning = ''").where(path_filters(F.col("path"), options))
-    read = read_contents(wanted, options.effective_workers(spark)).withColumnRenamed("warning", READ_WARNING)
-    result = analyze_content(read, options.with_(match="", not_match="", match_dir="", not_match_dir=""), registry)
+    told = options.with_(match="", not_match="", match_dir="", not_match_dir="")
+    large = wanted.where(F.col("size") >= huge)
+    counted = _count_large(large, told, registry, chunk) if large.count() else None
+    read = read_contents(wanted.where(F.col("size") < huge), options.effective_workers(spark))
+    result = _analyze_rows(read, told, registry, warning="warning", huge=counted, chunk=chunk)
     return replace(result, warnings=missing.unionByName(result.warnings))
 
 
-def analyze_file(spark: SparkSession, path: str, language: Language | str) -> DataFrame:
-    """One row for a file of a named language; a file that can't be read has zero counts."""
+def _count_large(large: DataFrame, options: Options, registry: LanguageRegistry, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Counts and chunks of huge files; those that can't be read have a warning and no counts."""
+    told = _in_language(hugefiles.heads(large), options, registry, None).drop("content")
+    told = written(told.select("seq", "path", "size", "language", "warning"), f"{work_dir(large.sparkSession)}/large")
+    counts, places = hugefiles.count_huge(told.where("warning is null"), registry.languages, chunk)
+    failed = told.where("warning is not null").select("seq", "path", "language", *[F.lit(0).cast("long").alias(c) for c in ("code", "comment", "blank")], F.lit("").alias("digest"), "warning")
+    return counts.unionByName(failed), places
+
+
+def analyze_files(spark: SparkSession, paths, language: Language | str) -> Result:
+    """Files of a named language, each counted as far as it could be read; ``diagnostics`` has a warning
+    for each that could not be read to its end.  ``paths`` is a list, or a DataFrame with a column path."""
     registry = LanguageRegistry.default()
     own = registry.languages[language] if isinstance(language, str) else language
-    rows = read_contents(spark.createDataFrame([(0, path)], "seq long, path string"), 1).withColumn("language", F.lit(own.name))
-    return classified(rows.select("path", "language", "content"), {own.name: own}).select(F.col("path").alias("name"), "language", "code", "comment", "blank")
+    rows = with_position(paths.select("path"), [F.col("path")], "seq", 0) if isinstance(paths, DataFrame) else spark.createDataFrame(list(enumerate(paths)), "seq long, path string")
+    read = read_contents(rows, Options().effective_workers(spark))
+    return _analyze_rows(read, Options(), replace(registry, languages={own.name: own}), own.name, warning="warning", keep_partial=True)
+
+
+def analyze_file(spark: SparkSession, path: str, language: Language | str) -> DataFrame:
+    """One row for a file of a named language: the counts of what could be read of it."""
+    return analyze_files(spark, [path], language).files
 
 
 @dataclass

@@ -1,17 +1,13 @@
 """Queries over the test tables for every operator, each with the SQL that gives the same rows.
 
 Carriers of source text: the documents (T), the pages' markup (H), files generated from ``part`` (G),
-whose counts are closed forms of ``p_size``, files of many shapes (``palettes``), and a small tree on
-the driver's disk.
+whose counts are closed forms of ``p_size``, files of many shapes (``palettes``), and a small tree in
+the shared folder.
 """
 
 from __future__ import annotations
 
-import functools
-import glob
-import io
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,11 +15,13 @@ from pyspark.sql import functions as F
 
 from .functions.languages import Language, LanguageRegistry, rule_coverage, table_path
 from .functions.sql import register
-from .operators.output import collect_report, render, sloc_lines, write_report
-from .operators.sorting import sort_files, sort_keys
+from .operators.output import collect_report, read_report_parts, render, write_report_parts
+from .operators.sorting import sort_files_with_position, sort_keys, with_position
 from .palettes import PALETTES
-from .plans.engine import Result, analyze, analyze_content, analyze_file, by_language
+from .plans.engine import Result, analyze, analyze_content, analyze_files, by_language
 from .plans.options import Options
+from .sources.folders import plain_path, work_dir
+from .sources.stores import LocalStore, store_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -374,8 +372,9 @@ def q48(spark, sf_dir):
 def q49(spark, sf_dir):
     rows = texts(spark, sf_dir).withColumn("path", F.concat(F.when(F.col("seq") % 2 == 0, "./").otherwise(""), "path"))
     result = analyze_content(rows, language="Plain Text")
-    lines = sloc_lines(collect_report(result, by_file=True, sort="name"))
-    return spark.createDataFrame([(x.removesuffix("\n"),) for x in lines], "value string")
+    path = f"{work_dir(spark)}/report"
+    write_report_parts(result, path, sort="name", output_type="sloccount")
+    return read_report_parts(spark, path).select(F.col("line").alias("value"))
 
 
 #: the rows of the rule table, read by the database itself
@@ -476,8 +475,7 @@ def _file_sort(name: str, tag: str) -> None:
 
     @query(name, f"SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS BIGINT) AS position FROM ({shape_sql('Go')})")
     def run(spark, sf_dir):
-        rows = sort_files(analyze_content(shaped(spark, sf_dir, "Go")).files, tag).collect()  # a report by file: its order is the point
-        return spark.createDataFrame([(*r, k) for k, r in enumerate(rows, 1)], "name string, language string, code long, comment long, blank long, position long")
+        return sort_files_with_position(analyze_content(shaped(spark, sf_dir, "Go")).files, tag)
 
 
 for _k, _tag in enumerate(("name", "comment", "blank", "code")):
@@ -485,10 +483,10 @@ for _k, _tag in enumerate(("name", "comment", "blank", "code")):
 
 
 def _file_report(spark: SparkSession, sf_dir: str, output_type: str) -> DataFrame:
-    """A report's lines, a row for each file, read from the writer that the command line uses."""
-    out = io.StringIO()
-    write_report(analyze_content(shaped(spark, sf_dir, "Go")), out, by_file=True, sort="code", output_type=output_type)
-    return spark.createDataFrame(list(enumerate(out.getvalue().split("\n"), 1)), "line_no long, line string")
+    """A report by file, written by tasks and read back; JSON has no lines and is split where objects end."""
+    path = f"{work_dir(spark)}/report"
+    write_report_parts(analyze_content(shaped(spark, sf_dir, "Go")), path, output_type=output_type)
+    return read_report_parts(spark, path, "}" if output_type == "json" else "\n")
 
 
 FILES = f"(SELECT *, row_number() OVER (ORDER BY code DESC, name) AS r FROM ({shape_sql('Go')}))"
@@ -503,7 +501,7 @@ UNION ALL SELECT 2, 'File' || repeat(' ', w - 2) || 'files          blank
 UNION ALL SELECT 3 + r, rpad(name, CAST(w AS INT), ' ') || ' ' || lpad(part_files.blank::VARCHAR, 21, ' ') || ' ' || lpad(part_files.comment::VARCHAR, 14, ' ') || ' ' || lpad(part_files.code::VARCHAR, 14, ' ') FROM part_files, t
 UNION ALL SELECT 4 + files, repeat('-', 52 + w) FROM t
 UNION ALL SELECT 5 + files, rpad('TOTAL', CAST(w AS INT), ' ') || ' ' || lpad(files::VARCHAR, 6, ' ') || ' ' || lpad(blank::VARCHAR, 14, ' ') || ' ' || lpad(comment::VARCHAR, 14, ' ') || ' ' || lpad(code::VARCHAR, 14, ' ') FROM t
-UNION ALL SELECT 6 + files, repeat('-', 52 + w) FROM t UNION ALL SELECT 7 + files, '' FROM t""",
+UNION ALL SELECT 6 + files, repeat('-', 52 + w) FROM t""",
 )
 def q85(spark, sf_dir):
     return _file_report(spark, sf_dir, "default")
@@ -516,19 +514,19 @@ SELECT CAST(1 AS BIGINT) AS line_no, '| File' || repeat(' ', side) || '|' || rep
 UNION ALL SELECT 2, '|:' || repeat('-', 3 + side) || CASE WHEN 5 + side > w + 1 THEN ':' ELSE '-' END || '|' || repeat('-', side + 8) || ':|-----------:|-------------:|--------:|' FROM s
 UNION ALL SELECT 2 + r, '| ' || rpad(name, CAST(w AS INT), ' ') || ' |       1  |' || lpad(part_files.blank::VARCHAR, 11, ' ') || ' |' || lpad(part_files.comment::VARCHAR, 13, ' ') || ' |' || lpad(part_files.code::VARCHAR, 8, ' ') || ' |' FROM part_files, t
 UNION ALL SELECT 3 + files, '| ' || repeat(' ', w) || ' |' || repeat(' ', 10) || '|' || repeat(' ', 12) || '|' || repeat(' ', 14) || '|' || repeat(' ', 8) || ' |' FROM t
-UNION ALL SELECT 4 + files, '| ' || rpad('TOTAL', CAST(w AS INT), ' ') || ' |' || lpad(files::VARCHAR, 9, ' ') || ' |' || lpad(blank::VARCHAR, 11, ' ') || ' |' || lpad(comment::VARCHAR, 13, ' ') || ' |' || lpad(code::VARCHAR, 8, ' ') || ' |' FROM t
-UNION ALL SELECT 5 + files, '' FROM t""",
+UNION ALL SELECT 4 + files, '| ' || rpad('TOTAL', CAST(w AS INT), ' ') || ' |' || lpad(files::VARCHAR, 9, ' ') || ' |' || lpad(blank::VARCHAR, 11, ' ') || ' |' || lpad(comment::VARCHAR, 13, ' ') || ' |' || lpad(code::VARCHAR, 8, ' ') || ' |' FROM t""",
 )
 def q86(spark, sf_dir):
     return _file_report(spark, sf_dir, "markdown")
 
 
-JSON_FILE = """'{"code":' || code || ',"comment":' || comment || ',"blank":' || blank || ',"name":"' || name || '","language":"' || language || '"}'"""
+JSON_FILE = """'{"code":' || code || ',"comment":' || comment || ',"blank":' || blank || ',"name":"' || name || '","language":"' || language || '"'"""
 
 
 @query(
     "q87_json_by_file",
-    f"""{AS_FILES} SELECT CAST(1 AS BIGINT) AS line_no, '{{"files":[' || (SELECT string_agg({JSON_FILE}, ',' ORDER BY r) FROM part_files) || '],"total":{{"files":' || files || ',"code":' || code || ',"comment":' || comment || ',"blank":' || blank || '}}}}' AS line FROM t""",
+    f"""{AS_FILES} SELECT CAST(1 AS BIGINT) AS line_no, '{{"files":[' AS line UNION ALL SELECT CAST(1 + r AS BIGINT), CASE WHEN r = 1 THEN '' ELSE ',' END || {JSON_FILE} FROM part_files
+UNION ALL SELECT 2 + files, '],"total":{{"files":' || files || ',"code":' || code || ',"comment":' || comment || ',"blank":' || blank FROM t UNION ALL SELECT 3 + files, '' FROM t""",
 )
 def q87(spark, sf_dir):
     return _file_report(spark, sf_dir, "json")
@@ -539,7 +537,7 @@ def q87(spark, sf_dir):
     f"""{AS_FILES} SELECT CAST(1 AS BIGINT) AS line_no, '<?xml version="1.0" encoding="UTF-8"?>' AS line UNION ALL SELECT 2, '<results>' UNION ALL SELECT 3, '  <files>'
 UNION ALL SELECT 3 + r, '    <file code="' || code || '" comment="' || comment || '" blank="' || blank || '" name="' || name || '" language="' || language || '"></file>' FROM part_files
 UNION ALL SELECT 4 + files, '    <total code="' || code || '" comment="' || comment || '" blank="' || blank || '"></total>' FROM t
-UNION ALL SELECT 5 + files, '  </files>' FROM t UNION ALL SELECT 6 + files, '</results>' FROM t UNION ALL SELECT 7 + files, '' FROM t""",
+UNION ALL SELECT 5 + files, '  </files>' FROM t UNION ALL SELECT 6 + files, '</results>' FROM t""",
 )
 def q88(spark, sf_dir):
     return _file_report(spark, sf_dir, "cloc-xml")
@@ -574,20 +572,31 @@ def q92(spark, sf_dir):
 
 
 def planted_tree(spark: SparkSession, sf_dir: str) -> str:
-    """A small tree on the driver's disk: a folder for each region, a file for each nation, and what a
-    walk must tell apart."""
-    top = tempfile.mkdtemp(prefix="loomline-tree-")
-    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name").collect()
-    for r in rows:
-        folder = f"{top}/{r.r_name.replace(' ', '_')}"
-        os.makedirs(f"{folder}/.git", exist_ok=True)
-        for path in (f"{folder}/{r.n_nationkey}.go", f"{folder}/.git/{r.n_nationkey}.go", f"{folder}/.{r.n_nationkey}.py", f"{folder}/{r.n_nationkey}.none"):
-            with open(path, "w") as f:
-                f.write(f"// {r.n_name}\n" * 2 + "x\n" * r.n_nationkey + "\n")
-        os.symlink("/nonexistent", f"{folder}/{r.n_nationkey}-gone.go")
+    """A tree below the folder that driver and tasks share, planted by tasks: a folder for each region, a
+    file for each nation, and what a walk must tell apart.  Links that lead nowhere are planted where the
+    store is a file system of this kind."""
+    top = plain_path(f"{work_dir(spark)}/tree")
+
+    def plant(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                folder, k = f"{top}/{r['r_name'].replace(' ', '_')}", r["n_nationkey"]
+                store = store_of(folder)
+                for path in (f"{folder}/{k}.go", f"{folder}/.git/{k}.go", f"{folder}/.{k}.py", f"{folder}/{k}.none"):
+                    store.write(path, (f"// {r['n_name']}\n" * 2 + "x\n" * k + "\n").encode())
+                if isinstance(store, LocalStore) and not os.path.lexists(f"{folder}/{k}-gone.go"):
+                    os.symlink("/nonexistent", f"{folder}/{k}-gone.go")
+            yield batch
+
+    rows = nations(spark, sf_dir).select("n_nationkey", "n_name", "r_name")
+    rows.mapInArrow(plant, rows.schema).write.format("noop").mode("overwrite").save()
     return top
 
 
+def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+
+
 TREE_FILES = "SELECT replace(r_name, ' ', '_') AS folder, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey"
 TREE_ROWS = f"""SELECT folder || '/' || k || '.go' AS name, 'Go' AS language, CAST(k AS BIGINT) AS code, CAST(2 AS BIGINT) AS comment, CAST(1 AS BIGINT) AS blank FROM ({TREE_FILES})
 UNION ALL SELECT folder || '/.' || k || '.py', 'Python', k + 2, 0, 1 FROM ({TREE_FILES})"""
@@ -607,7 +616,7 @@ def q93(spark, sf_dir):
 def q94(spark, sf_dir):
     top = planted_tree(spark, sf_dir)
     rows = analyze(spark, [top]).scanned
-    return rows.select(_below(top, "path").alias("name"), F.row_number().over(Window.orderBy("seq")).alias("position"))
+    return with_position(rows.select(_below(top, "path").alias("name"), "seq"), [F.col("seq")]).select("name", F.col("position").cast("int").alias("position"))
 
 
 @query("q95_tree_warnings", f"SELECT 'warning' AS level, folder || '/' || k || '-gone.go' AS path FROM ({TREE_FILES}) UNION ALL SELECT 'warning', 'none'")
@@ -640,8 +649,8 @@ def q98(spark, sf_dir):
 @query("q99_single_files", "SELECT 'Go' AS language, CAST(n_nationkey AS BIGINT) AS code, CAST(2 AS BIGINT) AS comment, CAST(1 AS BIGINT) AS blank FROM nation")
 def q99(spark, sf_dir):
     top = planted_tree(spark, sf_dir)
-    paths = sorted(glob.glob(f"{top}/*/[0-9]*[0-9].go") + glob.glob(f"{top}/*/[0-9].go"))
-    return functools.reduce(DataFrame.unionByName, [analyze_file(spark, x, "Go").drop("name") for x in paths])
+    path = F.concat(F.lit(f"{top}/"), F.replace("r_name", F.lit(" "), F.lit("_")), F.lit("/"), F.col("n_nationkey").cast("string"), F.lit(".go"))
+    return analyze_files(spark, nations(spark, sf_dir).select(path.alias("path")), "Go").files.drop("name")
 
 
 @query(

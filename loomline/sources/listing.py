@@ -1,23 +1,32 @@
 """An ordered listing of source trees.
 
 Spark's own file sources leave out names that start with a dot or underscore and empty files; a
-count needs them all, in a defined order.  The driver lists up to ``DRIVER_FOLDERS`` folders, level by
-level; what lies below the folders that are left then is listed by tasks.  Contents are read by tasks.
+count needs them all, in a defined order.  The driver lists a small tree by itself, up to
+``DRIVER_FOLDERS`` folders and ``DRIVER_FILES`` files.  The folders that are left then are dealt to tasks, each of
+which lists up to ``TASK_FOLDERS`` and gives back what it had no time for, which is dealt anew in the next
+round: one deep folder is spread as soon as its folders are known.  Each round is written, and so is the
+ordered listing, so an analysis lists once and all its views see the same numbers.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sorting import with_position
+from .folders import work_dir, written
 from .stores import FILE, FOLDER, store_of
 
 DRIVER_FOLDERS = 2_000
-SCHEMA = "seq long, root_idx int, path string, warning string"
+DRIVER_FILES = 100_000
+TASK_FOLDERS = 500
+SCHEMA = "seq long, root_idx int, path string, warning string, size long"
+FOUND = "root_idx int, path string, warning string, size long"
 #: bytes of contents that a task holds before it hands them on
 HELD = 16 << 20
 # Directory names of version control
@@ -25,7 +34,8 @@ VCS = re.compile(r"\.(bzr|cvs|hg|git|svn)")
 #: what makes a match of a directory path not carry over to paths below it
 _ENDS = re.compile(r"\$|\\[bBzZ]|\(\?[a-z]*m")
 
-Entry = tuple[int, str, str]  # root number, path, warning
+Entry = tuple[int, str, str, int]  # root number, path, warning, size
+Open = tuple[int, str, bool]  # root number, path, whether folders of version control are left out
 
 
 def is_vcs(path: str) -> bool:
@@ -37,42 +47,47 @@ def can_prune(pattern: str) -> bool:
     return bool(pattern) and not _ENDS.search(re.sub(r"\\\\|\\\$|\[[^\]]*\]", "", pattern))
 
 
-def list_folder(root: int, path: str, skip_vcs: bool) -> tuple[list[Entry], list[tuple[int, str, bool]]]:
-    """The files and the folders of one folder; one that can't be listed is a warning."""
+def list_folder(root: int, path: str, skip_vcs: bool, most: int | None = None) -> tuple[list[Entry], list[Open]] | None:
+    """The files and the folders of one folder; one that can't be listed is a warning.  None if it holds
+    more than ``most`` entries."""
     store = store_of(path)
     try:
-        found = [(store.join(path, name), kind) for name, kind in store.entries(path)]
+        found = [(store.join(path, name), kind, size) for name, kind, size in islice(store.entries(path), None if most is None else most + 1)]
     except OSError as e:
-        return [(root, path, str(e))], []
+        return [(root, path, str(e), 0)], []
+    if most is not None and len(found) > most:
+        return None
     found = [x for x in found if not (skip_vcs and is_vcs(x[0]))]
-    return [(root, p, "") for p, kind in found if kind == FILE], [(root, p, skip_vcs) for p, kind in found if kind == FOLDER]
+    return [(root, p, "", size) for p, kind, size in found if kind == FILE], [(root, p, skip_vcs) for p, kind, _ in found if kind == FOLDER]
 
 
-def walk(roots, pruned: Callable[[str], bool] = lambda path: False, most: int | None = None) -> tuple[list[Entry], list[tuple[int, str, bool]]]:
-    """All files below the roots, in no order, and the folders that are left after ``most`` listings.
+def walk(roots, pruned: Callable[[str], bool] = lambda path: False, most: int | None = None, most_files: int | None = None) -> tuple[list[Entry], list[Open]]:
+    """All files below the roots, in no order, and the folders that are left after ``most`` listings or
+    ``most_files`` files.
 
     A missing root gives a warning and no file.
     """
     files: list[Entry] = []
-    level: list[tuple[int, str, bool]] = []
+    level: list[Open] = []
     for k, root in enumerate(roots):
-        kind = store_of(root).kind(root)
+        store = store_of(root)
+        kind = store.kind(root)
         if kind == FOLDER:
-            level.append((k, store_of(root).clean(root), not is_vcs(root)))
+            level.append((k, store.clean(root), not is_vcs(root)))
         else:
-            files.append((k, root, "" if kind else f"lstat {root}: no such file or directory"))
+            files.append((k, root, "" if kind else f"lstat {root}: no such file or directory", store.size(root) if kind else 0))
     listed = 0
     while level:
-        below = []
+        below: list[Open] = []
         for i, (k, path, skip_vcs) in enumerate(level):
             if path != "." and pruned(path):
                 continue
-            if listed == most:
+            got = list_folder(k, path, skip_vcs, None if most_files is None else max(most_files - len(files), 0)) if listed != most else None
+            if got is None:
                 return files, below + level[i:]
             listed += 1
-            own, folders = list_folder(k, path, skip_vcs)
-            files += own
-            below += folders
+            files += got[0]
+            below += got[1]
         level = below
     return files, []
 
@@ -82,47 +97,75 @@ def order_of(path: str) -> bytes:
     return path.encode("utf-8", "surrogateescape").replace(b"/", b"\0")
 
 
-def list_trees(spark: SparkSession, roots, pruned: Callable[[str], bool] = lambda path: False, most: int = DRIVER_FOLDERS) -> DataFrame:
+def list_trees(spark: SparkSession, roots, pruned: Callable[[str], bool] = lambda path: False, most: int = DRIVER_FOLDERS, **more) -> DataFrame:
     """seq, root_idx, path and warning of all files, in the order of a walk."""
-    roots = list(roots)
-    files, left = walk(roots, pruned, most)
+    return sized_trees(spark, roots, pruned, most, **more).drop("size")
+
+
+def sized_trees(spark: SparkSession, roots, pruned: Callable[[str], bool] = lambda path: False, most: int = DRIVER_FOLDERS, most_files: int = DRIVER_FILES, left_out: Callable[[Column], Column] | None = None, task_folders: int = TASK_FOLDERS) -> DataFrame:
+    """``list_trees`` with the sizes of the files.
+
+    ``pruned`` tells the driver which folders to skip, ``left_out`` tells the rounds of tasks.
+    """
+    files, left = walk(list(roots), pruned, most, most_files)
     if not left:
         files.sort(key=lambda x: (x[0], order_of(x[1])))
-        k, path, warning = zip(*files, strict=True) if files else ((), (), ())
-        rows = pa.table([pa.array(range(len(files)), pa.int64()), pa.array(k, pa.int32()), pa.array(path, pa.string()), pa.array(warning, pa.string())], names=["seq", "root_idx", "path", "warning"])
+        k, path, warning, size = zip(*files, strict=True) if files else ((), (), (), ())
+        rows = pa.table([pa.array(range(len(files)), pa.int64()), pa.array(k, pa.int32()), pa.array(path, pa.string()), pa.array(warning, pa.string()), pa.array(size, pa.int64())], names=["seq", "root_idx", "path", "warning", "size"])
         return spark.createDataFrame(rows, SCHEMA)
 
     def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = 0
         for batch in batches:
             open_ = list(zip(*(batch.column(c).to_pylist() for c in ("root_idx", "path", "skip_vcs")), strict=True))
-            while open_:
+            while open_ and listed < task_folders:
                 own, folders = list_folder(*open_.pop())
                 open_ += folders
+                listed += 1
                 if own:
-                    k, path, warning = zip(*own, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(path, pa.string()), pa.array(warning, pa.string())], names=["root_idx", "path", "warning"])
-
-    folders = spark.createDataFrame(left, "root_idx int, path string, skip_vcs boolean").repartition(max(4 * spark.sparkContext.defaultParallelism, 1))
-    found = folders.mapInArrow(below, "root_idx int, path string, warning string")
-    found = found.unionByName(spark.createDataFrame(files, "root_idx int, path string, warning string"))
-    # numbers in order, not without gaps: no row has to know how many stand before it
-    ordered = found.orderBy("root_idx", F.replace("path", F.lit("/"), F.lit("\0")), "path")
-    return ordered.withColumn("seq", F.monotonically_increasing_id()).select("seq", "root_idx", "path", "warning")
+                    yield _found(own, None)
+            if open_:
+                yield _found([(k, path, "", 0) for k, path, _ in open_], [skip for _, _, skip in open_])
+
+    def _found(rows, skip):
+        k, path, warning, size = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(path, pa.string()), pa.array(warning, pa.string()), pa.array(size, pa.int64()), pa.array(skip or [None] * len(k), pa.bool_())], names=["root_idx", "path", "warning", "size", "skip_vcs"])
+
+    base, most_tasks = work_dir(spark), 4 * spark.sparkContext.defaultParallelism
+    listed = spark.createDataFrame(files, FOUND)
+    frontier, waiting, step = spark.createDataFrame(left, "root_idx int, path string, skip_vcs boolean"), len(left), 0
+    while waiting:
+        if left_out is not None:
+            frontier = frontier.where(~left_out(F.col("path")))
+        got = written(frontier.repartition(min(waiting, most_tasks)).mapInArrow(below, f"{FOUND}, skip_vcs boolean"), f"{base}/round{step}")
+        listed = listed.unionByName(got.where("skip_vcs is null").drop("skip_vcs"))
+        frontier = got.where("skip_vcs is not null").select("root_idx", "path", "skip_vcs")
+        waiting, step = frontier.count(), step + 1
+    return with_position(listed, [F.col("root_idx"), F.replace("path", F.lit("/"), F.lit("\0")), F.col("path")], "seq", 0).select("seq", "root_idx", "path", "warning", "size")
+
+
+def read_whole(store, path: str) -> tuple[bytes | None, str | None]:
+    """The bytes of a file, and a warning if reading broke off: then what came before, null if nothing did."""
+    pieces: list[bytes] = []
+    try:
+        for piece in store.chunks(path):
+            pieces.append(piece)
+    except OSError as e:
+        return b"".join(pieces) if pieces else None, f"{path}: {e.strerror or e}"
+    return b"".join(pieces), None
 
 
 def read_contents(candidates: DataFrame, workers: int) -> DataFrame:
-    """seq, path, content (null where reading failed) and warning, read by ``workers`` tasks or more, a
-    bounded number of bytes at a time."""
+    """seq, path, content and warning, read by ``workers`` tasks or more, a bounded number of bytes at a
+    time.  Where reading fails midway, what came before stands in content; null if nothing could be read."""
 
     def read(batches):
         for batch in batches:
             held, size = [], 0
             for seq, path in zip(batch.column("seq").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                try:
-                    held.append((seq, path, store_of(path).read(path), None))
-                    size += len(held[-1][2])
-                except OSError as e:
-                    held.append((seq, path, None, f"{path}: {e.strerror or e}"))
+                content, warning = read_whole(store_of(path), path)
+                held.append((seq, path, content, warning))
+                size += len(content or b"")
                 if size > HELD:
                     yield _batch(held)
                     held, size = [], 0

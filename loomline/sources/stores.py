@@ -11,10 +11,13 @@ import os
 import posixpath
 import re
 import stat
+from collections.abc import Iterator
 from functools import lru_cache
 
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://")
 FOLDER, FILE = "folder", "file"
+#: bytes that are read at a time
+PIECE = 1 << 20
 
 
 class LocalStore:
@@ -27,10 +30,19 @@ class LocalStore:
         except OSError:
             return None
 
-    def entries(self, path: str) -> list[tuple[str, str]]:
-        """(name, kind) of what a folder holds."""
+    def entries(self, path: str) -> Iterator[tuple[str, str, int]]:
+        """(name, kind, size) of what a folder holds; links have the size of what they lead to."""
         with os.scandir(path) as found:
-            return [(e.name, FOLDER if e.is_dir(follow_symlinks=False) else FILE) for e in found]
+            for e in found:
+                folder = e.is_dir(follow_symlinks=False)
+                yield e.name, FOLDER if folder else FILE, 0 if folder else self.size(e.path)
+
+    def size(self, path: str) -> int:
+        """Bytes of a file; 0 if there is none."""
+        try:
+            return os.stat(path).st_size
+        except OSError:
+            return 0
 
     def join(self, path: str, name: str) -> str:
         return posixpath.normpath(posixpath.join(path, name))
@@ -38,9 +50,18 @@ class LocalStore:
     def clean(self, path: str) -> str:
         return posixpath.normpath(path)
 
-    def read(self, path: str) -> bytes:
+    def chunks(self, path: str, start: int = 0) -> Iterator[bytes]:
+        """The bytes of a file from ``start`` on, a piece at a time."""
         with open(path, "rb") as f:
-            return f.read()
+            if start:
+                f.seek(start)
+            while piece := f.read(PIECE):
+                yield piece
+
+    def write(self, path: str, data: bytes) -> None:
+        os.makedirs(posixpath.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(data)
 
 
 class ArrowStore:
@@ -59,11 +80,14 @@ class ArrowStore:
 
         return {FileType.Directory: FOLDER, FileType.File: FILE}.get(self.files.get_file_info(self._own(path)).type)
 
-    def entries(self, path: str) -> list[tuple[str, str]]:
+    def entries(self, path: str) -> Iterator[tuple[str, str, int]]:
         from pyarrow.fs import FileSelector, FileType
 
-        found = self.files.get_file_info(FileSelector(self._own(path)))
-        return [(x.base_name, FOLDER if x.type == FileType.Directory else FILE) for x in found]
+        for x in self.files.get_file_info(FileSelector(self._own(path))):
+            yield x.base_name, FOLDER if x.type == FileType.Directory else FILE, x.size or 0
+
+    def size(self, path: str) -> int:
+        return self.files.get_file_info(self._own(path)).size or 0
 
     def join(self, path: str, name: str) -> str:
         return f"{path.rstrip('/')}/{name}"
@@ -71,9 +95,16 @@ class ArrowStore:
     def clean(self, path: str) -> str:
         return path.rstrip("/") if self._own(path).strip("/") else path
 
-    def read(self, path: str) -> bytes:
-        with self.files.open_input_stream(self._own(path)) as f:
-            return f.read()
+    def chunks(self, path: str, start: int = 0) -> Iterator[bytes]:
+        with self.files.open_input_file(self._own(path)) as f:
+            f.seek(start)
+            while piece := f.read(PIECE):
+                yield piece
+
+    def write(self, path: str, data: bytes) -> None:
+        self.files.create_dir(posixpath.dirname(self._own(path)), recursive=True)
+        with self.files.open_output_stream(self._own(path)) as f:
+            f.write(data)
 
 
 @lru_cache(maxsize=64)
