@@ -19,7 +19,7 @@ from .plainscan import PlainScanner
 START, GUESS = "", "?"
 
 _FIELDS = ("quote", "escape_pending", "document", "line_comment", "raw_end")
-_STATEMENT = ("none_yet", "depth", "goes_on", "header", "above")
+_STATEMENT = ("margins", "goes_on", "depth", "header")
 
 
 def state_of(scanner: LineScanner | PlainScanner) -> str:

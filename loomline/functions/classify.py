@@ -58,18 +58,44 @@ def kinds(content: bytes, language: Language) -> str:
     return "".join(r[0] for r in line_records(content, language))
 
 
+def _opened(content: bytes) -> tuple[int, bytes] | None:
+    """Lines of code that a file opens with (a first line of ``#!``), and the rest without a mark of its
+    byte order; None where only the line scanner tells."""
+    first, _, rest = content.partition(b"\n")
+    opens = trim(first)
+    if opens.removeprefix(_BOM).startswith(b"#!"):
+        return 1, rest
+    if first != _BOM and opens.startswith(_BOM) == first.startswith(_BOM):
+        return 0, content.removeprefix(_BOM)
+    return None
+
+
 def counts(content: bytes, language: Language) -> tuple[int, int, int]:
     """Code, comment and blank lines: of the whole file at once where that can tell them."""
     rules = language.scanner_rules()
     if rules is not None and (whole := whole_file(rules)) is not None:
-        first, feed, rest = content.partition(b"\n")
-        opens = trim(first)
-        if opens.removeprefix(_BOM).startswith(b"#!"):
-            code, comment, blank = whole.counts(rest)
-            return code + 1, comment, blank
-        if first != _BOM and opens.startswith(_BOM) == first.startswith(_BOM):
-            return whole.counts(content.removeprefix(_BOM))
+        if (opened := _opened(content)) is not None:
+            code, comment, blank = whole.counts(opened[1])
+            return code + opened[0], comment, blank
     elif rules is None and (got := plain_counts(content, language)) is not None:
         return got
     k = kinds(content, language)
     return k.count("C"), k.count("M"), k.count("B")
+
+
+def counts_of(contents: list[bytes], language: Language) -> list[tuple[int, int, int]]:
+    """``counts`` of many files, which languages with a counter for many share."""
+    rules = language.scanner_rules()
+    whole = whole_file(rules) if rules is not None else None
+    if not hasattr(whole, "counts_of"):
+        return [counts(c, language) for c in contents]
+    opened = [_opened(c) for c in contents]
+    told = iter(whole.counts_of([x[1] for x in opened if x is not None]))
+    out = []
+    for c, x in zip(contents, opened, strict=True):
+        if x is None:
+            out.append(counts(c, language))
+        else:
+            code, comment, blank = next(told)
+            out.append((code + x[0], comment, blank))
+    return out

@@ -1,9 +1,8 @@
-"""Documentation strings of the Python family.
+"""Statements of the Python family, as far as documentation needs them.
 
-A string is documentation if nothing but strings stands before it in its statement, and the statement is
-the first of a module, at its margin, or the one below the header of a function or class, further in.
-``Statements`` is told the lines of a file piece by piece, comments and strings left out, and keeps what
-it must of the statement that it is in and of the one before.
+A string is documentation if nothing but documentation stands before it in its line and the line begins
+a statement whose margin lies in the range that the statement before has left: exactly the margin of the
+file for the first one, anything further in after a whole header, nothing otherwise.
 """
 
 from __future__ import annotations
@@ -11,52 +10,44 @@ from __future__ import annotations
 import re
 
 _BRACKETS = re.compile(rb"[()\[\]{}]")
-_HEADERS = (b"def ", b"class ", b"async def ")
-_TAB = 8
+# What a header begins with, the width of a tab
+HEADERS = (b"def ", b"class ", b"async def ")
+TAB = 8
+_FAR = 1 << 30
 
 
 def margin(line: bytes) -> int:
-    return len(line[: len(line) - len(line.lstrip(b" \t"))].expandtabs(_TAB))
+    return len(line[: len(line) - len(line.lstrip(b" \t"))].expandtabs(TAB))
 
 
 class Statements:
+    """Between two lines: the margins at which the next statement may open with documentation, whether the
+    next line goes on with this one, its open brackets, and its margin if it is a header."""
+
     def __init__(self):
-        self.none_yet = True
-        self.depth = 0  # brackets that are open
-        self.tail = b""  # what the line's code ends with
-        self.goes_on = False  # the next line belongs to the same statement
-        self.header: int | None = None  # margin of this statement, if it is a header
-        self.above: int | None = None  # margin of the statement before, if it was a whole header
-        self.documents = False  # whether a string that opens here is documentation
-
-    def begin(self, line: bytes, trimmed: bytes, in_string: bool, in_documentation: bool) -> None:
-        """A line begins."""
-        self.documents, self.tail = in_documentation, b""
+        self.margins: tuple[int, int] | None = (0, 0)
+        self.goes_on = False
+        self.depth = 0
+        self.header: int | None = None
+
+    def may_open_with_documentation(self, line: bytes, trimmed: bytes, in_string: bool) -> bool:
+        """Told once for each line, before anything else of it."""
         if in_string or self.goes_on or not trimmed or trimmed.startswith(b"#"):
-            return
-        at = margin(line)
-        self.documents = at == 0 if self.none_yet else self.above is not None and at > self.above
-        self.none_yet, self.above = False, None
-        if trimmed.startswith(_HEADERS):
+            return False
+        at, margins = margin(line), self.margins
+        self.margins = None
+        if trimmed.startswith(HEADERS):
             self.header = at
+        return margins is not None and margins[0] <= at <= margins[1]
 
-    def text(self, part: bytes) -> None:
-        """Code of the line that is no string."""
-        for bracket in _BRACKETS.findall(part):
+    def line_ended(self, code: list[bytes], string_last: bool, in_string: bool) -> None:
+        """``code``: the line without comments and strings; ``string_last``: whether a string follows it."""
+        for bracket in _BRACKETS.findall(b" ".join(code)):
             self.depth = max(0, self.depth + (1 if bracket in b"([{" else -1))
-        if code := part.rstrip(b"\t\n\v\f\r "):
-            self.tail, self.documents = code[-1:], False
-
-    def string(self, prefix: bytes, after_code: bool) -> bool:
-        """A string opens; whether it is documentation."""
-        self.documents = self.documents and not after_code and not set(prefix) & set(b"bf")
-        self.tail = b"s"
-        return self.documents
-
-    def end(self, in_string: bool) -> None:
-        """The line ends, perhaps within a string."""
-        self.goes_on = self.depth > 0 or (not in_string and self.tail == b"\\")
-        if not in_string and not self.goes_on:
-            if self.tail == b":" and self.header is not None:
-                self.above = self.header
-            self.header = None
+        last = b"" if string_last or not code else code[-1].rstrip(b"\t\n\v\f\r ")[-1:]
+        self.goes_on = self.depth > 0 or (not in_string and last == b"\\")
+        if in_string or self.goes_on:
+            return
+        if self.header is not None and last == b":":
+            self.margins = (self.header + 1, _FAR)
+        self.header = None

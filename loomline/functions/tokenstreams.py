@@ -19,6 +19,7 @@ import numpy as np
 
 from .bytesets import WIDE_SPACE
 from .linescan import _OPERAND_WORDS, IDENTIFIER
+from .statements import HEADERS, margin
 from .wholefile import ink_lines, physical_line_count
 
 # --- JavaScript and TypeScript
@@ -107,20 +108,21 @@ class JavaScript:
 _TRIPLE = rb"(?P<triple>\"\"\"(?:[^\"\\]|\\(?:(?=\r?\n)|.|\Z)|\"(?!\"\"))*+(?:\"\"\")?|'''(?:[^'\\]|\\(?:(?=\r?\n)|.|\Z)|'(?!''))*+(?:''')?)"
 _LINE = rb"\"(?:[^\"\\\n]|\\\r?\n|\\[^\n]|\\\Z)*+\"?|'(?:[^'\\\n]|\\\r?\n|\\[^\n]|\\\Z)*+'?"
 _PYTHON = re.compile(rb"#[^\n]*+|(?:(?<![" + IDENTIFIER + rb"])(?P<prefix>[rRuUbBfF]{1,2})(?=[\"']))?(?:" + _TRIPLE + rb"|" + _LINE + rb")", re.S)
-# What a header begins with, the width of a tab
-_HEADERS = (b"def ", b"class ", b"async def ")
-_TAB = 8
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_FAR = 1 << 32
 _DEPTH = np.zeros(256, np.int8)
 _DEPTH[list(b"([{")] = 1
 _DEPTH[list(b")]}")] = -1
 
 
 class _Lines:
-    """What the lines of a file are, told from where its comments and strings stand."""
+    """What the lines of files are, told from where comments and strings stand.
 
-    def __init__(self, data: bytes, tokens: list[tuple[int, int, bool]]):
+    The files stand one after another in ``data``, each but the last ending with a line feed.
+    """
+
+    def __init__(self, data: bytes, tokens: list[tuple[int, int, bool]], files: np.ndarray):
         self.data = data
         raw = np.frombuffer(data, np.uint8)
         feeds = np.flatnonzero(raw == 10)
@@ -149,7 +151,9 @@ class _Lines:
         own = (place >= self.starts) & (place > opened)
         self.tail = np.where(own, raw[np.maximum(place, 0)] if len(raw) else 0, 0)
         self.code_places, self.string_begin, self.string_end = code, begin[string], end[string]
-        depth = np.cumsum(_DEPTH[raw] * outside, dtype=np.int64)
+        step = (_DEPTH[raw] * outside).astype(np.int64)
+        step[files[1:] - 1] = -_FAR  # below all that was: brackets don't stay open from file to file
+        depth = np.cumsum(step)
         depth -= np.minimum(np.minimum.accumulate(depth), 0) if len(depth) else 0
         self.depth = np.append(0, depth)[self.stops]
         k = np.searchsorted(self.string_begin, self.stops, "right") - 1
@@ -157,6 +161,9 @@ class _Lines:
         self.goes_on = (self.depth > 0) | (~self.open & (self.tail == 92))
         closed = ~self.open & ~self.goes_on
         before = np.append(True, closed[:-1])
+        self.first_lines = np.searchsorted(self.starts, files)
+        before[self.first_lines] = True
+        self.file = np.searchsorted(files, self.starts, "right")
         self.begins = self.text & before & (np.append(raw, 0)[self.first] != 35)
         self.begin_lines, self.closed_lines = np.flatnonzero(self.begins), np.flatnonzero(closed)
 
@@ -164,63 +171,91 @@ class _Lines:
         total = np.append(0, np.cumsum(flags))
         return total[self.stops] > total[self.starts]
 
-    def line_of(self, place: int) -> int:
-        return int(np.searchsorted(self.starts, place, "right")) - 1
-
     def margin(self, line: int) -> int:
-        text = self.data[self.starts[line] : self.stops[line]]
-        return len(text[: len(text) - len(text.lstrip(b" \t"))].expandtabs(_TAB))
+        return margin(self.data[self.starts[line] : self.stops[line]])
 
     def may_document(self, line: int) -> bool:
         """Whether a string that opens a statement in this line is documentation."""
         if not self.begins[line]:
             return False
         k = int(np.searchsorted(self.begin_lines, line))
-        if k == 0:
+        if k == 0 or self.file[self.begin_lines[k - 1]] != self.file[line]:
             return self.margin(line) == 0
         header = int(self.begin_lines[k - 1])
         end = int(self.closed_lines[np.searchsorted(self.closed_lines, header)])
-        whole = self.tail[end] == 58 and self.data.startswith(_HEADERS, int(self.first[header]))
+        whole = self.tail[end] == 58 and self.data.startswith(HEADERS, int(self.first[header]))
         return bool(whole) and self.margin(line) > self.margin(header)
 
-    def string_free(self, start: int, stop: int) -> bool:
-        """Whether no string begins or goes on between two places."""
-        k = int(np.searchsorted(self.string_begin, stop)) - 1
-        return k < 0 or int(self.string_end[k]) <= start
+    def documents(self, prefixes: list[bytes | None]) -> np.ndarray:
+        """Which strings are documentation."""
+        a, b = self.string_begin, self.string_end
+        self.line = np.searchsorted(self.starts, a, "right") - 1
+        self.last_line = np.searchsorted(self.starts, b - 1, "right") - 1
+        code_before = np.searchsorted(self.code_places, a)
+        bare = code_before == np.searchsorted(self.code_places, self.starts[self.line])
+        earlier = np.append(0, b[:-1])
+        opens = np.flatnonzero(bare & (earlier <= self.starts[self.line]) & self.begins[self.line])
+        # further strings of a line, with nothing in between
+        joined = np.zeros(len(a), bool)
+        joined[1:] = (self.line[1:] == self.last_line[:-1]) & (code_before[1:] == np.searchsorted(self.code_places, b[:-1]))
+        out = np.zeros(len(a), bool)
+        for k in opens.tolist():
+            if self.may_document(int(self.line[k])):
+                while not (prefixes[k] and set(prefixes[k].lower()) & set(b"bf")):
+                    out[k] = True
+                    k += 1
+                    if k == len(a) or not joined[k]:
+                        break
+        return out
+
 
-    def bare(self, start: int, stop: int) -> bool:
-        """Whether no code stands between two places."""
-        return int(np.searchsorted(self.code_places, start)) == int(np.searchsorted(self.code_places, stop))
+#: bytes of files that are told at once
+TOGETHER = 2 << 20
 
 
 class Python:
     def counts(self, data: bytes) -> tuple[int, int, int]:
         """Code, comment and blank lines."""
-        if not data:
-            return 0, 0, 0
-        tokens, strings = [], []
-        for m in _PYTHON.finditer(data):
-            a, b = m.span()
-            string = data[a] != 35
-            tokens.append((a, b, string))
-            if string:
-                strings.append((a, b, m["prefix"]))
-        lines = _Lines(data, tokens)
-        code = lines.code.copy()
-        after = ended = -1  # where a string of documentation ends, and its line
-        for a, b, prefix in strings:
-            line = lines.line_of(a)
-            if line == ended and after >= 0 and lines.bare(after, a):
-                document = True
-            else:
-                start = int(lines.starts[line])
-                document = lines.bare(start, a) and lines.string_free(start, a) and lines.may_document(line)
-            if document and prefix and set(prefix.lower()) & set(b"bf"):
-                document = False
-            ended = lines.line_of(b - 1)
-            after = b if document else -1
-            if not document:
-                code[line : ended + 1] = True
-        text = int(lines.text.sum())
-        n = int((code & lines.text).sum())
-        return n, text - n, lines.n - text
+        return self.counts_of([data])[0]
+
+    def counts_of(self, contents: list[bytes]) -> list[tuple[int, int, int]]:
+        """``counts`` of many files; small ones share the work that is done for all lines at once."""
+        out = [(0, 0, 0)] * len(contents)
+        held: list[int] = []
+        size = 0
+        for k, data in enumerate(contents):
+            if data:
+                held.append(k)
+                size += len(data)
+            if held and (size >= TOGETHER or k == len(contents) - 1):
+                for i, c in zip(held, self._told([contents[i] for i in held]), strict=True):
+                    out[i] = c
+                held, size = [], 0
+        return out
+
+    def _told(self, contents: list[bytes]) -> list[tuple[int, int, int]]:
+        tokens, prefixes, files, parts, at = [], [], [], [], 0
+        for data in contents:
+            files.append(at)
+            for m in _PYTHON.finditer(data):
+                a, b = m.span()
+                string = data[a] != 35
+                tokens.append((at + a, at + b, string))
+                if string:
+                    prefixes.append(m["prefix"])
+            parts.append(data)
+            if not data.endswith(b"\n"):
+                parts.append(b"\n")
+            at += len(data) + (not data.endswith(b"\n"))
+        lines = _Lines(b"".join(parts), tokens, np.array(files))
+        code = lines.code
+        if prefixes:
+            plain = ~lines.documents(prefixes)
+            inside = np.zeros(lines.n + 1, np.int64)
+            np.add.at(inside, lines.line[plain], 1)
+            np.subtract.at(inside, lines.last_line[plain] + 1, 1)
+            code = code | (np.cumsum(inside[:-1]) > 0)
+        total = np.diff(np.append(lines.first_lines, lines.n))
+        text = np.add.reduceat(lines.text.astype(np.int64), lines.first_lines)
+        n = np.add.reduceat((code & lines.text).astype(np.int64), lines.first_lines)
+        return list(zip(n.tolist(), (text - n).tolist(), (total - text).tolist(), strict=True))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.bytesets import JAVA_SPACES
-from ..functions.classify import counts, line_records
+from ..functions.classify import counts_of, line_records
 from ..functions.detect import AMBIGUOUS, base_name, directory, with_language
 from ..functions.languages import Language, LanguageRegistry
 from ..operators.sorting import with_position
@@ -161,7 +161,13 @@ def classified(rows: DataFrame, languages: dict[str, Language]) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            got = [counts(text or b"", languages[name]) for text, name in zip(batch.column("content").to_pylist(), batch.column("language").to_pylist(), strict=True)]
+            contents, by = [x or b"" for x in batch.column("content").to_pylist()], {}
+            for k, name in enumerate(batch.column("language").to_pylist()):
+                by.setdefault(name, []).append(k)
+            got: list = [None] * batch.num_rows
+            for name, places in by.items():
+                for k, told in zip(places, counts_of([contents[k] for k in places], languages[name]), strict=True):
+                    got[k] = told
             columns = list(zip(*got, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(c, pa.int64()) for c in columns)], names=[*names, "code", "comment", "blank"])
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loomline.functions.classify import counts, kinds, line_records, physical_lines
+from loomline.functions.classify import counts, counts_of, kinds, line_records, physical_lines
 from loomline.functions.languages import Language, builtin, check_rules
 
 L = builtin()
@@ -126,6 +126,19 @@ def test_whole_files_equal_lines():
             assert counts(text, language) == tuple(found.count(c) for c in "CMB"), (language.name, text)
 
 
+def test_many_files_equal_lines():
+    """Files that are counted together keep nothing of each other; tokens of JavaScript and Python."""
+    rng = random.Random(9)
+    parts = [b"x", b" ", b"\n", b"\n", b"\n", b"\t", b"\xc2\xa0", b"\r\n", b"\\", b"'", b'"', b"1", b"\\\n", b"#", b"//", b"/*", b"*/", b"/", b"`", b"${", b"}", b"{", b"(", b")", b"[", b"]", b"return ", b"=", b",", b"a/b", b'"""', b"\'\'\'", b"def f():", b"class A:", b"\n    ", b":", b"r'", b'b"""', b"#!", b"\xef\xbb\xbf", b"\r"]
+    for language in map(L.get, ("Python", "Starlark", "JavaScript", "TypeScript", "Go")):
+        for _ in range(150):
+            texts = []
+            for _ in range(rng.randrange(20)):
+                some = [*rng.sample(parts, rng.randrange(3, len(parts))), b"\n"]
+                texts.append(b"".join(rng.choice(some) for _ in range(rng.randrange(25))))
+            assert counts_of(texts, language) == [tuple(kinds(t, language).count(c) for c in "CMB") for t in texts]
+
+
 def test_most_languages_are_counted_at_once():
     from loomline.functions.wholefile import whole_file
 
