@@ -28,6 +28,8 @@ class Markers:
         #: any marker, and any that isn't empty
         self.any = re.compile(b"|".join(map(re.escape, sorted(every))) if every else rb"(?!)")
         self.real = re.compile(b"|".join(map(re.escape, sorted(every - {b""}))) if every - {b""} else rb"(?!)")
+        sentinel = len(self.pairs) == 1 and not self.pairs[0][0]  # nothing is ever waited for
+        self.special = re.compile(b"|".join(map(re.escape, [b"#!", _BOM, *([] if sentinel else sorted(every - {b""}, key=len))])))
         self._turns: dict[tuple[int, bytes | None], re.Pattern] = {}
 
     def turn(self, pair: int, innermost: bytes | None) -> re.Pattern:
@@ -103,14 +105,47 @@ class PlainScanner:
 
 
 def plain_counts(content: bytes, language: Language) -> tuple[int, int, int] | None:
-    """Code, comment and blank lines of a file without any block marker or ``#!``; None for others."""
+    """Code, comment and blank lines of a file.
+
+    Lines in which no marker stands, nor what opens a script or marks the byte order, leave the scanner as
+    it is: between two others they are all comment while a closer is waited for, and else told by how they
+    begin.  So they are counted by stretches, and the scanner sees the others only.  None for languages of
+    several pairs one of which has an empty marker, which stands everywhere.
+    """
     m = _markers(language)
-    if m.patterns or m.real.search(content) or b"#!" in content or _BOM in content:
+    if len(m.pairs) > 1 and any(not x for pair in m.pairs for x in pair):
         return None
-    lines = content.split(b"\n")
+    scanner = PlainScanner(language)
+    code = comment = blank = at = 0
+    for found in iter(lambda: m.special.search(content, at), None):
+        start = content.rfind(b"\n", at, found.start()) + 1 or at
+        stop = content.find(b"\n", found.start()) + 1 or len(content)
+        if start > at:
+            told = _stretch(content[at:start], m, bool(scanner.waiting))
+            code, comment, blank = code + told[0], comment + told[1], blank + told[2]
+        text = trim(content[start:stop])
+        if not text:
+            blank += 1
+        elif scanner.is_code(text):
+            code += 1
+        else:
+            comment += 1
+        at = stop
+    told = _stretch(content[at:], m, bool(scanner.waiting))
+    return code + told[0], comment + told[1], blank + told[2]
+
+
+def _stretch(part: bytes, m: Markers, waiting: bool) -> tuple[int, int, int]:
+    """Code, comment and blank lines among whole lines without markers."""
+    lines = part.split(b"\n")
     if not lines[-1]:
         lines.pop()
-    texts = list(map(bytes.strip, lines) if content.isascii() else map(trim, lines))
+    texts = list(map(bytes.strip, lines) if part.isascii() else map(trim, lines))
     blank = texts.count(b"")
-    comment = sum(x.startswith(m.lines) for x in texts) if m.lines else 0
+    if waiting:
+        return 0, len(texts) - blank, blank
+    if m.patterns:
+        comment = sum(x != b"" and any(p.search(x) for p in m.patterns) for x in texts)
+    else:
+        comment = sum(x.startswith(m.lines) for x in texts) if m.lines else 0
     return len(texts) - blank - comment, comment, blank

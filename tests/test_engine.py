@@ -1,6 +1,7 @@
 """Trees, filters, detection, deduplication, partition invariance."""
 
 import os
+import random
 
 import pytest
 
@@ -112,6 +113,7 @@ PATTERNS = [
     (r"\p{L}+", "é", True), (r"a(?i)b", "aB", True), (r"a(?i)b", "AB", False), (r"^[[:alpha:]]+$", "abc", True), (r"^[[:alpha:]]+$", ":a", False), (r"[[:^digit:]]", "12", False),
     (r"(?P<x>a)b", "ab", True), (r"[a&&b]", "&", True), (r"[a&&b]", "a", True), (r"[x[y]", "[", True), (r"a.c", "a\rc", True), (r"a.c", "a\nc", False), (r"a$", "a\n", False), (r"(?m)a$", "a\nb", True),
     (r"\Qa.b\E", "a.b", True), (r"\Qa.b\E", "axb", False), (r"a{2,3}?b", "aab", True), (r"[]a]", "]", True), (r"x\z", "x", True), (r"a|b*", "", True),
+    ("a{", "a{", True), ("{x}", "{x}", True), ("a{,2}", "a{,2}", True), ("a{,2}", "aa", False), ("(?U)a+b", "aab", True), ("a(?s)*b", "aab", True), (r"\bé", "é", False), (r"\101\x{e9}", "Aé", True), (r"^\s$", "\v", False), ("(?i)É", "é", True), ("(?P<a_b>x)", "x", True),
 ]
 
 
@@ -120,7 +122,7 @@ def test_patterns(spark):
         assert compile_in(spark, pattern).matcher(text).find() == found, (pattern, text)
         df = spark.createDataFrame([(text,)], "t string")
         assert df.where(df.t.rlike(translate(pattern))).count() == found
-    for bad in ("(", ")", "a++", "(?=x)", "(?<!x)", "(?>x)", r"(a)\1", r"\k<x>", "[a", "[[:no:]]", "(?U)a"):
+    for bad in ("(", ")", "a++", "(?=x)", "(?<!x)", "(?>x)", r"(a)\1", r"\k<x>", "[a", "[[:no:]]", "a**", "a{2}{3}", "(a{40}){40}", "(?P<x>a)(?P<x>b)", r"\8", r"\y", "a|*", r"\Ea"):
         with pytest.raises(PatternError):
             translate(bad)
     for bad in ("*a", "a{3,1}", "[z-a]", r"\p{Nonsense}"):
@@ -131,6 +133,31 @@ def test_patterns(spark):
             analyze(spark, ["/nonexistent"], Options(match_dir=bad))
 
 
+def test_random_patterns_are_taken_alike(spark):
+    """Against another engine of the same dialect: what is valid, and what it finds."""
+    import duckdb
+
+    other, rng = duckdb.connect(), random.Random(4)
+    tokens = ["a", "b", "é", "{", "}", "{2}", "{1,2}", "{,2}", "{2,}", "{x}", "*", "+", "?", "(", ")", "(?:", "(?i)", "(?U)", "(?s)", "(?m)", "(?i:", "(?-i)", "[ab]", "[^a]", "[a-c]", "[]a]", "[[:alpha:]]", "[[:^digit:]]", r"[\d-]", r"\d", r"\s", r"\W", r"\b", r"\B", r"\A", r"\z", "^", "$", ".", "|", r"\Qa{\E", r"\x41", r"\101", r"\.", r"\pL", r"\p{Greek}", "(?P<n>", "A", "\n", "_"]
+    texts = ["", "a", "ab", "aab", "aB", "é", "É", "{", "a{", "a{x}", "a{,2}", "1", "a 1", "\n", "a\nb", "ab\n", "a_b", "\v", "α", "]"]
+    for _ in range(400):
+        pattern = "".join(rng.choice(tokens) for _ in range(rng.randrange(1, 6)))
+        try:
+            other.execute("SELECT regexp_matches('', ?)", [pattern]).fetchone()
+            valid = True
+        except duckdb.Error:
+            valid = False
+        try:
+            found = compile_in(spark, pattern)
+        except PatternError:
+            assert not valid, pattern
+            continue
+        assert valid, pattern
+        if found is not None:
+            for text in rng.sample(texts, 5):
+                assert found.matcher(text).find() == other.execute("SELECT regexp_matches(?, ?)", [text, pattern]).fetchone()[0], (pattern, text)
+
+
 @pytest.mark.parametrize("bad", [{"match": "("}, {"not_match": "(?=x)"}, {"match_dir": r"(a)\1"}, {"workers": 65}, {"workers": -1}])
 def test_bad_options(bad):
     with pytest.raises(OptionError) as e:
