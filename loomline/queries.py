@@ -7,18 +7,21 @@ the shared folder.
 
 from __future__ import annotations
 
+import io
 import os
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .cli import main
 from .functions.languages import Language, LanguageRegistry, rule_coverage, table_path
 from .functions.sql import register
-from .operators.output import collect_report, read_report_parts, render, write_report_parts
+from .operators.output import collect_report, json_languages, read_report_parts, render, write_report_parts
 from .operators.sorting import sort_files_with_position, sort_keys, with_position
 from .palettes import PALETTES
-from .plans.engine import Result, analyze, analyze_content, analyze_files, by_language
+from .plans.engine import Processor, Result, analyze, analyze_content, analyze_files, by_language
 from .plans.options import Options
 from .sources.folders import plain_path, work_dir
 from .sources.stores import LocalStore, store_of
@@ -660,3 +663,88 @@ SELECT c[1] AS language, c[6] AS scanner, {', '.join(f"CAST(len(list_filter(stri
 )
 def q100(spark, sf_dir):
     return spark.createDataFrame(rule_coverage(), "language string, scanner string, keys long, line_markers long, blocks long, quotes long, documentation long")
+
+
+# --- more of the dialect, blocks, trees and reports ----------------------------------------------
+
+
+@query("q101_braces_in_patterns", f"SELECT source || '/doc{{' || doc_id || '}}.txt' AS name FROM ({T_SQL}) WHERE regexp_matches('doc{{' || doc_id || '}}.txt', '^doc\\{{[0-9]*[05]\\}}[.]txt$')")
+def q101(spark, sf_dir):
+    rows = texts(spark, sf_dir).withColumn("path", F.concat(F.split("path", "/")[0], F.lit("/doc{"), F.col("seq").cast("string"), F.lit("}.txt")))
+    return analyze_content(rows, Options(match=r"(?U)^doc{\d*[05]}\.txt$"), language="Plain Text").files.select("name")
+
+
+def _skipped_bytes(word):
+    """Lines whose wide space loses its first byte to the sweep over a block, so that its rest is ink; and
+    lines whose plain space is lost as a whole."""
+    wide, plain = F.concat(F.lit("/*"), word, F.lit("*/\u3000/*"), word, F.lit("*/\n")), F.concat(F.lit("/*"), word, F.lit("*/ /*"), word, F.lit("*/\n"))
+    return F.concat(wide, plain, F.lit("/*\n"), word, F.lit("\u00e9\n\u3000\n*/\u00e9x\n"))
+
+
+@query("q102_bytes_after_blocks", f"SELECT {T_PATH} || '.g4' AS name, 'ANTLR' AS language, CAST(2 AS BIGINT) AS code, CAST(3 AS BIGINT) AS comment, CAST(1 AS BIGINT) AS blank FROM documents")
+def q102(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    path = F.concat("source", F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".txt.g4"))
+    return analyze_content(d.select(F.col("doc_id").alias("seq"), path.alias("path"), _skipped_bytes(F.col("source")).alias("content"))).files
+
+
+@query("q103_processor", f"{TREE_ROWS} UNION ALL SELECT folder || '/' || k || '.none', 'Noted', k, 2, 1 FROM ({TREE_FILES})")
+def q103(spark, sf_dir):
+    top = planted_tree(spark, sf_dir)
+    registry = LanguageRegistry.default().with_language(Language("Noted", ("//",))).with_extension("none", "Noted")
+    return Processor(spark, registry).analyze([top]).files.withColumn("name", _below(top, "name"))
+
+
+@query(
+    "q104_command_line",
+    f"""WITH t AS ({TREE_FILES}), s AS (SELECT 'Go' AS name, CAST(count(*) AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS blank, CAST(2 * count(*) AS BIGINT) AS comment, CAST(sum(k) AS BIGINT) AS code FROM t WHERE k % 10 <> 1 AND folder <> 'ASIA')
+SELECT CAST(1 AS BIGINT) AS line_no, format('{{:<27}} {{:>6}} {{:>14}} {{:>14}} {{:>14}}', name, files, blank, comment, code) AS line FROM s""",
+)
+def q104(spark, sf_dir):
+    """The command line, whose report by language has a row for each language."""
+    out, err = io.StringIO(), io.StringIO()
+    argv = ["-w", "3", "-l", "Go,Python", "-e", "py,css", "--not-match", "1[.]go$", "--not-match-d=/ASIA", "-s", "name", "-o", "sloccount", "--dedup=false", planted_tree(spark, sf_dir)]
+    if main(argv, out, err, spark):
+        raise RuntimeError(err.getvalue())
+    return spark.createDataFrame(list(enumerate(out.getvalue().splitlines(), 1)), "line_no long, line string")
+
+
+@query(
+    "q105_json_by_source",
+    f"""WITH r AS (SELECT source, lang, count(*) AS files, sum(n - blank) AS code, sum(blank) AS blank FROM ({T_SQL}) GROUP BY source, lang)
+SELECT source, '{{"languages":[' || string_agg('{{"name":"' || lang || '","files":' || files || ',"code":' || code || ',"comment":0,"blank":' || blank || '}}', ',' ORDER BY lang) || '],"total":{{"files":' || CAST(sum(files) AS BIGINT) || ',"code":' || CAST(sum(code) AS BIGINT) || ',"comment":0,"blank":' || CAST(sum(blank) AS BIGINT) || '}}}}' AS report FROM r GROUP BY source""",
+)
+def q105(spark, sf_dir):
+    """The public JSON builder, a report for each source with a row for each language."""
+    rows = texts(spark, sf_dir).withColumn("path", F.concat("path", F.lit(".txt")))
+    counted = analyze_content(rows, language="Plain Text").scanned.join(rows.select(F.col("seq").alias("of"), "lang"), F.col("seq") == F.col("of"))
+    by = counted.withColumn("source", F.split("path", "/")[0]).groupBy("source", F.col("lang").alias("name")).agg(F.count(F.lit(1)).alias("files"), *[F.sum(c).alias(c) for c in ("code", "comment", "blank")])
+
+    def build(key, t):
+        listed = sorted(t.to_pylist(), key=lambda x: x["name"])
+        total = {c: sum(x[c] for x in listed) for c in ("files", "code", "comment", "blank")}
+        return pa.table({"source": [key[0].as_py()], "report": [json_languages(listed, total)]})
+
+    return by.groupBy("source").applyInArrow(build, "source string, report string")
+
+
+HUGE_OF = "(SELECT seq, name, language, code, comment, blank, seq // 80 AS f FROM ({}))"
+
+
+@query("q106_huge_files", " UNION ALL ".join(f"SELECT split_part(name, '/', 1) || '/' || f || '.{PALETTES[x][0]}' AS name, language, CAST(sum(code) AS BIGINT) AS code, CAST(sum(comment) AS BIGINT) AS comment, CAST(sum(blank) AS BIGINT) AS blank FROM {HUGE_OF.format(shape_sql(x, 'seq, name, language, code, comment, blank'))} GROUP BY 1, 2" for x in ("Go", "JavaScript")))
+def q106(spark, sf_dir):
+    """Files that are counted in chunks: those of 80 parts each, joined and planted by tasks."""
+    top = plain_path(f"{work_dir(spark)}/huge")
+
+    def plant(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                store_of(top).write(f"{top}/{r['path']}", r["content"].encode())
+            yield batch
+
+    for language in ("Go", "JavaScript"):
+        rows = shaped(spark, sf_dir, language)
+        path = F.concat(F.split("path", "/")[0], F.lit("/"), F.floor(F.col("seq") / 80).cast("string"), F.lit(f".{PALETTES[language][0]}"))
+        joined = rows.groupBy(path.alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]), "").alias("content"))
+        joined.mapInArrow(plant, joined.schema).write.format("noop").mode("overwrite").save()
+    return analyze(spark, [top], huge=1024, chunk=1024).files.withColumn("name", _below(top, "name"))
