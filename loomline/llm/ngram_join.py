@@ -83,8 +83,9 @@ def band_values(sig: np.ndarray) -> np.ndarray:
     return acc
 
 
-def node_of(h: np.ndarray) -> int:
-    return int.from_bytes(hashlib.md5(h.tobytes()).digest()[:8], "little", signed=True)
+def digest_of(h: np.ndarray) -> bytes:
+    """What tells texts apart: 128 bits over all shingles."""
+    return hashlib.md5(h.tobytes()).digest()
 
 
 def _sets(batch: pa.RecordBatch, size: int):
@@ -186,23 +187,23 @@ def _classes(documents: DataFrame, threshold: float = THRESHOLD, size: int = SHI
                 some = np.flatnonzero(n)
                 starts = np.append(at[:-1][some], at[-1])
                 bands = band_values(signatures(h, starts)).view(np.int64)
-                nodes = np.zeros(j - i, np.int64)
-                nodes[some] = [node_of(h[a:b]) for a, b in zip(at[:-1][some], at[1:][some], strict=True)]
+                digests: list[bytes | None] = [digest_of(h[a:b]) if b > a else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(i, j - i),
                         batch.column("key").slice(i, j - i),
                         batch.column("row").slice(i, j - i),
-                        pa.array(nodes, mask=n == 0),
+                        pa.array(digests, pa.binary()),
                         pa.array(n.astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.searchsorted(some, np.arange(j - i + 1)).astype(np.int32) * BANDS), pa.array(bands.reshape(-1))),
                     ],
-                    names=["doc_id", "key", "row", "node", "n", "bands"],
+                    names=["doc_id", "key", "row", "digest", "n", "bands"],
                 )
 
-    drawn = materialize(documents.mapInArrow(sketch, "doc_id long, key long, row long, node long, n int, bands array<long>"), f"{path}/drawn")
-    texts = drawn.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    texts = texts.select("node", F.col("least.doc_id").alias("doc"), F.col("least.key").alias("key"), "copies", "n", "bands")
+    drawn = materialize(documents.mapInArrow(sketch, "doc_id long, key long, row long, digest binary, n int, bands array<long>"), f"{path}/drawn")
+    # each text is a node by a number of its own, given where it is written
+    texts = drawn.where("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    texts = texts.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("least.doc_id").alias("doc"), F.col("least.key").alias("key"), "copies", "n", "bands")
     texts = materialize(texts, f"{path}/texts")
 
     buckets = texts.select("node", F.posexplode("bands").alias("band", "value"))
@@ -215,7 +216,7 @@ def _classes(documents: DataFrame, threshold: float = THRESHOLD, size: int = SHI
         home = materialize(join_counted(held.select("value", "node"), least, ["value"], "of").groupBy("node").agg(F.min("to").alias("home")), f"{path}/home{r}")
     apart = held.join(home, "node").groupBy("value").agg(F.first("k").alias("of"), F.min("home").alias("x"), F.max("home").alias("y")).where("x <> y")
     apart = materialize(apart.select("value", "of"), f"{path}/apart")
-    facts = texts.select("node", "doc", "key", "copies", "n")
+    facts = texts.select("node", "digest", "doc", "key", "copies", "n")
     alone = home.select(F.col("home").alias("gkey"), F.lit(-1).alias("band"), "node", "home")
     tasks = alone.unionByName(join_counted(held.select("value", "band", "node"), apart, ["value"], "of").join(home, "node").select(F.col("value").alias("gkey"), "band", "node", "home"))
     tasks = materialize(tasks.join(facts, "node"), f"{path}/tasks")
@@ -225,17 +226,17 @@ def _classes(documents: DataFrame, threshold: float = THRESHOLD, size: int = SHI
     blocks = materialize(tasks.groupBy("gkey", "band").agg(g.alias("g"), F.count(F.lit(1)).alias("k")).where("k > 1"), f"{path}/blocks")
     tasks = join_counted(tasks, blocks, ["gkey", "band"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("g")).cast("int"))
     places = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct("gkey", "band", F.least("own", x).alias("i"), F.greatest("own", x).alias("j"), "own", "home"))
-    work = tasks.groupBy("node", "doc", "key", "copies").agg(F.flatten(F.collect_list(places)).alias("places"))
+    work = tasks.groupBy("node", "digest", "doc", "key", "copies").agg(F.flatten(F.collect_list(places)).alias("places"))
     work = materialize(work, f"{path}/work")
 
     @tidy
     def deal(batches):
         """The shingles and MinHash values of each node, a row for each task that needs them."""
         for batch in batches:
-            wanted = batch.column("node").to_numpy()
+            wanted = batch.column("digest").to_pylist()
             for i, j, h, at in _sets(batch, size):
                 n = np.diff(at)
-                mine = np.array([n[k] > 0 and node_of(h[at[k] : at[k + 1]]) == wanted[i + k] for k in range(j - i)], bool)
+                mine = np.array([n[k] > 0 and digest_of(h[at[k] : at[k + 1]]) == wanted[i + k] for k in range(j - i)], bool)
                 rows = np.flatnonzero(mine)
                 if not len(rows):
                     continue
@@ -264,7 +265,7 @@ def _classes(documents: DataFrame, threshold: float = THRESHOLD, size: int = SHI
     # rows without an id are found by their text, copies of one text once
     held_by = documents.where("doc_id is not null").unionByName(documents.where("doc_id is null").dropDuplicates(["text"]))
     work = work.withColumnRenamed("key", "of")
-    dealt = held_by.join(work.hint("merge"), (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("doc"))).select("text", "node", "copies", "places").mapInArrow(deal, "gkey long, band int, i int, j int, own int, home long, node long, copies long, sig binary, shingles binary")
+    dealt = held_by.join(work.hint("merge"), (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("doc"))).select("text", "node", "digest", "copies", "places").mapInArrow(deal, "gkey long, band int, i int, j int, own int, home long, node long, copies long, sig binary, shingles binary")
     keys = ["gkey", "band", "i", "j"]
 
     @tidy
@@ -289,11 +290,10 @@ def _classes(documents: DataFrame, threshold: float = THRESHOLD, size: int = SHI
     found = materialize(found, f"{path}/found")
     totals = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("linked").alias("linked"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), f"{path}/components")
-    nodes = texts.select("node", "doc", "copies").join(totals, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = texts.select("node", "digest", "doc", "copies").join(totals, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = nodes.groupBy("root").agg(F.min("doc").alias("class_id"))
-    nodes = nodes.join(classes, "root").select("node", "root", "class_id", "links", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n"))
-    nodes = nodes.withColumnRenamed("node", "of")
-    out = drawn.select("doc_id", "key", "row", "node").join(nodes, F.col("node") == F.col("of"), "left")
+    nodes = nodes.join(classes, "root").select("node", F.col("digest").alias("of"), "root", "class_id", "links", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n"))
+    out = drawn.select("doc_id", "key", "row", "digest").join(nodes, F.col("digest") == F.col("of"), "left")
     return out.select("row", "key", "node", "root", "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("links", F.lit(0)).cast("long").alias("n_text_links"))
 
 
