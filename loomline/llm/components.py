@@ -15,12 +15,14 @@ def _fingerprint(edges: DataFrame) -> tuple:
 
 
 def _with_least(rows: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
-    """``rows`` joined by a with the least neighbours.  Nodes with over ``FREQUENT`` neighbours are twice
-    the edges divided by that at most: broadcast where that is few, as a merge join would deal all edges
-    of a hub to one task."""
-    if n_edges <= FREQUENT or 2 * n_edges > FREQUENT * MOST_FREQUENT:
+    """``rows`` joined by a with the least neighbours.  A merge join would deal all edges of a hub to one
+    task, so nodes with over ``FREQUENT`` neighbours are broadcast while they are few: there are twice the
+    edges divided by that at most, and where this says too little they are counted."""
+    if n_edges <= FREQUENT:
         return rows.join(least, "a")
     hubs = least.where(F.col("k") > FREQUENT)
+    if 2 * n_edges > FREQUENT * MOST_FREQUENT and hubs.count() > MOST_FREQUENT:
+        return rows.join(least, "a")
     rest = rows.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(least.where(F.col("k") <= FREQUENT), "a")
     return rest.unionByName(rows.join(F.broadcast(hubs), "a"))
 

@@ -29,7 +29,10 @@ from .shared import join_counted, materialize, only, remove, shared_dir, tidy
 from .textarrays import binary_array, doc_chunks, utf8, whole_groups
 
 HOT = 20_000
+#: rows of a bucket, until there are ``MOST_BUCKETS``: then buckets grow.  Spark sorts them, and a task holds
+#: a batch and one group at a time, so a large bucket costs time and no memory
 BUCKET_ROWS = 100_000
+MOST_BUCKETS = 100_000
 
 
 @dataclass(frozen=True)
@@ -201,9 +204,9 @@ def runs_of(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def number_of_buckets(names: DataFrame) -> int:
-    """So many that a bucket holds about ``BUCKET_ROWS`` rows at any size of the input."""
+    """So many that a bucket holds about ``BUCKET_ROWS`` rows, as long as a driver can plan that many tasks."""
     rows = names.agg(F.sum("k")).first()[0] or 0
-    return max(1, -(-rows // BUCKET_ROWS))
+    return max(1, min(-(-rows // BUCKET_ROWS), MOST_BUCKETS))
 
 
 def with_spans(documents: DataFrame, spans: DataFrame, path: str) -> DataFrame:

@@ -35,7 +35,7 @@ from .textarrays import gram_hashes, mix, ranges, sliding_min, utf8
 WIDTH = 100
 LEADING = 24
 #: names that splitters are taken from, for each bucket and at most
-SAMPLE, MOST_SAMPLE = 50, 500_000
+SAMPLE, MOST_SAMPLE = 50, 2_000_000
 #: windows whose anchors are chosen in one step, and the bits that tell their places
 SEGMENT, PLACE_BITS = 1 << 21, np.uint64(24)
 

@@ -128,3 +128,12 @@ def test_splitters_are_in_order_of_leading_bytes(spark):
     got = bucket(name, np.zeros(len(name), np.int32), np.ones(len(name), np.int32))
     assert n > 5 and (np.diff(got) >= 0).all() and 0 <= got.min() and got.max() < n
     assert np.bincount(got).max() < 4 * len(name) / n
+
+
+def test_a_driver_can_plan_the_buckets_of_any_input(spark):
+    from loomline.llm import repeats
+
+    rows = lambda k: spark.createDataFrame([(1, k), (2, k)], "name long, k long")
+    assert repeats.number_of_buckets(rows(0)) == 1
+    assert repeats.number_of_buckets(rows(10**6)) == 20
+    assert repeats.number_of_buckets(rows(10**14)) == 100_000
