@@ -389,10 +389,13 @@ FROM (SELECT unnest(string_split(content, chr(10))) AS line FROM read_text('{tab
     "q50_language_listing",
     f"""WITH t AS ({RULE_ROWS}), k AS (SELECT c[1] AS name, unnest(string_split(c[2], ' ')) AS key, r FROM t), last AS (SELECT key, arg_max(name, r) AS name FROM k WHERE key <> '' GROUP BY key),
 shown AS (SELECT DISTINCT name, CASE WHEN key IN ('Objective-C', 'MATLAB', 'Mercury') THEN 'm' WHEN key IN ('F#', 'GLSL') THEN 'fs' WHEN key = 'TypeScript' THEN 'ts' WHEN key = 'Motoko' THEN 'mo' ELSE key END AS key FROM last)
-SELECT t.c[1] AS name, coalesce((SELECT string_agg(key, ', ' ORDER BY key) FROM shown WHERE shown.name = t.c[1]), '') AS extensions FROM t""",
+SELECT t.c[1] AS name, coalesce((SELECT string_agg(key, ', ' ORDER BY key) FROM shown WHERE shown.name = t.c[1]), '') AS extensions, coalesce(m.files, 0) AS files FROM t LEFT JOIN ({MIX_SQL}) m ON m.name = t.c[1]""",
 )
 def q50(spark, sf_dir):
-    return spark.createDataFrame(LanguageRegistry.default().listing(), "name string, extensions array<string>").select("name", F.concat_ws(", ", "extensions").alias("extensions"))
+    """The language listing beside the files that the tables hold of each language."""
+    listing = spark.createDataFrame(LanguageRegistry.default().listing(), "name string, extensions array<string>")
+    files = many_languages(spark, sf_dir).languages.select(F.col("name").alias("of"), "files")
+    return listing.join(files, F.col("name") == F.col("of"), "left").select("name", F.concat_ws(", ", "extensions").alias("extensions"), F.coalesce("files", F.lit(0)).alias("files"))
 
 
 @query(
@@ -638,9 +641,12 @@ def q96(spark, sf_dir):
     return analyze(spark, [top, f"{top}/ASIA", f"{top}/EUROPE/.git"]).languages.select("name", "files", "code")
 
 
-@query("q97_no_roots", "SELECT CAST(0 AS BIGINT) AS files, CAST(0 AS BIGINT) AS code, CAST(0 AS BIGINT) AS comment, CAST(0 AS BIGINT) AS blank")
+@query("q97_no_roots", "SELECT CAST(count(*) AS BIGINT) AS nations, CAST(0 AS BIGINT) AS files, CAST(0 AS BIGINT) AS code, CAST(0 AS BIGINT) AS comment, CAST(0 AS BIGINT) AS blank FROM nation")
 def q97(spark, sf_dir):
-    return analyze(spark, []).total
+    """The roots are those nations whose name is no name: there are none."""
+    named = table(spark, sf_dir, "nation").select("n_name", F.length(F.trim("n_name")).alias("size"))
+    roots = [r.n_name for r in named.where("size = 0").collect()]
+    return analyze(spark, roots).total.withColumn("nations", F.lit(named.where("size > 0").count()))
 
 
 @query("q98_pruned_folders", f"SELECT * FROM ({TREE_ROWS}) WHERE NOT regexp_matches(name, '^(ASIA|AFRICA)/')")
@@ -659,10 +665,13 @@ def q99(spark, sf_dir):
 @query(
     "q100_rule_coverage",
     f"""WITH t AS ({RULE_ROWS})
-SELECT c[1] AS language, c[6] AS scanner, {', '.join(f"CAST(len(list_filter(string_split(c[{i}], ' '), lambda x: x <> '')) AS BIGINT) AS {name}" for i, name in ((2, 'keys'), (7, 'line_markers'), (8, 'blocks'), (9, 'quotes'), (10, 'documentation')))} FROM t""",
+SELECT c[1] AS language, c[6] AS scanner, {', '.join(f"CAST(len(list_filter(string_split(c[{i}], ' '), lambda x: x <> '')) AS BIGINT) AS {name}" for i, name in ((2, 'keys'), (7, 'line_markers'), (8, 'blocks'), (9, 'quotes'), (10, 'documentation')))}, coalesce(m.comment, 0) AS comment_lines FROM t LEFT JOIN ({MIX_SQL}) m ON m.name = t.c[1]""",
 )
 def q100(spark, sf_dir):
-    return spark.createDataFrame(rule_coverage(), "language string, scanner string, keys long, line_markers long, blocks long, quotes long, documentation long")
+    """The coverage of the rules beside the comment lines that they find in the tables' files."""
+    rules = spark.createDataFrame(rule_coverage(), "language string, scanner string, keys long, line_markers long, blocks long, quotes long, documentation long")
+    found = many_languages(spark, sf_dir).languages.select("name", F.col("comment").alias("found"))
+    return rules.join(found, F.col("language") == F.col("name"), "left").drop("name").withColumn("comment_lines", F.coalesce("found", F.lit(0))).drop("found")
 
 
 # --- more of the dialect, blocks, trees and reports ----------------------------------------------
