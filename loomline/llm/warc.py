@@ -11,8 +11,9 @@ refer to it.  Only ids and digests are grouped, not payloads.
 
 Defined results: a null html is an empty payload; payloads below ``least_bytes`` are all responses.
 A null ``page_id`` counts as less than any other; rows that repeat the largest ``page_id`` of their
-payload are all responses, and so are rows of a payload that has null ids alone.  A null url becomes
-``urn:page:<id>``.  Extra columns are ignored; an empty table gives an empty index.
+payload are all responses, and so are rows of a payload that has null ids alone.  Record ids are unique:
+where rows repeat a ``page_id`` or have none, the record's bundle and place in it follow in its id, and a
+revisit of such a page names the page in a field of its own.  A null url becomes ``urn:page:<id>``.  Extra columns are ignored; an empty table gives an empty index.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .shared import join_counted, materialize
 FRAME_BYTES = 256 << 10
 DATE = "1970-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+#: stands for WARC-Refers-To where several records have the id of the page that is referred to
+REFERS_TO_PAGE = "X-Refers-To-Page"
 # Fixed values of the seekable Zstandard format
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEK_MAGIC = 0x8F92EAB1
@@ -44,22 +47,24 @@ def bare_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode().rstrip("=")
 
 
-def record_id(page_id: int | None) -> str:
-    return "<urn:page:null>" if page_id is None else f"<urn:page:{page_id}>"
+def record_id(page_id: int | None, place: str = "") -> str:
+    """The id of a page's record; ``place`` tells those apart whose pages have one id, or none."""
+    return f"<urn:page:{'null' if page_id is None else page_id}{':' if place else ''}{place}>"
 
 
 def page_of(urn: str | None) -> int | None:
-    tail = (urn or "").strip("<>").rpartition(":")[2]
-    return int(tail) if tail.lstrip("-").isdigit() else None
+    page = (urn or "").strip("<>").split(":")[2:3]
+    return int(page[0]) if page and page[0].lstrip("-").isdigit() else None
 
 
-def format_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    urn = record_id(page_id)
+def format_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, place: str = "", one_target: bool = True) -> bytes:
+    """``one_target``: whether one record alone has the page that is referred to."""
+    urn = record_id(page_id, place)
     target = "".join(c if c > " " and c != "\x7f" else "%%%02X" % ord(c) for c in url) if url else urn.strip("<>")
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {urn}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{bare_sha1(payload)}"]
     block = HTTP + payload
     if refers_to is not None:
-        head += [f"WARC-Refers-To: {record_id(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"{'WARC-Refers-To' if one_target else REFERS_TO_PAGE}: {record_id(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
         block = HTTP
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -111,6 +116,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, frame_byte
     # map-side combined: a payload that a third of all pages share costs one row for each task
     groups = rows.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("chosen"), F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = join_counted(rows, materialize(groups, f"{path}/copies"), ["sha"], "n", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("chosen")), F.col("chosen")).alias("refers_to"))
+    rows = _with_repeats(rows, f"{path}/repeats")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -121,7 +127,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, frame_byte
         packer = zstandard.ZstdCompressor(level=level)
         sizes: list[tuple[int, int]] = []
         index: list[tuple] = []
-        frame, used = [], 0
+        frame, used, written = [], 0, 0
         with store.open_output_stream(f"{root}/.{name}", compression=None) as out:
 
             def close() -> None:
@@ -132,11 +138,13 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, frame_byte
                 frame, used = [], 0
 
             for batch in batches:
-                for page, url, html, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                    raw = format_record(page, url, html.encode("utf-8"), refers)
+                for page, url, html, refers, repeats, target_repeats in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "repeats", "target_repeats")), strict=True):
+                    place = f"{name.split('.')[0]}-{written}" if repeats else ""
+                    raw = format_record(page, url, html.encode("utf-8"), refers, place, not target_repeats)
+                    written += 1
                     if used and used + len(raw) > frame_bytes:
                         close()
-                    index.append((page, record_id(page), "response" if refers is None else "revisit", name, len(sizes), used, len(raw)))
+                    index.append((page, record_id(page, place), "response" if refers is None else "revisit", name, len(sizes), used, len(raw)))
                     frame.append(raw)
                     used += len(raw)
                 if len(index) >= 10_000:
@@ -152,6 +160,21 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, frame_byte
     return materialize(rows.mapInArrow(write, INDEX), f"{path}/index")
 
 
+def _with_repeats(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` with repeats and target_repeats: whether other rows have the page's id (or it has none), and
+    that of the page referred to.  Mostly there are none such, and nothing is joined."""
+    counts = rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1 or page_id is null")
+    counts = materialize(counts, path)
+    if counts.isEmpty():
+        return rows.withColumns({"repeats": F.lit(False), "target_repeats": F.lit(False)})
+    known = counts.where("page_id is not null")
+    own = join_counted(rows, known, ["page_id"], how="left").withColumn("repeats", F.col("k").isNotNull() | F.col("page_id").isNull()).drop("k")
+    # many pages may refer to one: that many rows have the key
+    asked = own.groupBy("refers_to").agg(F.count(F.lit(1)).alias("k")).join(known.select(F.col("page_id").alias("refers_to")), "refers_to")
+    both = join_counted(own, materialize(asked, f"{path}-asked"), ["refers_to"], how="left")
+    return both.withColumn("target_repeats", F.col("k").isNotNull()).drop("k")
+
+
 def index_batch(index: list[tuple]) -> pa.RecordBatch:
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*index, strict=True), types, strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
@@ -202,7 +225,7 @@ def parse_frame(plain: bytes) -> Iterator[tuple]:
         length = next(int(x[15:]) for x in plain[at:head].split(b"\r\n") if x[:15].lower() == b"content-length:")
         stop = head + 4 + length
         headers, payload = parse_record(plain[at:stop])
-        yield page_of(headers["warc-record-id"]), headers["warc-type"], headers["warc-payload-digest"].partition(":")[2], page_of(headers.get("warc-refers-to")), payload
+        yield page_of(headers["warc-record-id"]), headers["warc-type"], headers["warc-payload-digest"].partition(":")[2], page_of(headers.get("warc-refers-to") or headers.get(REFERS_TO_PAGE.lower())), payload
         at = stop + 4
 
 

@@ -176,6 +176,10 @@ def test_warc(spark):
     headers, payload = warc.fetch_record(index, path, warc.record_id(5))
     assert payload == pages[-1][2].encode() and headers["warc-type"] == "response"
     assert warc.fetch_record(index, path, "<urn:page:77>") is None
+    ids = [(r.record_id, r.page_id) for r in index.collect()]
+    assert len({i for i, _ in ids}) == len(pages) and all(warc.page_of(i) == p for i, p in ids)
+    for urn, page in ids:
+        assert warc.page_of(warc.fetch_record(index, path, urn)[0]["warc-record-id"]) == page
     none = shared_dir(spark)
     warc.write_archives(spark.createDataFrame([], cases.PAGES), none)
     assert warc.read_archives(spark, none).count() == 0
