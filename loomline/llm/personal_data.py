@@ -2,11 +2,12 @@
 
 Base patterns give e-mail and IP addresses, payment cards and international telephone numbers; these
 spans always stay.  Further candidates are written-out addresses (``ann at example dot org``), other digit
-groups and capitalised names.  Five labelers vote yes, no or nothing on every candidate, base spans
+groups and capitalised names; what failed a test of the base is none.  Five labelers vote yes, no or nothing on every candidate, base spans
 included: pattern, gazetteer, context, shape and neighbourhood.  All votes of the corpus are
 counted by kind and pattern of votes (at most 7 x 243 numbers), from which expectation-maximisation
 estimates how often each labeler says what about a true and a false span, and the share of true ones
-of each kind.  The resulting probabilities are the targets of a logistic regression on features of the
+of each kind.  Base spans are known to be true; a labeler's yes never speaks against a span, nor its no
+for one.  The resulting probabilities are the targets of a logistic regression on features of the
 span and its surroundings, fitted on all candidates, counted by their features (at most
 ``N_FEATURES`` numbers).  A candidate that this classifier gives ``ACCEPT`` or more is a span of the method.
 
@@ -35,6 +36,8 @@ LABELERS = ("pattern", "gazetteer", "context", "shape", "neighbour")
 ACCEPT = 0.8
 #: votes that the first guess of a labeler's reliability weighs, as a share of all
 PRIOR_SHARE = 0.02
+#: the share of true spans of a further kind that is guessed first, which weighs as much
+FIRST_SHARE = 0.2
 #: characters before a span in which context is sought, and around it in which a base span is a neighbour
 BEFORE, NEAR = 48, 200
 
@@ -114,8 +117,8 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     return out, failed
 
 
-def _further(text: str, taken: list[tuple[int, int]], failed: set[tuple[int, int]]) -> Iterator[tuple[int, int, int, bool]]:
-    """(kind, start, stop, whether a base test failed on it) of candidates that meet no base span."""
+def _further(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(kind, start, stop) of candidates that meet nothing that is taken."""
     edges = sorted(taken)
     starts = np.array([a for a, _ in edges], np.int64)
     ends = np.maximum.accumulate(np.array([b for _, b in edges], np.int64)) if edges else starts
@@ -133,18 +136,18 @@ def _further(text: str, taken: list[tuple[int, int]], failed: set[tuple[int, int
             while a > max(0, b - 64) and text[a - 1] in _LOCAL:
                 a -= 1
             if a < b and free(a, m.end()):
-                yield 4, a, m.end(), False
+                yield 4, a, m.end()
     for m in _DIGITS.finditer(text):
         a, b = m.span()
         n = sum(c.isdigit() for c in m[0]) if b - a < 60 else 60
         if n <= 19 and (b == len(text) or not (text[b].isalnum() or text[b] == "_")) and free(a, b):
-            yield 5, a, b, any(x <= a and b <= y for x, y in failed)
+            yield 5, a, b
     for m in _PERSON.finditer(text):
         if free(*m.span()):
-            yield 6, *m.span(), False
+            yield 6, *m.span()
 
 
-def votes_on(text: str, kind: int, a: int, b: int, broken: bool, near: bool) -> tuple[int, ...]:
+def votes_on(text: str, kind: int, a: int, b: int, near: bool) -> tuple[int, ...]:
     """-1, 0 or 1 of each labeler."""
     said, before = text[a:b], text[max(0, a - BEFORE) : a]
     low, name = before.lower(), KINDS[kind]
@@ -171,7 +174,7 @@ def votes_on(text: str, kind: int, a: int, b: int, broken: bool, near: bool) ->
             gazetteer = 1 if said[0] in "3456" else -1
         elif kind == 3:
             gazetteer = 1 if digits.startswith(_CODES) else 0
-        elif broken or re.fullmatch(r"(?:19|20)[0-9]{2}[.-][0-9]{1,2}[.-][0-9]{1,2}|[0-9]{1,2}[.-][0-9]{1,2}[.-](?:19|20)[0-9]{2}", said):
+        elif re.fullmatch(r"(?:19|20)[0-9]{2}[.-][0-9]{1,2}[.-][0-9]{1,2}|[0-9]{1,2}[.-][0-9]{1,2}[.-](?:19|20)[0-9]{2}", said):
             pattern = -1
         elif groups in ((3, 3, 4), (3, 2, 4), (2, 2, 2, 2, 2), (3, 4, 4), (3, 7), (4, 7)):
             pattern = 1
@@ -200,15 +203,15 @@ def features_of(text: str, kind: int, a: int, b: int, votes: tuple[int, ...]) ->
 def candidates_of(text: str) -> list[tuple[int, int, int, int, int]]:
     """(kind, start, stop, votes, features) by kind, then start; votes as a number of base three."""
     base, failed = base_spans(text)
-    found = [(k, a, b, False) for k, a, b in base] + list(_further(text, [(a, b) for _, a, b in base], set(failed)))
+    found = base + list(_further(text, [(a, b) for _, a, b in base] + failed))
     if not found:
         return []
     found.sort()
     place = np.sort(np.array([a for _, a, _ in base], np.int64))
     out = []
-    for kind, a, b, broken in found:
+    for kind, a, b in found:
         near = int(np.searchsorted(place, b + NEAR, "right") - np.searchsorted(place, a - NEAR)) - (kind < BASE) > 0
-        votes = votes_on(text, kind, a, b, broken, near)
+        votes = votes_on(text, kind, a, b, near)
         number = 0
         for v in votes:
             number = 3 * number + v + 1
@@ -239,17 +242,23 @@ class Reliabilities:
         count = count.astype(float)
         guess = np.array([[0.5, 0.4, 0.1], [0.1, 0.4, 0.5]])  # of a false and a true span: no, nothing, yes
         self.says = np.repeat(guess[None], len(LABELERS), 0)
-        self.share = np.full(len(KINDS), 0.5)
+        base = np.arange(len(KINDS)) < BASE
+        self.share = np.where(base, 1 - 1e-9, FIRST_SHARE)
         weight = PRIOR_SHARE * max(count.sum(), 1.0)
         for _ in range(rounds):
-            p = self.posterior(kind, say)
+            p = np.where(base[kind], 1.0, self.posterior(kind, say))
             says = weight * np.repeat(guess[None], len(LABELERS), 0)
             for y, w in ((0, (1 - p) * count), (1, p * count)):
                 for j in range(len(LABELERS)):
                     says[j, y] += np.bincount(say[:, j], w, 3)
             total = np.bincount(kind, count, len(KINDS))
-            share = (np.bincount(kind, p * count, len(KINDS)) + 1) / (total + 2)
+            few = 1 + PRIOR_SHARE * total
+            share = np.where(base, 1 - 1e-9, (np.bincount(kind, p * count, len(KINDS)) + FIRST_SHARE * few) / (total + few))
             says /= says.sum(2, keepdims=True)
+            for word, more in ((0, 0), (2, 1)):  # no is said of false ones at least as often, yes of true ones
+                wrong = says[:, more, word] < says[:, 1 - more, word]
+                says[wrong, :, word] = says[wrong, :, word].mean(1, keepdims=True)
+            says[:, :, 1] = 1 - says[:, :, 0] - says[:, :, 2]
             moved = max(np.abs(says - self.says).max(), np.abs(share - self.share).max())
             self.says, self.share = says, share
             if moved < 1e-9:
