@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .cli import main
-from .functions.languages import Language, LanguageRegistry, rule_coverage, table_path
+from .cli import main, options_of, parser
+from .functions.languages import Language, LanguageRegistry, RuleTableError, languages_of, read_rows, rule_coverage, table_path
 from .functions.sql import register
 from .operators.output import collect_report, json_languages, read_report_parts, render, write_report_parts
 from .operators.sorting import sort_files_with_position, sort_keys, with_position
 from .palettes import PALETTES
 from .plans.engine import Processor, Result, analyze, analyze_content, analyze_files, by_language
-from .plans.options import Options
+from .plans.options import OptionError, Options
 from .sources.folders import plain_path, work_dir
 from .sources.stores import LocalStore, store_of
 
@@ -757,3 +757,73 @@ def q106(spark, sf_dir):
         joined = rows.groupBy(path.alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]), "").alias("content"))
         joined.mapInArrow(plant, joined.schema).write.format("noop").mode("overwrite").save()
     return analyze(spark, [top], huge=1024, chunk=1024).files.withColumn("name", _below(top, "name"))
+
+
+@query(
+    "q107_argument_errors",
+    """SELECT n_nationkey, CASE WHEN 3 * n_nationkey NOT BETWEEN 1 AND 64 THEN 'workers' WHEN n_nationkey % 4 = 0 THEN 'sort' WHEN n_nationkey % 4 = 1 THEN 'output-type' WHEN n_nationkey % 4 = 2 THEN 'dedup' ELSE '' END AS field,
+CASE WHEN 3 * n_nationkey BETWEEN 1 AND 64 AND n_nationkey % 4 = 3 THEN 'Go|' || n_name END AS languages FROM nation""",
+)
+def q107(spark, sf_dir):
+    """Arguments made of each nation's row: the field that is refused, or the languages of the comma list."""
+
+    def check(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                k, name = r["n_nationkey"], r["n_name"]
+                argv = [["-s", name], ["-o", name], ["--dedup", "--skip-duplicated"], []][k % 4]
+                try:
+                    told = "", "|".join(options_of(parser().parse_args(["-w", str(3 * k), "-l", f"Go,,{name},", *argv])).include_langs)
+                except OptionError as e:
+                    told = e.field, None
+                out.append({"n_nationkey": k, "field": told[0], "languages": told[1]})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("n_nationkey", batch.schema.field("n_nationkey").type), ("field", pa.string()), ("languages", pa.string())]))
+
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return rows.mapInArrow(check, rows.select("n_nationkey").schema.add("field", "string").add("languages", "string"))
+
+
+@query("q108_rule_tables", "SELECT n_nationkey, n_nationkey % 5 <> 4 AS refused FROM nation")
+def q108(spark, sf_dir):
+    """The rule table with one row changed for each nation: a column too much, a scanner that is none, a
+    name that stands twice, an opener with two meanings; or nothing changed."""
+
+    def check(batches):
+        with open(table_path(), encoding="utf-8") as f:
+            whole = [line.split("\t") for line in f.read().splitlines() if not line.startswith("#")]
+        scanned = [k for k, row in enumerate(whole) if row[5] == "rules" and row[8]]
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                rows, k = [list(row) for row in whole], r["n_nationkey"]
+                row = rows[scanned[k % len(scanned)]]
+                if k % 5 == 0:
+                    row.append(r["n_name"])
+                elif k % 5 == 1:
+                    row[5] = r["n_name"]
+                elif k % 5 == 2:
+                    row[0] = rows[scanned[(k + 1) % len(scanned)]][0]
+                elif k % 5 == 3:
+                    row[6] = row[8].split("…")[0]
+                try:
+                    languages_of(read_rows("\n".join("\t".join(x) for x in rows)))
+                    refused = False
+                except RuleTableError:
+                    refused = True
+                out.append({"n_nationkey": k, "refused": refused})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("n_nationkey", batch.schema.field("n_nationkey").type), ("refused", pa.bool_())]))
+
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return rows.mapInArrow(check, rows.select("n_nationkey").schema.add("refused", "boolean"))
+
+
+@query(
+    "q109_dedup_without_places",
+    f"SELECT path, CASE WHEN r = 1 THEN 'kept' ELSE 'duplicate content' END AS message FROM (SELECT path, row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY CASE WHEN doc_id % 3 > 0 THEN doc_id // 10 END NULLS LAST, path) AS r FROM ({T_SQL}))",
+)
+def q109(spark, sf_dir):
+    """Copies whose places are missing or shared: one of each content stays, all others are reported."""
+    rows = texts(spark, sf_dir).withColumn("seq", F.when(F.col("seq") % 3 > 0, F.floor(F.col("seq") / 10)))
+    result = analyze_content(rows, Options(dedup=True), language="Plain Text")
+    return result.scanned.select("path", F.lit("kept").alias("message")).unionByName(result.diagnostics.select("path", "message"))
