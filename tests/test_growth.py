@@ -1,6 +1,9 @@
 """Work that grows with the tables is dealt to tasks, and what a task holds does not grow."""
 
 from loomline import queries
+from loomline.functions.languages import LanguageRegistry
+from loomline.functions.classify import kinds
+from loomline.functions.plainscan import PlainScanner, plain_counts
 from loomline.plans.engine import analyze_content
 
 SMALL = "/root/testdata/sf0.001"
@@ -15,3 +18,19 @@ def test_files_of_parts_are_dealt_before_they_are_made(spark, monkeypatch):
         plan = analyze_content(rows, persist=False).scanned._jdf.queryExecution().optimizedPlan().toString()
         below = plan[plan.index("RepartitionByExpression") :].split("Relation [")[0]
         assert "concat" not in below and "isnotnull" not in below  # nothing is made, or checked, before rows are dealt
+
+
+def test_lines_that_stand_again_are_scanned_once(monkeypatch):
+    seen, scan = [], PlainScanner.is_code
+    monkeypatch.setattr(PlainScanner, "is_code", lambda self, line: (seen.append(line), scan(self, line))[1])
+    svelte = LanguageRegistry.default().languages["Svelte"]
+    assert plain_counts(b"a /* b */ <p>\n" * 500 + b"/* c\n*/\n" * 2 + b"<!-- d -->\n" * 500, svelte) == (500, 504, 0)
+    assert len(seen) == 6
+
+
+def test_lines_that_open_a_file_count_as_before():
+    svelte = LanguageRegistry.default().languages["Svelte"]
+    for lines in (["#! /* a */", "x", "#! /* a */"], ["﻿/* a */", "﻿/* a */", "#!", "﻿/* a */"], ["/*", "/* a */", "*/", "/* a */", "*/ /* a */"], ["a /*", "a /*", "*/", "*/"]):
+        content = "".join(f"{x}\n" for x in lines * 3).encode()
+        k = kinds(content, svelte)
+        assert plain_counts(content, svelte) == (k.count("C"), k.count("M"), k.count("B"))
