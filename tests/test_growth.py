@@ -1,10 +1,15 @@
 """Work that grows with the tables is dealt to tasks, and what a task holds does not grow."""
 
+import tracemalloc
+
+import pyarrow as pa
+
 from loomline import queries
 from loomline.functions.languages import LanguageRegistry
 from loomline.functions.classify import kinds
 from loomline.functions.plainscan import PlainScanner, plain_counts
-from loomline.plans.engine import analyze_content
+from loomline.plans.engine import analyze_content, pieces
+from loomline.sources import listing
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -34,3 +39,42 @@ def test_lines_that_open_a_file_count_as_before():
         content = "".join(f"{x}\n" for x in lines * 3).encode()
         k = kinds(content, svelte)
         assert plain_counts(content, svelte) == (k.count("C"), k.count("M"), k.count("B"))
+
+
+def test_contents_are_turned_to_objects_a_piece_at_a_time():
+    sizes = [400, 0, None, 700, 3000, 1, 1, 999]
+    batch = pa.RecordBatch.from_pylist([{"seq": k, "content": None if n is None else b"x" * n} for k, n in enumerate(sizes)], schema=pa.schema([("seq", pa.int64()), ("content", pa.binary())]))
+    got = list(pieces(batch, 1000))
+    assert [x.column("seq").to_pylist() for x in got] == [[0, 1, 2], [3], [4], [5, 6], [7]]
+    assert [x.num_rows for x in pieces(batch.slice(0, 0), 1000)] == [0]
+
+
+def test_large_folders_are_held_as_columns(monkeypatch):
+    class Many:
+        def entries(self, path):
+            return ((f"file{k}.go", "file", k) for k in range(100_000))
+
+        def join(self, path, name):
+            return f"{path}/{name}"
+
+    monkeypatch.setattr(listing, "store_of", lambda path: Many())
+    tracemalloc.start()
+    parts, folders = listing.listed_parts(0, "top", True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(x.num_rows for x in parts) == 100_000 and folders == [] and sum(x.nbytes for x in parts) + peak < 20_000_000
+    assert [tuple(x.values())[:4] for x in parts[1].to_pylist()] == listing.list_folder(0, "top", True)[0][10_000:20_000]
+
+
+def test_folders_that_break_off_are_warnings(monkeypatch):
+    class Broken:
+        def entries(self, path):
+            yield from (("a.go", "file", 1), ("b", "folder", 0))
+            raise OSError("gone")
+
+        def join(self, path, name):
+            return f"{path}/{name}"
+
+    monkeypatch.setattr(listing, "store_of", lambda path: Broken())
+    parts, folders = listing.listed_parts(3, "top", True, 1)
+    assert [x.to_pylist() for x in parts] == [[{"root_idx": 3, "path": "top", "warning": "gone", "size": 0, "skip_vcs": None}]] and folders == []
