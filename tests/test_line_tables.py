@@ -89,3 +89,7 @@ def test_languages_that_differ_in_rules_only(tables):
     text = b"select '/*'\nfrom a\n/* b */ c\n"
     assert sql == own and told(text, sql) != told(text, own)
     assert [tables.counts_of_many([text], x) for x in (sql, own, sql)] == [[told(text, x)] for x in (sql, own, sql)]
+
+
+def test_html_files_are_looked_up(tables, monkeypatch):
+    assert scanned_again(tables, monkeypatch, [shape("HTML", k) for k in range(400)], L["HTML"]) == 0
