@@ -93,3 +93,7 @@ def test_languages_that_differ_in_rules_only(tables):
 
 def test_html_files_are_looked_up(tables, monkeypatch):
     assert scanned_again(tables, monkeypatch, [shape("HTML", k) for k in range(400)], L["HTML"]) == 0
+
+
+def test_cpp_files_are_looked_up(tables, monkeypatch):
+    assert scanned_again(tables, monkeypatch, [shape("C++", k) for k in range(400)], L["C++"]) == 0
