@@ -97,3 +97,7 @@ def test_html_files_are_looked_up(tables, monkeypatch):
 
 def test_cpp_files_are_looked_up(tables, monkeypatch):
     assert scanned_again(tables, monkeypatch, [shape("C++", k) for k in range(400)], L["C++"]) == 0
+
+
+def test_javascript_files_are_looked_up(tables, monkeypatch):
+    assert scanned_again(tables, monkeypatch, [shape("JavaScript", k) for k in range(400)], L["JavaScript"]) == 0
