@@ -101,3 +101,15 @@ def test_cpp_files_are_looked_up(tables, monkeypatch):
 
 def test_javascript_files_are_looked_up(tables, monkeypatch):
     assert scanned_again(tables, monkeypatch, [shape("JavaScript", k) for k in range(400)], L["JavaScript"]) == 0
+
+
+def test_parts_are_counted_once_for_all_languages(spark, monkeypatch):
+    from loomline import queries
+
+    dealt, rows = [], queries.part_rows
+    monkeypatch.setattr(queries, "part_rows", lambda *args: (dealt.append(args), rows(*args))[1])
+    result = queries.many_languages(spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+    assert {r["name"]: r["files"] for r in result.languages.collect()} == {FAMILIES[x][0]: n for x in _SOME}
+    assert len(dealt) == 1
+    result.unpersist()
