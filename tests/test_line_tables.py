@@ -113,3 +113,13 @@ def test_parts_are_counted_once_for_all_languages(spark, monkeypatch):
     assert {r["name"]: r["files"] for r in result.languages.collect()} == {FAMILIES[x][0]: n for x in _SOME}
     assert len(dealt) == 1
     result.unpersist()
+
+
+def test_reports_deal_parts_once(spark, monkeypatch):
+    from loomline import queries
+
+    dealt, rows = [], queries.part_rows
+    monkeypatch.setattr(queries, "part_rows", lambda *args: (dealt.append(args), rows(*args))[1])
+    lines = [r["line"] for r in queries.QUERIES["q46_xml"](spark, "/root/testdata/sf0.001").orderBy("line_no").collect()]
+    assert len(dealt) == 1 and len(lines) == 6 + len(_SOME) and lines[-1] == "</results>"
+    spark.catalog.clearCache()
