@@ -78,3 +78,8 @@ def test_folders_that_break_off_are_warnings(monkeypatch):
     monkeypatch.setattr(listing, "store_of", lambda path: Broken())
     parts, folders = listing.listed_parts(3, "top", True, 1)
     assert [x.to_pylist() for x in parts] == [[{"root_idx": 3, "path": "top", "warning": "gone", "size": 0, "skip_vcs": None}]] and folders == []
+
+
+def test_large_tables_are_dealt_to_larger_tasks():
+    assert [queries.tasks_of(n) for n in (0, 1, 5_000, 5_001, 20_000, 320_000)] == [1, 1, 1, 2, 4, 64]
+    assert [queries.tasks_of(n) for n in (1_200_000, 3_200_000, 3_200_001, 7_200_000, 72_000_000)] == [64, 64, 65, 144, 1_440]
