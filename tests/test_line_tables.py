@@ -123,3 +123,12 @@ def test_reports_deal_parts_once(spark, monkeypatch):
     lines = [r["line"] for r in queries.QUERIES["q46_xml"](spark, "/root/testdata/sf0.001").orderBy("line_no").collect()]
     assert len(dealt) == 1 and len(lines) == 6 + len(_SOME) and lines[-1] == "</results>"
     spark.catalog.clearCache()
+
+
+def test_lines_are_looked_up_as_they_are_split(tables):
+    """No line is put together again with its line feed, those with a carriage return (C++ has many) neither."""
+    text = b"int a;\r\nint a;\n\r\n\n// c\\\r\n\rd\n/* x\n"
+    for content in (text, text[:-1], text + b"\r", text + b"int a;", b"int a;", b"\n", b"\r", b""):
+        assert tables.counts_of_many([content] * 2, L["C++"]) == [told(content, L["C++"])] * 2
+    kept = {x for state in tables.line_table(L["C++"]).states.values() for x in state if x is not None}
+    assert {b"int a;\r", b"int a;", b"\nint a;", b"\n\r", b""} <= kept and not any(x.endswith(b"\n") for x in kept)
