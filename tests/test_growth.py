@@ -83,3 +83,9 @@ def test_folders_that_break_off_are_warnings(monkeypatch):
 def test_large_tables_are_dealt_to_larger_tasks():
     assert [queries.tasks_of(n) for n in (0, 1, 5_000, 5_001, 20_000, 320_000)] == [1, 1, 1, 2, 4, 64]
     assert [queries.tasks_of(n) for n in (1_200_000, 3_200_000, 3_200_001, 7_200_000, 72_000_000)] == [64, 64, 65, 144, 1_440]
+
+
+def test_counts_that_are_read_once_are_not_kept(spark):
+    for name in ("q79_html_shapes", "q34_svelte_counts"):
+        plan = queries.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "InMemoryTableScan" not in plan
